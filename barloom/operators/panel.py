@@ -97,10 +97,14 @@ def forward_fill(value: str | Column, window: WindowSpec) -> Column:
     return F.last(value, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def next_valid(value: str | Column, window: WindowSpec) -> Column:
-    """First non-null value strictly after the current row."""
-    return F.first(value, ignorenulls=True).over(
-        window.rowsBetween(1, Window.unboundedFollowing)
+def next_valid(value: str | Column, key: str | list[str], order: str = "date_idx",
+               include_current: bool = False) -> Column:
+    """First non-null value after (or on) the current row: a running last in reverse order."""
+    keys = [key] if isinstance(key, str) else key
+    backwards = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    end = 0 if include_current else -1
+    return F.last(value, ignorenulls=True).over(
+        backwards.rowsBetween(Window.unboundedPreceding, end)
     )
 
 

@@ -1,4 +1,4 @@
 """Composite plans: strategies, reviews, portfolio reports and the query catalogue."""
 
-from barloom.plans import queries_panel  # noqa: F401
+from barloom.plans import queries_panel, queries_strategy  # noqa: F401
 from barloom.plans.catalogue import ORACLES, QUERIES  # noqa: F401

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Result-affecting settings. Sizing (memory, cores, shuffle partitions) is left to the cluster.
 SETTINGS = {
@@ -48,3 +48,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/barloom-{label}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """Materialise a frame that several branches read, in the reliable checkpoint folder.
+
+    The result survives lost executors. The folder is the one the cluster configured; only a
+    local session without one gets a folder of its own.
+    """
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_path(spark, "checkpoints"))
+    return frame.checkpoint()
