@@ -86,17 +86,20 @@ def validate_bars(frame: DataFrame, minute: bool = False) -> DataFrame:
     repeats = duplicate_keys(frame, key).agg(
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("d")
     )
-    rules = F.array(
-        F.struct(F.lit("empty").alias("rule"), F.lit("error").alias("level"),
-                 (F.col("rows") == 0).cast("bigint").alias("bad_rows")),
-        F.struct(F.lit("required"), F.lit("error"), F.col("required")),
-        F.struct(F.lit("duplicate"), F.lit("error"), repeats.scalar().cast("bigint")),
-        F.struct(F.lit("ohlc"), F.lit("error"), F.col("ohlc")),
-        F.struct(F.lit("trade"), F.lit("error"), F.col("trade")),
-        F.struct(F.lit("amount_mostly_null"), F.lit("warning"),
-                 F.when(F.col("no_amount") > 0.2 * F.col("rows"), F.col("no_amount"))
-                 .otherwise(F.lit(0))),
-    )
+    mostly_null = F.col("no_amount") > 0.2 * F.col("rows")
+    found = [
+        ("empty", "error", F.col("rows") == 0),
+        ("required", "error", F.col("required")),
+        ("duplicate", "error", repeats.scalar()),
+        ("ohlc", "error", F.col("ohlc")),
+        ("trade", "error", F.col("trade")),
+        ("amount_mostly_null", "warning", F.when(mostly_null, F.col("no_amount")).otherwise(0)),
+    ]
+    rules = F.array(*[
+        F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"),
+                 bad.cast("bigint").alias("bad_rows"))
+        for rule, level, bad in found
+    ])
     return facts.select(F.inline(rules))
 
 

@@ -329,10 +329,9 @@ def upsert_status(stored: DataFrame, incoming: DataFrame,
                   preserve_complete: bool = True) -> DataFrame:
     """Newest status per key; an incomplete result may not overwrite a complete marker."""
     keys = ["asset_type", "adjustment", "trade_date"]
-    rank = F.lit(1)
-    if preserve_complete:
-        rank = F.when(F.col("status") == "complete", F.lit(1)).otherwise(F.lit(-1))
-    both = stored.withColumn("turn", F.lit(0)).unionByName(incoming.withColumn("turn", rank))
+    done = (F.col("status") == "complete").cast("int") if preserve_complete else F.lit(0)
+    both = stored.withColumn("turn", 2 * done).unionByName(
+        incoming.withColumn("turn", 2 * done + 1))
     return keep_newest(both, keys, ["turn", "checked_at"]).drop("turn")
 
 

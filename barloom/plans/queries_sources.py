@@ -462,10 +462,8 @@ def minute_audit(spark, root):
     catalog = M.catalog(rows).withColumn(
         "rows", F.col("rows") + (F.substring("symbol", 6, 1) == "0").cast("int"))
     code = F.substring("symbol", 6, 1)
-    inner = ~F.col("bar_time").isin([])
     broken = rows.withColumns({
         "high": F.when(code == "1", F.col("low") - 0.001).otherwise(F.col("high")),
-        "bar_time": F.when((code == "2") & inner, F.col("bar_time")).otherwise(F.col("bar_time")),
         "is_auction": code == "3",
     })
     # code 2: an interior bar is moved off the whole minute
@@ -477,7 +475,8 @@ def minute_audit(spark, root):
 
 
 @query("v2_off_grid_times", statement(
-    """SELECT symbol, count(*) AS bad_rows, list(bar_time ORDER BY bar_time)[1:3] AS examples FROM (
+    """SELECT symbol, count(*) AS bad_rows, array_to_string(list(strftime(bar_time, '%Y-%m-%d %H:%M:%S')
+         ORDER BY bar_time)[1:3], ', ') AS examples FROM (
          SELECT DISTINCT event_type || '.SZ' AS symbol, date_trunc('minute', ts) AS bar_time
          FROM events)
        WHERE NOT ((hour(bar_time) * 60 + minute(bar_time) BETWEEN 570 AND 690
@@ -488,7 +487,9 @@ def off_grid_times(spark, root):
     times = V.table(spark, root, "events").select(
         F.concat("event_type", F.lit(".SZ")).alias("symbol"), F.lit("stock").alias("asset_type"),
         F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("bar_time")).distinct()
-    return Q.examples(times, Q.off_grid("5min"), ["symbol"], "bar_time")
+    found = Q.examples(times, Q.off_grid("5min"), ["symbol"], "bar_time")
+    shown = F.transform("examples", lambda t: t.cast("string"))
+    return found.withColumn("examples", F.array_join(shown, ", "))
 
 
 @query("v3_placeholder_filter", statement(

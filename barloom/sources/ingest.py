@@ -110,12 +110,14 @@ def normalise(parsed: DataFrame, frequency: str, convention: str = "source") ->
     """Canonical typed columns from parsed text rows; rows keep their position."""
     if frequency not in MINUTE_FREQUENCIES:
         raise ValueError(f"frequency must be one of {MINUTE_FREQUENCIES}")
-    time_text = F.coalesce(
-        N.join_date_and_clock(F.col("trade_date"), F.col("bar_time")), F.col("trade_date"))
-    bar_time = N.to_bar_end(N.parse_time(time_text), frequency, convention)
-    return parsed.select(
+    # Staged so that each derived text is computed once, not once per use.
+    timed = parsed.withColumn("time_text", F.coalesce(
+        N.join_date_and_clock(F.col("trade_date"), F.col("bar_time")), F.col("trade_date")))
+    timed = timed.withColumn("bar_time", N.parse_time(F.col("time_text")))
+    return timed.select(
         "unit", "member", "block", "pos",
-        N.minute_symbol(F.col("symbol")).alias("symbol"), bar_time.alias("bar_time"),
+        N.minute_symbol(F.col("symbol")).alias("symbol"),
+        N.to_bar_end(F.col("bar_time"), frequency, convention).alias("bar_time"),
         *[N.to_number(F.col(name)).alias(name) for name in BAR_VALUES],
     )
 
