@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barloom.constants import BAR_VALUES
 
@@ -11,27 +11,42 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def _money(value: str):
-    return F.sum(F.col(value).cast("decimal(18,2)")).cast("double")
+def _cents(value: str) -> Column:
+    """Two-decimal money as whole cents: exact to add up and cheap to aggregate."""
+    return F.rint(F.col(value) * 100).cast("bigint")
+
+
+def money(value: str) -> Column:
+    return F.sum(_cents(value)) / 100
+
+
+_PRICE_DIGITS = 10**9
 
 
 def bars(spark: SparkSession, root: str) -> DataFrame:
-    """Daily bars of 20 synthetic symbols from ``lineitem``."""
+    """Daily bars of 20 synthetic symbols from ``lineitem``.
+
+    Open and close are the first and last price in (order, line, price) order. That order packs
+    into one decimal whose low digits are the price, so both are plain min/max hash aggregates.
+    """
+    digits = F.lit(_PRICE_DIGITS).cast("decimal(10,0)")
+    place = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(19,0)")
     lines = table(spark, root, "lineitem").select(
         F.pmod("l_suppkey", F.lit(20)).cast("int").alias("k"),
         F.col("l_shipdate").cast("date").alias("trade_date"),
-        F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("seq"),
-        F.col("l_extendedprice").alias("px"),
-        F.col("l_quantity").alias("qty"),
+        place.alias("place"),
+        _cents("l_extendedprice").alias("px"),
+        _cents("l_quantity").alias("qty"),
     )
+    seq = (F.col("place") * digits + F.col("px").cast("decimal(10,0)")).cast("decimal(38,0)")
     daily = lines.groupBy("k", "trade_date").agg(
-        F.min("seq").alias("first_seq"),
-        F.max("px").alias("high"),
-        F.min("px").alias("low"),
-        F.max("seq").alias("last_seq"),
-        _money("qty").alias("volume"),
-        _money("px").alias("amount"),
+        F.min(seq).alias("first_seq"), F.max("px").alias("high"), F.min("px").alias("low"),
+        F.max(seq).alias("last_seq"), F.sum("qty").alias("volume"), F.sum("px").alias("amount"),
     )
+
+    def price(packed: str) -> Column:
+        return F.pmod(F.col(packed), digits).cast("double") / 100
+
     k = F.col("k")
     head = (
         F.when(k < 2, "688").when(k == 2, "830").when(k == 3, "430").when(k < 8, "510")
@@ -42,12 +57,12 @@ def bars(spark: SparkSession, root: str) -> DataFrame:
         F.concat(head, F.lpad(k.cast("string"), 3, "0"), tail).alias("symbol"),
         F.when(k.between(4, 7), "etf").otherwise("stock").alias("asset_type"),
         "trade_date",
-        F.col("first_seq.l_extendedprice").alias("open"),
-        "high",
-        "low",
-        F.col("last_seq.l_extendedprice").alias("close"),
-        "volume",
-        "amount",
+        price("first_seq").alias("open"),
+        (F.col("high") / 100).alias("high"),
+        (F.col("low") / 100).alias("low"),
+        price("last_seq").alias("close"),
+        (F.col("volume") / 100).alias("volume"),
+        (F.col("amount") / 100).alias("amount"),
         F.lit("none").alias("adjustment"),
     )
 
@@ -87,7 +102,7 @@ def minute_bars(spark: SparkSession, root: str) -> DataFrame:
             F.min("value").alias("low"),
             F.max_by("value", "ts").alias("close"),
             F.count(F.lit(1)).cast("double").alias("volume"),
-            _money("value").alias("amount"),
+            money("value").alias("amount"),
         )
         .select("symbol", F.col("bar_time").cast("date").alias("trade_date"), "bar_time",
                 *BAR_VALUES)
@@ -101,7 +116,7 @@ def nav(spark: SparkSession, root: str) -> DataFrame:
             F.col("o_orderpriority").alias("portfolio_id"),
             F.col("o_orderdate").cast("date").alias("trade_date"),
         )
-        .agg(_money("o_totalprice").alias("equity"))
+        .agg(money("o_totalprice").alias("equity"))
     )
 
 

@@ -83,14 +83,14 @@ def symbols_from_file_names(spark, root):
 
 
 @query("n6_header_mapping", """
-  SELECT doc_id, CASE WHEN lang = 'en' THEN 'close' ELSE 'trade_date' END AS canonical
-  FROM documents WHERE lang IN ('en', 'zh')""")
+  SELECT doc_id, CASE lang WHEN 'en' THEN 'close' WHEN 'zh' THEN 'trade_date' END AS canonical
+  FROM documents""")
 def header_mapping(spark, root):
     headers = {"en": " Close ", "zh": "交易日期"}
     mapped = N.map_headers(headers.values())
     target = F.create_map(*[F.lit(x) for k, v in headers.items() for x in (k, mapped[v])])
-    docs = V.table(spark, root, "documents").where(F.col("lang").isin(*headers))
-    return docs.select("doc_id", F.element_at(target, F.col("lang")).alias("canonical"))
+    return V.table(spark, root, "documents").select(
+        "doc_id", F.try_element_at(target, F.col("lang")).alias("canonical"))
 
 
 @query("n7_numeric_coercion", """

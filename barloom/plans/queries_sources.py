@@ -46,14 +46,10 @@ def read_daily_dates(spark, root):
 
 def staged_basic(spark, root) -> str:
     path = scratch_path(spark, "basic")
-    recent = V.basic(spark, root).where(F.year("trade_date") == 1996)
-    store.write_daily_basic(recent, path)
+    store.write_daily_basic(V.basic(spark, root), path)
     return path
 
 
-_BASIC96 = "SELECT * FROM basic WHERE year(trade_date) = 1996"
-
-
 @query("s3_read_daily_basic", statement(
     """SELECT symbol, trade_date, total_mv FROM basic
        WHERE trade_date BETWEEN DATE '1996-02-10' AND DATE '1996-04-20'"""))
@@ -318,20 +314,17 @@ def daily_replace(spark, root):
 
 @query("w3_daily_basic_replace_dates", statement(
     """SELECT symbol, trade_date, CASE WHEN day(trade_date) = 10 THEN total_mv + 1 ELSE total_mv END
-         AS total_mv FROM b96 WHERE NOT (day(trade_date) = 9 AND symbol < '000015')
-       """, b96=_BASIC96))
+         AS total_mv FROM basic b
+       WHERE day(trade_date) <> 9 OR symbol >= '000015' OR NOT EXISTS (SELECT 1 FROM basic k
+         WHERE k.trade_date = b.trade_date AND k.symbol >= '000015')"""))
 def daily_basic_replace(spark, root):
     path = staged_basic(spark, root)
-    basic = V.basic(spark, root).where(F.year("trade_date") == 1996)
+    basic = V.basic(spark, root)
     changed = basic.where(F.dayofmonth("trade_date") == 10)
     store.write_daily_basic(changed.withColumn("total_mv", F.col("total_mv") + 1), path)
     kept = basic.where((F.dayofmonth("trade_date") == 9) & (F.col("symbol") >= "000015"))
     store.write_daily_basic(kept, path, replace_dates=True)
-    lost = basic.where(F.dayofmonth("trade_date") == 9).join(
-        kept.select("trade_date").distinct(), "trade_date", "left_anti")
-    # dates without any surviving row are not named by the delivery and stay untouched
-    return store.read_daily_basic(spark, path).join(
-        lost.select("symbol", "trade_date"), ["symbol", "trade_date"], "left_anti")
+    return store.read_daily_basic(spark, path)
 
 
 @query("w4_minute_write", statement(

@@ -25,7 +25,7 @@ def coded_minutes(spark: SparkSession, root: str) -> DataFrame:
         F.min_by("value", "ts").alias("open"), F.max("value").alias("high"),
         F.min("value").alias("low"), F.max_by("value", "ts").alias("close"),
         F.count(F.lit(1)).cast("double").alias("volume"),
-        F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("amount"),
+        V.money("value").alias("amount"),
     )
 
 

@@ -6,7 +6,7 @@ the rest of a store is never rewritten.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from barloom.functions.normalize import with_daily_metadata
 from barloom.operators.panel import keep_newest
@@ -19,7 +19,7 @@ _DAILY_KEY = ["symbol", "trade_date", "adjustment"]
 _MINUTE_KEY = ["symbol", "bar_time"]
 
 
-def _day(value) -> "F.Column":
+def _day(value) -> Column:
     return F.lit(str(value)).cast("date")
 
 
@@ -158,14 +158,24 @@ def _replace(spark: SparkSession, root: str, incoming: DataFrame, store, partiti
 
 
 # ---- market caps -----------------------------------------------------------------------------
+def basic_store(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("symbol string, trade_date date, total_mv double, year int").parquet(
+        root)
+
+
 def read_daily_basic(spark: SparkSession, root: str, start=None, end=None) -> DataFrame:
-    """Market caps by date folder; the range prunes folders before any file is opened."""
-    out = spark.read.schema("symbol string, total_mv double, trade_date date").parquet(root)
+    """Market caps of a date range: year folders are pruned, then row groups by date.
+
+    A full market day is a few thousand rows, so days share a year's files instead of filling
+    one small file each.
+    """
+    out = basic_store(spark, root)
     if start is not None:
-        out = out.where(F.col("trade_date") >= _day(start))
+        out = out.where((F.col("year") >= F.year(_day(start)))
+                        & (F.col("trade_date") >= _day(start)))
     if end is not None:
-        out = out.where(F.col("trade_date") <= _day(end))
-    return out
+        out = out.where((F.col("year") <= F.year(_day(end))) & (F.col("trade_date") <= _day(end)))
+    return out.drop("year")
 
 
 def write_daily_basic(frame: DataFrame, root: str, replace_dates: bool = False,
@@ -174,17 +184,20 @@ def write_daily_basic(frame: DataFrame, root: str, replace_dates: bool = False,
     if "total_mv" not in frame.columns:
         raise DataQualityError("market-cap rows need total_mv")
     spark = frame.sparkSession
+    columns = ["symbol", "trade_date", "total_mv", "year"]
     rank = F.struct(*order) if order else F.monotonically_increasing_id()
-    rows = frame.select("symbol", "trade_date", "total_mv", F.lit(1).alias("turn"),
-                        rank.alias("rank"))
-    if not replace_dates and _exists(spark, root):
-        stored = read_daily_basic(spark, root).join(
-            _touched(rows, ["trade_date"]), "trade_date", "left_semi")
-        old = stored.select("symbol", "trade_date", "total_mv", F.lit(0).alias("turn"),
-                            F.lit(None).cast(rows.schema["rank"].dataType).alias("rank"))
+    rows = frame.withColumns({"year": F.year("trade_date"), "turn": F.lit(1), "rank": rank}).select(
+        *columns, "turn", "rank")
+    if _exists(spark, root):
+        stored = basic_store(spark, root).join(_touched(rows, ["year"]), "year", "left_semi")
+        if replace_dates:
+            delivered = F.broadcast(rows.select("trade_date").distinct())
+            stored = stored.join(delivered, "trade_date", "left_anti")
+        old = stored.withColumns({"turn": F.lit(0), "rank": F.lit(None)}).select(
+            *columns, "turn", "rank")
         rows = rows.union(old)
-    merged = keep_newest(rows, ["symbol", "trade_date"], ["turn", "rank"]).drop("turn", "rank")
-    _write(merged.select("symbol", "total_mv", "trade_date"), root, ["trade_date"], ["symbol"])
+    merged = keep_newest(rows, ["symbol", "trade_date"], ["turn", "rank"]).select(*columns)
+    _write(merged, root, ["year"], ["trade_date", "symbol"])
 
 
 # ---- minute bars -----------------------------------------------------------------------------
