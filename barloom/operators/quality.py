@@ -27,7 +27,8 @@ class DataQualityError(ValueError):
 
 
 def _number(name: str) -> Column:
-    return F.col(name).try_cast("double")
+    """Numeric value with NaN as null; infinities stay, so that the rules can report them."""
+    return F.nanvl(F.col(name).try_cast("double"), F.lit(None).cast("double"))
 
 
 def _any(conditions) -> Column:
@@ -38,7 +39,7 @@ def bad_required(minute: bool = False) -> Column:
     """Null or blank key, or a null (or unparsable, or NaN) price or volume."""
     keys = ["symbol", "trade_date"] + (["bar_time"] if minute else [])
     missing = [F.col(k).isNull() for k in keys] + [F.trim("symbol") == ""]
-    missing += [_number(c).isNull() | F.isnan(_number(c)) for c in (*OHLC, "volume")]
+    missing += [_number(c).isNull() for c in (*OHLC, "volume")]
     return _any(missing)
 
 

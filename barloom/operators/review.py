@@ -225,6 +225,19 @@ def nav_period_returns(nav: DataFrame, anchors: DataFrame) -> DataFrame:
     )
 
 
+def named_returns(returns: DataFrame, names: dict[str, str],
+                  biases: DataFrame | None = None) -> DataFrame:
+    """Returns of configured (name -> symbol) entries in their order; absent ones stay blank."""
+    entries = [F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("name"),
+                        F.lit(symbol).alias("symbol"))
+               for i, (name, symbol) in enumerate(names.items())]
+    listed = returns.sparkSession.range(1).select(F.inline(F.array(*entries)))
+    out = listed.join(returns, "symbol", "left")
+    if biases is None:
+        return out.withColumn("bias", F.lit(None).cast("double"))
+    return out.join(biases.select("symbol", "bias"), "symbol", "left")
+
+
 def log_bias_table(frame: DataFrame, days: int = 10) -> DataFrame:
     """Last ``days`` panel dates of an indicator: rows (symbol, days_back, bias)."""
     last = frame.agg(F.max("date_idx").alias("last")).scalar()

@@ -61,19 +61,29 @@ def return_summary(spark, root):
                          "mean", "median")
 
 
+_FILLED = """SELECT g.symbol, g.trade_date, last_value(b.close IGNORE NULLS) OVER
+      (PARTITION BY g.symbol ORDER BY g.trade_date) AS close
+    FROM (SELECT symbol, trade_date FROM (SELECT DISTINCT symbol FROM bars) CROSS JOIN axis) g
+    LEFT JOIN bars b USING (symbol, trade_date)"""
+
+
 @query("a6_portfolio_returns", statement(
     "SELECT " + ", ".join(
-        f"{r(f'sum(w * {q}) / sum(w)')} AS {q}" for q in _QUOTED)
-    + """ FROM (SELECT r.*, h.weight AS w FROM rets r
-               JOIN (SELECT symbol || '.SZ' AS symbol, weight FROM holdings h0
-                     WHERE symbol || '.SZ' IN (SELECT symbol FROM rets WHERE "今年" + "本月"
-                       + "本周" + "当天" IS NOT NULL)) h USING (symbol))"""))
+        f"{r(f'sum(weight * (p0 / p{i} - 1)) / sum(weight)')} AS {q}"
+        for i, q in enumerate(_QUOTED, 1)) + " FROM held",
+    filled=_FILLED,
+    held="SELECT h.weight, max(close) FILTER (f.trade_date = latest) AS p0, " + ", ".join(
+        f"max(close) FILTER (f.trade_date = {q}) AS p{i}" for i, q in enumerate(_QUOTED, 1))
+    + """ FROM holdings h JOIN filled f ON f.symbol = h.symbol || '.SZ', anchor_dates
+         GROUP BY h.symbol, h.weight"""))
 def portfolio_returns(spark, root):
-    returns = R.period_returns(V.bars(spark, root))
-    complete = returns.dropna(subset=list(PERIODS)).select(
-        F.substring("symbol", 1, 6).alias("symbol"))
-    held = V.holdings(spark, root).join(complete, "symbol", "left_semi")
-    return round_columns(R.portfolio_period_returns(returns, held), *PERIODS)
+    """Holdings valued at their last known close on every anchor."""
+    bars = V.bars(spark, root)
+    dense = P.densify(bars.select("symbol", "trade_date", "close"))
+    filled = dense.withColumn("close", P.forward_fill("close", P.series()))
+    returns = R.period_returns(filled, anchors=R.review_anchors(bars))
+    return round_columns(
+        R.portfolio_period_returns(returns, V.holdings(spark, root)), *PERIODS)
 
 
 @query("j10_holding_gaps", statement(

@@ -116,11 +116,8 @@ def daily_review_table(spark, root):
     returns = cut(R.period_returns(bars, anchors=anchors))
     etf = R.return_summary(returns.where(F.col("symbol").startswith("5")))
     under = R.return_summary(returns.where(F.col("symbol").startswith("000")))
-    names = ("000008.SZ", "000009.SZ")
-    ordinal = F.when(F.col("symbol") == names[0], 0).otherwise(1)
-    index = returns.where(F.col("symbol").isin(*names)).join(
-        R.price_bias(bars, 5).select("symbol", "bias"), "symbol", "left"
-    ).withColumns({"ordinal": ordinal, "name": F.col("symbol")})
+    names = {symbol: symbol for symbol in ("000008.SZ", "000009.SZ")}
+    index = R.named_returns(returns, names, R.price_bias(bars, 5))
     nav = R.nav_period_returns(
         V.nav(spark, root).where(F.col("portfolio_id") == "1-URGENT"), anchors)
     return R.daily_review_table(returns, index, etf, under, None, nav)

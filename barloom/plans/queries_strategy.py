@@ -334,7 +334,7 @@ def portfolio_epochs(spark, root):
     f"""SELECT o.pid AS portfolio_id, s.trade_date AS signal_date, o.symbol,
           CASE WHEN new > old THEN 'BUY' ELSE 'SELL' END AS side,
           x.trade_date AS fill_date, {r('''CASE WHEN x.trade_date IS NOT NULL THEN f.open *
-            (CASE WHEN new > old THEN 1.0002 ELSE 0.9998 END) END''', 4)} AS fill_price
+            (CASE WHEN new > old THEN 1.0002 ELSE 0.9998 END) END''', 6)} AS fill_price
         FROM (SELECT pid, epoch, symbol, sum(n) AS new, sum(o) AS old FROM (
             SELECT pid, epoch, symbol, weight AS n, 0 AS o FROM hold UNION ALL
             SELECT pid, epoch + 1, symbol, 0, weight FROM hold WHERE next_idx IS NOT NULL)
@@ -346,7 +346,7 @@ def portfolio_epochs(spark, root):
           AND (t.next_idx IS NULL OR f.date_idx < t.next_idx)""", **_TARGETS))
 def fill_table(spark, root):
     fills = Port.fill_table(*targets(spark, root)).drop("delayed")
-    return round_columns(fills, "fill_price", digits=4)
+    return round_columns(fills, "fill_price", digits=6)
 
 
 @query("c9_backtest_frame", statement(

@@ -60,7 +60,7 @@ def _move(spark: SparkSession, source: str, target: str) -> None:
 def minute_directory(spark: SparkSession, root: str) -> str:
     """stock/<code>.csv per symbol; odd codes use Chinese headers, ``;`` and GB18030.
 
-    Code 5 repeats a time with another close, code 6 repeats rows identically, code 7 is turned
+    Code 5 repeats every time with another volume, code 6 repeats rows identically, code 7 is turned
     upside down.
     """
     base = scratch_path(spark, "minute-dir")
@@ -71,8 +71,8 @@ def minute_directory(spark: SparkSession, root: str) -> str:
     code = F.substring("symbol", 6, 1).cast("int")
     copies = F.when(code.isin(5, 6), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     bars = bars.select("*", F.explode(copies).alias("copy")).withColumns({
-        "close": F.when((code == 5) & (F.col("copy") == 1), F.col("low")).otherwise(
-            F.col("close")),
+        "volume": F.when((code == 5) & (F.col("copy") == 1), F.col("volume") + 1).otherwise(
+            F.col("volume")),
         "nth": F.when(code == 7, -F.col("nth")).otherwise(F.col("nth")),
     })
     columns = ["symbol", "trade_time", *BAR_VALUES]

@@ -7,6 +7,7 @@ cluster and decompressed as a stream, so neither an archive nor a member is held
 from __future__ import annotations
 
 import zipfile
+import zlib
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -63,7 +64,7 @@ def zip_members(spark: SparkSession, root: str) -> DataFrame:
                         error = "duplicate members"
                     if not error and not names:
                         error = "no CSV member"
-                except (OSError, zipfile.BadZipFile) as exc:
+                except (OSError, ValueError, zipfile.BadZipFile) as exc:
                     error = f"unreadable archive: {type(exc).__name__}"
                 if error:
                     names = [""]
@@ -72,6 +73,24 @@ def zip_members(spark: SparkSession, root: str) -> DataFrame:
     return listing.mapInPandas(inspect, "unit string, entry string, error string")
 
 
+def _member_chunks(unit: str, entry: str) -> Iterator[list[bytes]]:
+    """Lines of a member in batches. Damage ends the member with an unparsable line, which
+    makes the ingest reject the archive instead of failing the job."""
+    chunk: list[bytes] = []
+    try:
+        with _open(unit) as handle, zipfile.ZipFile(handle) as archive:
+            with archive.open(entry) as member:
+                for line in member:
+                    chunk.append(line.rstrip(b"\r\n"))
+                    if len(chunk) == BATCH_LINES:
+                        yield chunk
+                        chunk = []
+    except (zipfile.BadZipFile, zlib.error, EOFError):
+        chunk.append(b"damaged member")
+    if chunk:
+        yield chunk
+
+
 def zip_lines(spark: SparkSession, members: DataFrame) -> DataFrame:
     """Lines of the readable members, in the shape of ``csv_lines``."""
     spread = members.where(F.col("error") == "").repartition("unit", "entry")
@@ -79,16 +98,10 @@ def zip_lines(spark: SparkSession, members: DataFrame) -> DataFrame:
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                with _open(row.unit) as handle, zipfile.ZipFile(handle) as archive:
-                    with archive.open(row.entry) as member:
-                        start, chunk = 0, []
-                        for line in member:
-                            chunk.append(line.rstrip(b"\r\n"))
-                            if len(chunk) == BATCH_LINES:
-                                yield _frame(row, start, chunk)
-                                start, chunk = start + len(chunk), []
-                        if chunk:
-                            yield _frame(row, start, chunk)
+                start = 0
+                for chunk in _member_chunks(row.unit, row.entry):
+                    yield _frame(row, start, chunk)
+                    start += len(chunk)
 
     def _frame(row, start: int, chunk: list[bytes]) -> pd.DataFrame:
         return pd.DataFrame({
