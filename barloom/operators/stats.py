@@ -49,6 +49,41 @@ def exact_median(frame: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
+def with_percent_rank(frame: DataFrame, by: str, value: str, out: str = "percent_rank",
+                      buckets: int = 64) -> DataFrame:
+    """Average-rank percentile of ``value`` within each group, for groups of any size.
+
+    Equal values are counted before they are ordered, a sketch cuts each group into ``buckets``
+    value ranges, and a running count over the range totals places every range. No task orders
+    more than one range of distinct values, however many rows a group (or one value) holds.
+    ``panel.percent_rank`` is the shorter form for groups of known small size.
+    """
+    if buckets < 2:
+        raise ValueError("buckets must be at least 2")
+    counts = frame.where(F.col(value).isNotNull()).groupBy(by, value).agg(
+        F.count(F.lit(1)).alias("ties"))
+    cuts = [i / buckets for i in range(1, buckets)]
+    edges = counts.groupBy(by).agg(F.percentile_approx(value, cuts, 1000).alias("edges"))
+    placed = counts.join(edges, by).withColumn(
+        "bucket", F.size(F.filter("edges", lambda edge: edge < F.col(value)))
+    ).select(by, value, "ties", "bucket")
+    totals = placed.groupBy(by, "bucket").agg(F.sum("ties").alias("inside"))
+    whole = Window.partitionBy(by)
+    before = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        by, "bucket", F.coalesce(F.sum("inside").over(before), F.lit(0)).alias("offset"),
+        F.sum("inside").over(whole).alias("total"),
+    )
+    local = Window.partitionBy(by, "bucket").orderBy(value).rowsBetween(
+        Window.unboundedPreceding, -1)
+    ranked = placed.withColumn(
+        "below", F.coalesce(F.sum("ties").over(local), F.lit(0))
+    ).join(offsets, [by, "bucket"])
+    average = F.col("offset") + F.col("below") + (F.col("ties") + 1) / 2
+    shares = ranked.select(by, value, (average / F.col("total")).alias(out))
+    return frame.join(shares, [by, value], "left").select(*frame.columns, out)
+
+
 def return_correlation(
     bars: DataFrame, symbols: list[str] | None = None, block: int = 256, dates_per_task: int = 2048
 ) -> DataFrame:

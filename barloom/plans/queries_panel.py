@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from barloom.constants import BREADTH_BUCKETS, PERIODS
 from barloom.functions.normalize import code_excluded, log_bias, period_key
 from barloom.operators import panel as P, review as R
-from barloom.operators.stats import return_correlation
+from barloom.operators.stats import return_correlation, with_percent_rank
 from barloom.plans import driver_views as V
 from barloom.plans.catalogue import query, round_columns, rounded
 from barloom.plans.oracle_views import r, statement
@@ -263,8 +263,9 @@ def lookback_price(spark, root):
           + (count(*) OVER (PARTITION BY trade_date, volume) - 1) / 2.0)
           / count(*) OVER (PARTITION BY trade_date) * 100''')} AS rps FROM bars"""))
 def percent_rank(spark, root):
-    rps = P.percent_rank("volume", ["trade_date"]) * 100
-    return V.bars(spark, root).select("symbol", "trade_date", rounded(rps).alias("rps"))
+    ranked = with_percent_rank(V.bars(spark, root).select("symbol", "trade_date", "volume"),
+                               "trade_date", "volume", "share")
+    return ranked.select("symbol", "trade_date", rounded(F.col("share") * 100).alias("rps"))
 
 
 @query("f10_forward_filled_mark", statement(

@@ -13,11 +13,11 @@ from barloom.session import scratch_path
 
 
 def coded_minutes(spark: SparkSession, root: str) -> DataFrame:
-    """One-minute bars of eight six-digit codes, from ``events`` by user."""
+    """One-minute bars of eight six-digit codes, from ``events`` by user (prices above zero)."""
     minute = F.date_trunc("minute", "ts") + F.expr("INTERVAL 1 MINUTE")
     ticks = V.table(spark, root, "events").select(
         F.concat(F.lit("00000"), (F.col("user_id") % 8).cast("string"), F.lit(".SZ"))
-        .alias("symbol"), "ts", "value", minute.cast("timestamp_ntz").alias("bar_time"))
+        .alias("symbol"), "ts", (F.col("value") + 1).alias("value"), minute.cast("timestamp_ntz").alias("bar_time"))
     clock = F.hour("bar_time") * 60 + F.minute("bar_time")
     return ticks.where(clock.between(571, 690) | clock.between(780, 900)).groupBy(
         "symbol", "bar_time"
@@ -34,8 +34,8 @@ CODED_MINUTES_SQL = """
          first(value ORDER BY ts) AS open, max(value) AS high, min(value) AS low,
          last(value ORDER BY ts) AS close, CAST(count(*) AS DOUBLE) AS volume,
          CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS amount
-  FROM (SELECT '00000' || CAST(user_id % 8 AS VARCHAR) || '.SZ' AS symbol, ts, value,
-               date_trunc('minute', ts) + INTERVAL 1 MINUTE AS bar_time FROM events)
+  FROM (SELECT '00000' || CAST(user_id % 8 AS VARCHAR) || '.SZ' AS symbol, ts,
+               value + 1 AS value, date_trunc('minute', ts) + INTERVAL 1 MINUTE AS bar_time FROM events)
   WHERE hour(bar_time) * 60 + minute(bar_time) BETWEEN 571 AND 690
      OR hour(bar_time) * 60 + minute(bar_time) BETWEEN 780 AND 900
   GROUP BY symbol, bar_time"""

@@ -105,7 +105,7 @@ def zip_lines(spark: SparkSession, members: DataFrame) -> DataFrame:
 
     def _frame(row, start: int, chunk: list[bytes]) -> pd.DataFrame:
         return pd.DataFrame({
-            "unit": row.unit, "member": f"{row.unit}!/{row.entry}", "block": 0,
+            "unit": row.unit, "member": f"{row.unit}!/{row.entry}", "block": start,
             "pos": range(start, start + len(chunk)), "raw": chunk,
         })
 

@@ -67,6 +67,19 @@ def test_percent_rank_averages_ties(spark):
         assert got[i] == (None if pd.isna(value) else pytest.approx(value))
 
 
+@pytest.mark.parametrize("buckets", [2, 7, 64])
+def test_distributed_percent_rank_matches_pandas(spark, buckets):
+    rng = np.random.default_rng(7)
+    table = pd.DataFrame({"i": range(600), "g": rng.choice(["a", "b", "c"], 600, p=[.8, .1, .1]),
+                          "x": np.round(rng.normal(size=600), 1)})
+    table.loc[::3, "x"] = 0.5  # one value holds a third of the rows
+    table.loc[::50, "x"] = np.nan
+    frame = spark.createDataFrame(table).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
+    got = stats.with_percent_rank(frame, "g", "x", "p", buckets).toPandas().set_index("i")["p"]
+    want = table.groupby("g")["x"].rank(pct=True)
+    np.testing.assert_allclose(got.sort_index().to_numpy(float), want.to_numpy(float), rtol=1e-12)
+
+
 def test_latch_keeps_state_without_observation(spark):
     values = [1.0, None, 6.0, 20.0, None, -6.0, 16.0]
     rows = [("A", i, v) for i, v in enumerate(values)]
