@@ -185,11 +185,17 @@ def price_bias(bars: DataFrame, span: int = 25, as_of=None) -> DataFrame:
     axis_end = bars if as_of is None else bars.where(
         F.col("trade_date") <= F.lit(str(as_of)).cast("date")
     )
-    latest = axis_end.agg(F.max("trade_date").alias("latest")).scalar()
-    panel = with_date_idx(axis_end.select("symbol", "trade_date", "close"))
+    # Only the last ``span`` panel dates matter; the bound reaches the scan as a date filter.
+    window_dates = (
+        axis_end.select("trade_date").distinct().orderBy(F.col("trade_date").desc()).limit(span)
+    )
+    ends = window_dates.agg(F.struct(F.min("trade_date").alias("first"),
+                                     F.max("trade_date").alias("latest")).alias("ends")).scalar()
+    recent = axis_end.select("symbol", "trade_date", "close").where(
+        F.col("trade_date") >= ends["first"])
     return (
-        panel.withColumn("bias", bias("close", span, series()))
-        .where(F.col("trade_date") == latest)
+        with_date_idx(recent).withColumn("bias", bias("close", span, series()))
+        .where(F.col("trade_date") == ends["latest"])
         .select("symbol", "trade_date", "bias")
     )
 
@@ -246,12 +252,11 @@ def log_bias_table(frame: DataFrame, days: int = 10) -> DataFrame:
     )
 
 
-def _rows(frame: DataFrame, start: int, cells: list[tuple[str, Column]]) -> DataFrame:
-    """Per-period frame -> (ordinal, 名称, period, text) rows."""
+def _rows(frame: DataFrame, cells: list[tuple[int, str, Column]]) -> DataFrame:
+    """Per-period frame -> (period, ordinal, 名称, text) rows, several measures in one pass."""
     entries = [
-        F.struct(F.lit(start + i).alias("ordinal"), F.lit(name).alias("名称"),
-                 text.alias("text"))
-        for i, (name, text) in enumerate(cells)
+        F.struct(F.lit(ordinal).alias("ordinal"), F.lit(name).alias("名称"), text.alias("text"))
+        for ordinal, name, text in cells
     ]
     return frame.select("period", F.inline(F.array(*entries)))
 
@@ -300,26 +305,29 @@ def daily_review_table(
     def share(count: str) -> Column:
         return percent_text(F.when(F.col("n") > 0, F.col(count) / F.col("n")))
 
-    blank = F.lit("")
-    cells = [(name, count_text(F.col(c)))
-             for name, c in zip(REVIEW_COUNT_ROWS, ("n", "up", "down", "flat"), strict=True)]
-    cells += [(bucket[0], share(f"b{i}")) for i, bucket in enumerate(BREADTH_BUCKETS)]
-    cells += [(name, share(c)) for name, c in zip(REVIEW_RATIO_ROWS, ("up", "down"), strict=True)]
-    cells += [(name, percent_text(F.col(c)))
-              for name, c in zip(REVIEW_AVERAGE_ROWS, ("mean", "median"), strict=True)]
-    parts = [_rows(stats, 0, cells)]
-    position = len(cells)
-    periods = stats.select("period")
-    for names, summary in (
-        (REVIEW_CONVERTIBLE_ROWS, convertible), (REVIEW_UNDERLYING_ROWS, underlying)
-    ):
-        source = periods if summary is None else summary
-        texts = [blank, blank] if summary is None else [
-            percent_text(F.col("mean")), percent_text(F.col("median"))
-        ]
-        parts.append(_rows(source, position, list(zip(names, texts, strict=True))))
-        position += 2
-    # Indices are a short configured list; 1000 positions keep them ahead of the tail rows.
+    measures = [(name, count_text(F.col(c)))
+                for name, c in zip(REVIEW_COUNT_ROWS, ("n", "up", "down", "flat"), strict=True)]
+    measures += [(bucket[0], share(f"b{i}")) for i, bucket in enumerate(BREADTH_BUCKETS)]
+    measures += [(name, share(c))
+                 for name, c in zip(REVIEW_RATIO_ROWS, ("up", "down"), strict=True)]
+    measures += [(name, percent_text(F.col(c)))
+                 for name, c in zip(REVIEW_AVERAGE_ROWS, ("mean", "median"), strict=True)]
+    parts = [_rows(stats, [(i, name, text) for i, (name, text) in enumerate(measures)])]
+    position = len(measures)
+    # Indices are a short configured list; the tail rows are numbered well behind them.
+    indices, tail = position + 4, position + 1000
+    mean, median = percent_text(F.col("mean")), percent_text(F.col("median"))
+    blanks: list[tuple[int, str]] = []
+    rows = [(position, REVIEW_CONVERTIBLE_ROWS[0], mean),
+            (position + 1, REVIEW_CONVERTIBLE_ROWS[1], median),
+            (tail + 1, REVIEW_TAIL_ROWS[1], mean)]
+    under = [(position + 2, REVIEW_UNDERLYING_ROWS[0], mean),
+             (position + 3, REVIEW_UNDERLYING_ROWS[1], median)]
+    for summary, cells in ((convertible, rows), (underlying, under)):
+        if summary is None:
+            blanks += [(ordinal, name) for ordinal, name, _ in cells]
+        else:
+            parts.append(_rows(summary, cells))
     if index_returns is not None:
         cell = [F.struct(F.lit(p).alias("period"), percent_text(F.col(p)).alias("text"))
                 for p in PERIODS]
@@ -327,19 +335,20 @@ def daily_review_table(
                              percent_text(F.col("bias")).alias("text")))
         parts.append(
             index_returns.select(
-                (F.lit(position) + F.col("ordinal")).cast("int").alias("ordinal"),
+                (F.lit(indices) + F.col("ordinal")).cast("int").alias("ordinal"),
                 F.col("name").alias("名称"), F.inline(F.array(*cell)),
             ).select("period", "ordinal", "名称", "text")
         )
-    position += 1000
-    for i, (name, frame) in enumerate(zip(REVIEW_TAIL_ROWS, (microcap, None, portfolio),
-                                          strict=True)):
-        if i == 1 and convertible is not None:
-            parts.append(_rows(convertible, position + i, [(name, percent_text(F.col("mean")))]))
-        elif frame is not None:
-            parts.append(_wide_rows(frame, position + i, F.lit(name)))
+    for ordinal, name, frame in ((tail, REVIEW_TAIL_ROWS[0], microcap),
+                                 (tail + 2, REVIEW_TAIL_ROWS[2], portfolio)):
+        if frame is None:
+            blanks.append((ordinal, name))
         else:
-            parts.append(_rows(periods, position + i, [(name, blank)]))
+            parts.append(_wide_rows(frame, ordinal, F.lit(name)))
+    if blanks:
+        periods = returns.sparkSession.range(1).select(
+            F.explode(F.array(*[F.lit(p) for p in PERIODS])).alias("period"))
+        parts.append(_rows(periods, [(o, name, F.lit("")) for o, name in blanks]))
     stacked = reduce(DataFrame.unionByName, parts)
     columns = [*PERIODS, "BIAS25"]
     wide = stacked.groupBy("ordinal", "名称").pivot("period", columns).agg(F.max("text"))
