@@ -359,7 +359,7 @@ def missing_ranges(spark, root):
     empties = Snap.confirmed_empty(
         days.where(F.dayofmonth("trade_date") < 10).withColumn("symbol", F.lit("000010.SZ")),
         F.lit("2100-01-01").cast("date"))
-    extra = days.limit(1).select(F.lit("999999.SZ").alias("symbol"))
+    extra = spark.range(1).select(F.lit("999999.SZ").alias("symbol"))
     return Snap.missing_ranges(bars, empties, days, bars.select("symbol").union(extra))
 
 
