@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import mixing
+from barloom.llm import bpe, mixing, ogg, tokencount
 from barloom.llm.common import table
 
 QUERIES = {}
@@ -24,3 +24,18 @@ def query(name: str, oracle: str | None = None):
 @query("op7_mix_sources", mixing.ORACLE)
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op2_ogg_media")
+def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op3_unigram_counts")
+def op3_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op10_bpe_rank_queue")
+def op10_bpe_rank_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
