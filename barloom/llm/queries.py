@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, mixing, ogg, tokencount
+from barloom.llm import bpe, htmltext, kdtree, mixing, ogg, tokencount, urlfilter
 from barloom.llm.common import table
 
 QUERIES = {}
@@ -39,3 +39,19 @@ def op3_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bpe_rank_queue")
 def op10_bpe_rank_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op1_kdtree_topk")
+def op1_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return kdtree.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query("op4_url_filter")
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.labelled_table(spark))
+
+
+@query("op9_html_main_text")
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
