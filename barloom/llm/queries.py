@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, htmltext, kdtree, mixing, ogg, tokencount, urlfilter
+from barloom.llm import bpe, htmltext, kdtree, mixing, ogg, simhash, tokencount, urlfilter
 from barloom.llm.common import table
 
 QUERIES = {}
@@ -55,3 +55,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_html_main_text")
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op6_simhash_ball")
+def op6_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
