@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, htmltext, kdtree, mixing, ogg, simhash, tokencount, urlfilter
+from barloom.llm import bpe, htmltext, kdtree, mixing, ogg, quality, simhash, tokencount, urlfilter
 from barloom.llm.common import table
 
 QUERIES = {}
@@ -60,3 +60,8 @@ def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_simhash_ball")
 def op6_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_quality_pu")
+def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
