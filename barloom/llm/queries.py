@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, htmltext, kdtree, mixing, ogg, quality, simhash, tokencount, urlfilter
+from barloom.llm import bpe, htmltext, kdtree, mixing, ogg, quality, simhash, suffixdedup, tokencount, urlfilter
 from barloom.llm.common import table
 
 QUERIES = {}
@@ -65,3 +65,8 @@ def op6_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality_pu")
 def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digests(table(spark, sf_dir, "documents"))
