@@ -281,8 +281,11 @@ def _shard_repeats(sorted_: DataFrame) -> DataFrame:
     return map_batches(sorted_, work, "_id long, _tie long, start long, stop long")
 
 
-def _without(texts: DataFrame) -> DataFrame:
-    """Unites the spans of every text and cuts them out; adds ``n_removed, n_spans, kept``."""
+def _without(texts: DataFrame, exact: bool) -> DataFrame:
+    """Unites the spans of every text and cuts them out; adds ``n_bytes, n_removed, n_spans, kept``.
+
+    Unless ``exact``, what is left of parted characters goes too.
+    """
     names = [name for name in texts.columns if name not in ("_text", "spans")]
     kinds = ", ".join(f"{name} {texts.schema[name].dataType.simpleString()}" for name in names)
 
@@ -307,7 +310,8 @@ def _without(texts: DataFrame) -> DataFrame:
                 removed.append(gone)
                 runs.append(count)
                 total.append(len(text))
-                kept.append(b"".join(parts))
+                left = b"".join(parts)
+                kept.append(left if exact or not count else left.decode("utf-8", "ignore").encode("utf-8"))
             yield {**{name: batch.column(name) for name in names}, "n_bytes": total, "n_removed": removed,
                    "n_spans": runs, "kept": kept}
 
@@ -336,10 +340,31 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(utf8(text_col)).alias("_tie"),
         F.col(id_col).alias("_own"), utf8(text_col).alias("_text"),
         *([F.struct(*docs.columns).alias("row")] if keep else []))
-    return _without(rows.join(spans, ["_id", "_tie"], "left")).drop("_id", "_tie").withColumnRenamed("_own", "_id")
+    return _without(rows.join(spans, ["_id", "_tie"], "left"), not keep).drop("_id", "_tie").withColumnRenamed("_own", "_id")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Figures and hash of what is left of every document."""
     return cut_repeats(docs, id_col, text_col).select(
         F.col("_id").alias(id_col), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    size_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with repeats cut out of their texts; rows of which nothing is left go.
+
+    A cut may part a character; what is left of it is dropped, so that texts stay valid. Rows whose text was null or empty
+    before are kept as they are. ``size_col``, if there, follows the text.
+    """
+    kept = cut_repeats(docs, id_col, text_col, keep=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col(f"row.{text_col}"))
+    own = {text_col: F.col("_new_text").alias(text_col)}
+    if size_col in docs.columns:
+        kind = docs.schema[size_col].dataType
+        own[size_col] = F.when(F.col("n_removed") > 0, F.length("_new_text").cast(kind)).otherwise(
+            F.col(f"row.{size_col}")).alias(size_col)
+    return (
+        kept.where((F.col("n_removed") == 0) | (F.length("kept") > 0)).withColumn("_new_text", text)
+        .where((F.col("n_removed") == 0) | (F.length("_new_text") > 0))
+        .select(*[own.get(name, F.col(f"row.`{name}`").alias(name)) for name in docs.columns])
+    )
