@@ -148,7 +148,7 @@ def manifest_row_counts(spark, root):
          CASE WHEN CAST(substr(symbol, 6, 1) AS INT) % 2 = 1 THEN ';' ELSE ',' END AS sep
        FROM cm GROUP BY symbol""", cm=_CM))
 def encodings(spark, root):
-    formats = L.file_formats(L.csv_lines(spark, G.minute_directory(spark, root)))
+    formats = L.file_formats(L.csv_files(spark, G.minute_directory(spark, root)))
     return formats.select(F.element_at(F.split("member", "/"), -1).alias("file"), "charset", "sep")
 
 
@@ -158,8 +158,7 @@ def encodings(spark, root):
          count(*) * CASE WHEN symbol IN ('000005.SZ', '000006.SZ') THEN 2 ELSE 1 END AS closes
        FROM cm GROUP BY symbol""", cm=_CM))
 def delimiters_and_headers(spark, root):
-    lines = L.csv_lines(spark, G.minute_directory(spark, root))
-    parsed = L.parse_lines(lines, L.file_formats(lines))
+    parsed = L.parse_rows(L.file_formats(L.csv_files(spark, G.minute_directory(spark, root))))
     return parsed.groupBy(F.element_at(F.split("member", "/"), -1).alias("file")).agg(
         F.count(F.lit(1)).alias("rows"), F.count(N.to_number(F.col("close"))).alias("closes"))
 
@@ -169,7 +168,7 @@ def delimiters_and_headers(spark, root):
     cm=_CM))
 def directory_profile(spark, root):
     path = staged_manifest(spark, root)
-    formats = L.file_formats(L.csv_lines(spark, path).where(
+    formats = L.file_formats(L.csv_files(spark, path).where(
         ~F.col("member").endswith("/manifest.csv")))
     listed = ingest.manifest(spark, path).where(F.col("problem") == "")
     return ingest.directory_profile(
@@ -252,7 +251,8 @@ def holdings_csv(spark, root):
          AS amount, CASE WHEN year(trade_date) < 1998 THEN NULL ELSE 'new' END AS source FROM bars"""))
 def schema_evolution(spark, root):
     path = scratch_path(spark, "vintages")
-    bars = V.bars(spark, root).withColumn("year", F.year("trade_date"))
+    bars = V.bars(spark, root).withColumns(
+        {"year": F.year("trade_date"), "bucket": store.bucket_of(F.col("symbol"))})
     old, new = bars.where("year < 1998"), bars.where("year >= 1998").withColumn(
         "source", F.lit("new"))
     parts = store.DAILY_PARTITION

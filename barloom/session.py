@@ -52,6 +52,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/barloom-{label}-{uuid.uuid4().hex[:12]}"
 
 
+def discard(frame: DataFrame) -> None:
+    """Delete the files of a table made by ``cut``; nothing may read it afterwards."""
+    spark = frame.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for folder in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
+        if "/barloom-table-" in folder and base.rstrip("/").rsplit("/", 1)[-1] in folder:
+            path = hadoop.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Materialise a frame that several branches read, as a table in the shared folder.
 

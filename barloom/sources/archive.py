@@ -1,114 +1,66 @@
-"""ZIP archives of CSV members as the same line source, many archives in parallel.
-
-Archives are listed by Spark; tasks read the central directory, then members are spread over the
-cluster and decompressed as a stream, so neither an archive nor a member is held in memory.
-"""
+"""ZIP archives of CSV members: tasks read the central directories, members are then spread over the cluster."""
 
 from __future__ import annotations
 
 import zipfile
-import zlib
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from barloom.sources.lines import decoded_path
+from barloom.sources.lines import csv_files
 
 # --- fixed values: limits on archive members ---
 MAX_MEMBER_BYTES = 5 * 1024**3
 MAX_RATIO = 500
 
-BATCH_LINES = 50_000
-
+# Reasons to refuse a member, each with its test of (path, packed size, full size).
+MEMBER_RULES = (
+    ("suspicious compression ratio", lambda path, packed, full: full > MAX_RATIO * max(packed, 1)),
+    ("member too large", lambda path, packed, full: full > MAX_MEMBER_BYTES),
+    ("unsafe path", lambda path, packed, full: path.is_absolute() or ".." in path.parts),
+)
 
-def _open(path: str):
-    from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
+def archive_entries(archive: zipfile.ZipFile) -> tuple[list[str], str]:
+    """Names of the CSV members in order, and the first reason to refuse the archive."""
+    members = [(PurePosixPath(i.filename), i.compress_size, i.file_size) for i in archive.infolist()]
+    reasons = {reason for reason, broken in MEMBER_RULES if any(broken(*member) for member in members)}
+    names = sorted(i.filename for i in archive.infolist()
+                   if i.filename.lower().endswith(".csv") and not i.is_dir())
+    if len(set(names)) < len(names):
+        reasons.add("duplicate members")
+    elif not names:
+        reasons.add("no CSV member")
+    order = ["unsafe path", "member too large", "suspicious compression ratio", "duplicate members",
+             "no CSV member"]
+    return names, next((reason for reason in order if reason in reasons), "")
 
 
-def member_problem(info: zipfile.ZipInfo) -> str:
-    """Why a member must not be read, or an empty string."""
-    name = PurePosixPath(info.filename)
-    if name.is_absolute() or ".." in name.parts:
-        return "unsafe path"
-    if info.file_size > MAX_MEMBER_BYTES:
-        return "member too large"
-    if info.file_size / max(info.compress_size, 1) > MAX_RATIO:
-        return "suspicious compression ratio"
-    return ""
-
-
-def zip_members(spark: SparkSession, root: str) -> DataFrame:
-    """(unit, entry, error): CSV members of every archive; a bad archive is one error row."""
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.zip").load(root)
-        .select(decoded_path(F.col("path")).alias("unit"))
-    )
+def expanded(archives: DataFrame) -> DataFrame:
+    """(unit, member, entry, error): CSV members of every archive; a bad archive is one error row."""
 
     def inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
         for batch in batches:
             for unit in batch["unit"]:
-                names, error = [], ""
                 try:
-                    with _open(unit) as handle, zipfile.ZipFile(handle) as archive:
-                        infos = archive.infolist()
-                    error = next((p for p in map(member_problem, infos) if p), "")
-                    names = sorted(i.filename for i in infos
-                                   if not i.is_dir() and i.filename.lower().endswith(".csv"))
-                    if not error and len(names) != len(set(names)):
-                        error = "duplicate members"
-                    if not error and not names:
-                        error = "no CSV member"
+                    system, inner = fs.FileSystem.from_uri(unit)
+                    with system.open_input_file(inner) as handle, zipfile.ZipFile(handle) as archive:
+                        names, error = archive_entries(archive)
                 except (OSError, ValueError, zipfile.BadZipFile) as exc:
-                    error = f"unreadable archive: {type(exc).__name__}"
+                    names, error = [], f"unreadable archive: {type(exc).__name__}"
                 if error:
                     names = [""]
-                yield pd.DataFrame({"unit": unit, "entry": names, "error": error})
-
-    return listing.mapInPandas(inspect, "unit string, entry string, error string")
+                yield pd.DataFrame({"unit": unit, "member": [f"{unit}!/{name}" for name in names],
+                                    "entry": names, "error": error})
 
+    return archives.select("unit").repartition("unit").mapInPandas(
+        inspect, "unit string, member string, entry string, error string")
 
-def _member_chunks(unit: str, entry: str) -> Iterator[list[bytes]]:
-    """Lines of a member in batches. Damage ends the member with an unparsable line, which
-    makes the ingest reject the archive instead of failing the job."""
-    chunk: list[bytes] = []
-    try:
-        with _open(unit) as handle, zipfile.ZipFile(handle) as archive:
-            with archive.open(entry) as member:
-                for line in member:
-                    chunk.append(line.rstrip(b"\r\n"))
-                    if len(chunk) == BATCH_LINES:
-                        yield chunk
-                        chunk = []
-    except (zipfile.BadZipFile, zlib.error, EOFError):
-        chunk.append(b"damaged member")
-    if chunk:
-        yield chunk
 
-
-def zip_lines(spark: SparkSession, members: DataFrame) -> DataFrame:
-    """Lines of the readable members, in the shape of ``csv_lines``."""
-    spread = members.where(F.col("error") == "").repartition("unit", "entry")
-
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                start = 0
-                for chunk in _member_chunks(row.unit, row.entry):
-                    yield _frame(row, start, chunk)
-                    start += len(chunk)
-
-    def _frame(row, start: int, chunk: list[bytes]) -> pd.DataFrame:
-        return pd.DataFrame({
-            "unit": row.unit, "member": f"{row.unit}!/{row.entry}", "block": start,
-            "pos": range(start, start + len(chunk)), "raw": chunk,
-        })
-
-    return spread.mapInPandas(
-        extract, "unit string, member string, block bigint, pos bigint, raw binary"
-    )
+def zip_members(spark: SparkSession, root: str) -> DataFrame:
+    """Members of every archive below ``root``, in the shape of ``csv_files``."""
+    return expanded(csv_files(spark, root, "*.zip"))

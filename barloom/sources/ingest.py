@@ -82,11 +82,13 @@ def directory_profile(sources: DataFrame, formats: DataFrame,
                       listed: DataFrame | None = None) -> DataFrame:
     """Findings of a directory check: (finding, key, count)."""
     headers = L.has_columns(formats, REQUIRED)
-    joined = sources.join(headers, "member", "left")
+    joined = sources.join(headers, "member", "left").join(formats.select("member", "error"), "member", "left")
     findings = [
         joined.groupBy(F.lit("files").alias("finding"), F.col("file_asset_type").alias("key")),
         joined.where(F.col("missing_columns") != "").groupBy(
             F.lit("bad_header").alias("finding"), F.col("relative_file").alias("key")),
+        joined.where(F.col("error") != "").groupBy(
+            F.lit("unreadable").alias("finding"), F.col("relative_file").alias("key")),
         joined.where(~F.col("file_asset_type").isin(*MINUTE_ASSET_TYPES)).groupBy(
             F.lit("unknown_type").alias("finding"), F.col("relative_file").alias("key")),
     ]
@@ -156,38 +158,53 @@ def out_of_order(rows: DataFrame) -> DataFrame:
         F.col("late") | (F.col("backwards") > 0)).select("unit").distinct()
 
 
-def _judge(rows: DataFrame, kept: DataFrame, frequency: str, check_symbol: bool,
-           collapse: bool) -> DataFrame:
+def _judge(rows: DataFrame, collapse: bool) -> DataFrame:
     """Counts per unit that decide acceptance; all row tests are one aggregate."""
-    placeholder = Q.opening_placeholder()
-    bad = _unparsable(check_symbol)
     facts = rows.groupBy("unit").agg(
         F.count(F.lit(1)).alias("rows_input"),
-        F.count_if(bad).alias("unparsable"),
-        F.count_if(~F.col("symbol").eqNullSafe(F.col("file_symbol"))
-                   & F.col("file_symbol").isNotNull()).alias("symbol_mismatch"),
-        F.count_if(~bad & placeholder).alias("placeholders"),
-        F.count_if(~bad & ~placeholder & Q.off_grid(frequency)).alias("off_grid"),
-        F.count_if(~bad & ~placeholder & (Q.bad_ohlc() | Q.bad_amounts(rows))).alias("illegal"),
+        *[F.count_if(name).alias(name) for name in ("unparsable", "symbol_mismatch", "off_grid", "illegal")],
         F.max("expected_rows").alias("expected_rows"),
     )
     keys = ["unit", "symbol", "bar_time"]
-    conflicts = Q.conflicting_keys(kept, keys) if collapse else Q.duplicate_keys(kept, keys)
+    usable = rows.where("usable").select(*keys, "digest")
+    repeats = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("least"),
+                                        F.max("digest").alias("most"))
+    conflicts = repeats.where("least <> most" if collapse else "n > 1")
     conflicting = conflicts.groupBy("unit").agg(F.count(F.lit(1)).alias("conflicts"))
     return facts.join(conflicting, "unit", "left").na.fill(0, ["conflicts"])
 
 
-def _assemble(rows: DataFrame, units: DataFrame, frequency: str, source: str,
-              check_symbol: bool, collapse: bool) -> Ingest:
-    rows = cut(rows)  # parsed once; the verdicts and the output both read it
-    usable = rows.where(~_unparsable(check_symbol) & ~Q.opening_placeholder())
+def _marked(rows: DataFrame, frequency: str, check_symbol: bool) -> DataFrame:
+    """What the verdicts need of every row: its key, its tests and a digest of its values."""
+    bad, placeholder = _unparsable(check_symbol), Q.opening_placeholder()
+    sound = ~bad & ~placeholder
+    return rows.select(
+        "unit", "member", "block", "pos", "symbol", "bar_time", "expected_rows",
+        bad.alias("unparsable"), sound.alias("usable"),
+        (~F.col("symbol").eqNullSafe(F.col("file_symbol")) & F.col("file_symbol").isNotNull())
+        .alias("symbol_mismatch"),
+        (sound & Q.off_grid(frequency)).alias("off_grid"),
+        (sound & (Q.bad_ohlc() | Q.bad_amounts(rows))).alias("illegal"),
+        F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in BAR_VALUES]), 256)
+        .alias("digest"),
+    )
+
+
+def _assemble(parse, formats: DataFrame, units: DataFrame, frequency: str, source: str,
+              check_symbol: bool, collapse: bool, with_units: bool = False) -> Ingest:
+    """Judge all units on a narrow table of their rows, then read the accepted ones again.
+
+    ``parse`` turns formats into typed rows. Rows are not stored: the table holds keys, tests and digests only.
+    """
+    marked = cut(_marked(parse(formats), frequency, check_symbol))
+    usable = marked.where("usable").drop("digest")
     single = keep_newest(usable, ["unit", "symbol", "bar_time"], ["block", "pos"]) if collapse \
         else usable
     written = single.groupBy("unit").agg(
         F.count(F.lit(1)).alias("rows_written"), F.min("bar_time").alias("min_time"),
         F.max("bar_time").alias("max_time"))
     judged = (
-        units.join(_judge(rows, usable, frequency, check_symbol, collapse), "unit", "left")
+        units.join(_judge(marked, collapse), "unit", "left")
         .join(out_of_order(single).withColumn("unordered", F.lit(True)), "unit", "left")
         .join(written, "unit", "left")
     )
@@ -220,67 +237,72 @@ def _assemble(rows: DataFrame, units: DataFrame, frequency: str, source: str,
     )
     report = cut(report)
     accepted = report.where(F.col("status") == "success").select("unit")
-    bars = single.join(accepted, "unit", "left_semi").select(
+    rows = parse(formats.join(accepted, "unit", "left_semi"))
+    rows = rows.where(~_unparsable(check_symbol) & ~Q.opening_placeholder())
+    if collapse:
+        rows = keep_newest(rows, ["unit", "symbol", "bar_time"], ["block", "pos"])
+    bars = rows.select(
         "symbol", "asset_type", F.lit(frequency).alias("frequency"),
         F.col("bar_time").cast("date").alias("trade_date"), "bar_time", *BAR_VALUES,
         N.is_auction(F.col("asset_type"), F.col("bar_time")).alias("is_auction"),
         F.lit(source).alias("source"),
-    ).select(*MINUTE_COLUMNS)
+        "unit",
+    ).select(*MINUTE_COLUMNS, *(["unit"] if with_units else []))
     return Ingest(bars, report)
 
 
 def import_directory(spark: SparkSession, root: str, frequency: str = "5min",
                      convention: str = "source", use_manifest: bool = False) -> Ingest:
     """Per-symbol CSV files: identical duplicates collapse, conflicting ones reject the file."""
-    lines = L.csv_lines(spark, root).where(~F.col("member").endswith("/manifest.csv"))
-    formats = cut(L.file_formats(lines))
+    files = L.csv_files(spark, root).where(~F.col("member").endswith("/manifest.csv"))
+    formats = cut(L.file_formats(files))
     listed = manifest(spark, root) if use_manifest else None
     sources = cut(directory_sources(formats, root, listed))
     headers = L.has_columns(formats, REQUIRED)
-    readable = formats.join(
-        headers.where(F.col("missing_columns") == ""), "member", "left_semi")
-    rows = normalise(L.parse_lines(lines, readable), frequency, convention).join(
-        sources.select("member", "file_symbol", F.col("file_asset_type").alias("asset_type"),
-                       "expected_rows"), "member")
-    error = F.when(F.coalesce("missing_columns", F.lit("")) != "", F.concat(
-        F.lit("missing columns: "), F.col("missing_columns"))).otherwise("")
-    units = sources.join(headers, "member", "left").select(
-        F.col("member").alias("unit"), error.alias("error"))
-    return _assemble(rows, units, frequency, "minute_directory", check_symbol=False, collapse=True)
+    claims = sources.select("member", "file_symbol", F.col("file_asset_type").alias("asset_type"),
+                            "expected_rows")
+    readable = formats.join(headers.where(F.col("missing_columns") == ""), "member", "left_semi").join(
+        sources, "member", "left_semi")
+
+    def parse(chosen: DataFrame) -> DataFrame:
+        return normalise(L.parse_rows(chosen), frequency, convention).join(claims, "member")
+
+    units = sources.join(headers, "member", "left").join(formats.select("member", "error"), "member").select(
+        F.col("member").alias("unit"), _problem().alias("error"))
+    return _assemble(parse, readable, units, frequency, "minute_directory", check_symbol=False, collapse=True)
+
+
+def _problem() -> Column:
+    return F.when(F.col("error") != "", F.col("error")).when(
+        F.coalesce("missing_columns", F.lit("")) != "",
+        F.concat(F.lit("missing columns: "), F.col("missing_columns"))).otherwise("")
 
 
 def import_archives(spark: SparkSession, root: str, frequency: str = "1min",
                     asset_type: str = "auto", convention: str = "source") -> Ingest:
     """ZIP archives: any bad or repeated row rejects the whole archive."""
-    members = cut(archive.zip_members(spark, root))
-    return import_lines(archive.zip_lines(spark, members), members, frequency, asset_type,
-                        convention, "minute_zip")
-
-
-def import_lines(lines: DataFrame, members: DataFrame, frequency: str, asset_type: str = "auto",
-                 convention: str = "source", source: str = "minute_zip") -> Ingest:
-    """Shared by archives and the streaming inbox; ``members`` carries (unit, error)."""
-    formats = cut(L.file_formats(lines))
-    required = {"open", "high", "low", "close", "volume"}
-    headers = L.has_columns(formats, required)
-    readable = formats.join(
-        headers.where(F.col("missing_columns") == ""), "member", "left_semi")
-    parsed = L.parse_lines(lines, readable)
-    named = parsed.withColumn("symbol", F.coalesce(
-        "symbol", N.symbol_from_file_name(F.col("member"))))
-    rows = normalise(named, frequency, convention)
-    rows = rows.select(
-        "*", N.minute_asset_type(F.col("symbol"), N.parent_folder(F.col("member")), asset_type)
-        .alias("asset_type"),
-        F.lit(None).cast("string").alias("file_symbol"),
-        F.lit(None).cast("bigint").alias("expected_rows"),
-    )
-    lacking = headers.where(F.col("missing_columns") != "").select(
-        F.substring_index("member", "!/", 1).alias("unit"), "missing_columns"
-    ).groupBy("unit").agg(F.max("missing_columns").alias("missing_columns"))
-    error = F.when(F.col("error") != "", F.col("error")).when(
-        F.col("missing_columns").isNotNull(),
-        F.concat(F.lit("missing columns: "), F.col("missing_columns"))).otherwise("")
-    units = members.groupBy("unit").agg(F.max("error").alias("error")).join(
-        lacking, "unit", "left").select("unit", error.alias("error"))
-    return _assemble(rows, units, frequency, source, check_symbol=True, collapse=False)
+    return import_members(archive.zip_members(spark, root), frequency, asset_type, convention, "minute_zip")
+
+
+def import_members(members: DataFrame, frequency: str, asset_type: str = "auto",
+                   convention: str = "source", source: str = "minute_zip",
+                   with_units: bool = False) -> Ingest:
+    """Shared by archives and the streaming inbox; ``members`` carries (unit, member, entry, error)."""
+    formats = cut(L.file_formats(members))
+    headers = L.has_columns(formats, {"open", "high", "low", "close", "volume"})
+    judged = formats.join(headers, "member").select("unit", _problem().alias("error"))
+    units = judged.groupBy("unit").agg(F.max("error").alias("error"))
+    readable = formats.join(units.where(F.col("error") == ""), "unit", "left_semi")
+
+    def parse(chosen: DataFrame) -> DataFrame:
+        named = L.parse_rows(chosen).withColumn("symbol", F.coalesce(
+            "symbol", N.symbol_from_file_name(F.col("member"))))
+        return normalise(named, frequency, convention).select(
+            "*", N.minute_asset_type(F.col("symbol"), N.parent_folder(F.col("member")), asset_type)
+            .alias("asset_type"),
+            F.lit(None).cast("string").alias("file_symbol"),
+            F.lit(None).cast("bigint").alias("expected_rows"),
+        )
+
+    return _assemble(parse, readable, units, frequency, source, check_symbol=True, collapse=False,
+                     with_units=with_units)

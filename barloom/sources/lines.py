@@ -1,20 +1,31 @@
-"""Vendor CSV files of mixed headers, delimiters and encodings as one splittable line source.
+"""Vendor CSV files and ZIP members of mixed headers, delimiters and encodings as one row source.
 
-Lines are read with Spark's text source (large files are split), keep their raw bytes and their
-position, and are parsed by the header of their own file. Quoted line breaks are not supported.
+A file (or member) is the unit of reading: one task streams it, finds its charset, delimiter and header in
+the content, and parses it with quoted cells and quoted line breaks. Nothing depends on how files are packed
+into tasks, and what is wrong with a file is a value of its row, never an error of the job. Many files are
+read at once; one very large file is one task's stream and is never held in memory.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import codecs
+import csv
+import io
+import zipfile
+import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barloom.constants import CSV_CHARSETS, CSV_DELIMITERS, MINUTE_ALIASES
 from barloom.functions.normalize import map_headers
 
-MAX_FORMATS = 200
-_BOM = "﻿"
+CHUNK_BYTES = 1 << 20
+BATCH_ROWS = 20_000
+DAMAGE = (zipfile.BadZipFile, zlib.error, EOFError)
+_CODECS = {"UTF-8": "utf-8-sig", "GB18030": "gb18030"}
 
 
 def decoded_path(path: Column) -> Column:
@@ -22,107 +33,168 @@ def decoded_path(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def csv_lines(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
-    """(unit, member, block, pos, raw): every line of every matching file below ``root``.
-
-    ``block`` is the split's offset and ``pos`` grows inside a split, so (block, pos) is the order
-    of the lines of a file. ``unit`` is what gets accepted or rejected as a whole: the file.
-    """
-    text = (
-        spark.read.format("text").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern).load(root)
-    )
-    path = decoded_path(F.col("_metadata.file_path"))
-    return text.select(
-        path.alias("unit"), path.alias("member"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
-        F.col("value").cast("binary").alias("raw"),
-    )
-
-
-def line_text(raw: Column, charset: Column) -> Column:
-    other = F.decode(raw, CSV_CHARSETS[1])
-    text = F.when(charset == CSV_CHARSETS[0], raw.cast("string")).otherwise(other)
-    return F.regexp_replace(text, f"^{_BOM}", "")
-
-
-def file_formats(lines: DataFrame) -> DataFrame:
-    """Per member: header text, its position, charset and delimiter.
-
-    One hash aggregate over the lines: the first non-blank line and whether all bytes are valid
-    UTF-8 (otherwise the GB family is assumed).
-    """
-    blank = F.trim(F.col("raw").cast("string")) == ""
-    first = F.when((F.col("block") == 0) & ~blank, F.col("pos"))
-    found = lines.groupBy("member").agg(
-        F.min(first).alias("header_pos"),
-        F.min_by("raw", first).alias("header_raw"),
-        F.collect_set(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"),
-    )
-    charset = F.when(F.array_contains("utf8", False), CSV_CHARSETS[1]).otherwise(CSV_CHARSETS[0])
-    header = line_text(F.col("header_raw"), F.col("charset"))
-    counted = [F.struct(F.regexp_count("header", F.lit(f"[{sep}]")).alias("n"),
-                        F.lit(-i).alias("rank"), F.lit(sep).alias("sep"))
-               for i, sep in enumerate(CSV_DELIMITERS)]
+def csv_files(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
+    """(unit, member, entry, error): every matching file below ``root``; only names are read."""
+    path = decoded_path(F.col("path"))
     return (
-        found.withColumn("charset", charset).withColumn("header", header)
-        .withColumn("sep", F.greatest(*counted)["sep"])
-        .select("member", "header_pos", "header", "charset", "sep")
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", pattern).load(root)
+        .select(path.alias("unit"), path.alias("member"), F.lit("").alias("entry"), F.lit("").alias("error"))
     )
 
 
-def distinct_formats(formats: DataFrame) -> list[tuple[str, str, str]]:
-    """The few distinct (header, delimiter, charset) combinations, fetched to build parsers."""
-    rows = formats.select("header", "sep", "charset").distinct().limit(MAX_FORMATS + 1).collect()
-    if len(rows) > MAX_FORMATS:
-        raise ValueError(f"more than {MAX_FORMATS} different file formats below one root")
-    return sorted((row["header"] or "", row["sep"], row["charset"]) for row in rows)
-
-
-def split_header(header: str, sep: str) -> list[str]:
-    return [cell.strip().strip('"') for cell in header.split(sep)]
-
-
-def has_columns(formats: DataFrame, required: set[str], aliases=MINUTE_ALIASES) -> DataFrame:
-    """Members with the canonical columns their header lacks."""
-    checks = []
-    for header, sep, _ in distinct_formats(formats):
-        missing = sorted(required - set(map_headers(split_header(header, sep), aliases).values()))
-        checks.append(F.when(
-            (F.coalesce("header", F.lit("")) == header) & (F.col("sep") == sep),
-            F.lit(",".join(missing)),
-        ))
-    lacking = F.coalesce(*checks) if checks else F.lit("")
+@contextmanager
+def open_member(unit: str, entry: str):
+    """Byte stream of a file, or of an archive's member."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(unit)
+    if not entry:
+        with system.open_input_stream(inner, compression=None) as stream:
+            yield stream
+    else:
+        with system.open_input_file(inner) as handle, zipfile.ZipFile(handle) as archive:
+            with archive.open(entry) as stream:
+                yield stream
+
+
+def charset_of(chunks: Iterator[bytes]) -> str | None:
+    """The first known charset that decodes all chunks, or None."""
+    alive = {name: codecs.getincrementaldecoder(_CODECS[name])() for name in CSV_CHARSETS}
+    for chunk in (*chunks, None):
+        for name in list(alive):
+            try:
+                alive[name].decode(chunk or b"", chunk is None)
+            except UnicodeDecodeError:
+                del alive[name]
+        if not alive:
+            return None
+    return next(name for name in CSV_CHARSETS if name in alive)
+
+
+def _cells(stream, charset: str, sep: str | None = None):
+    """Delimiter and an iterator over the cells of every non-blank record, the header first."""
+    text = io.TextIOWrapper(io.BufferedReader(_Raw(stream)), _CODECS[charset], newline="")
+    lead = ""
+    for line in text:
+        lead += line
+        if line.strip():
+            break
+    lead = lead.lstrip()
+    sep = sep or max(CSV_DELIMITERS, key=lambda mark: (lead.count(mark), -CSV_DELIMITERS.index(mark)))
+
+    def lines():
+        if lead:
+            yield lead
+            yield from text
+
+    csv.field_size_limit(1 << 30)
+    return sep, (row for row in csv.reader(lines(), delimiter=sep) if any(cell.strip() for cell in row))
+
+
+class _Raw(io.RawIOBase):
+    """What ``io`` needs of a stream that only has ``read``."""
+
+    def __init__(self, stream) -> None:
+        self.stream = stream
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.stream.read(len(buffer))
+        buffer[:len(data)] = data
+        return len(data)
+
+
+def _examined(unit: str, entry: str, aliases) -> tuple[str, str, str, list[str]]:
+    """Error, charset, delimiter and canonical columns of one member."""
+    try:
+        with open_member(unit, entry) as stream:
+            charset = charset_of(iter(lambda: stream.read(CHUNK_BYTES), b""))
+        if charset is None:
+            return f"neither {' nor '.join(CSV_CHARSETS)}", "", "", []
+        with open_member(unit, entry) as stream:
+            sep, rows = _cells(stream, charset)
+            header = next(rows, [])
+    except DAMAGE:
+        return "damaged member", "", "", []
+    except (OSError, csv.Error) as exc:
+        return f"unreadable: {type(exc).__name__}", "", "", []
+    return "", charset, sep, sorted(map_headers(header, aliases).values())
+
+
+def file_formats(members: DataFrame, aliases=MINUTE_ALIASES) -> DataFrame:
+    """Per member: what is wrong with it (or ``''``), its charset, delimiter and canonical columns."""
+    fixed = {canonical: tuple(names) for canonical, names in aliases.items()}
+
+    def examine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(row.error, "", "", []) if row.error else _examined(row.unit, row.entry, fixed)
+                     for row in batch.itertuples(index=False)]
+            out = pd.DataFrame(found, columns=["error", "charset", "sep", "found"])
+            yield pd.concat([batch[["unit", "member", "entry"]].reset_index(drop=True), out], axis=1)
+
+    return members.select("unit", "member", "entry", "error").repartition("unit", "entry").mapInPandas(
+        examine, "unit string, member string, entry string, error string, charset string, sep string, "
+                 "found array<string>")
+
+
+def has_columns(formats: DataFrame, required: set[str]) -> DataFrame:
+    """Members with the canonical columns their header lacks; ``''`` too for members with an error."""
+    wanted = F.array(*[F.lit(name) for name in sorted(required)])
+    lacking = F.when(F.col("error") == "", F.array_join(F.array_except(wanted, "found"), ",")).otherwise("")
     return formats.select("member", lacking.alias("missing_columns"))
 
 
-def parse_lines(lines: DataFrame, formats: DataFrame, aliases=MINUTE_ALIASES) -> DataFrame:
-    """Data lines with canonical text columns, each parsed by its own file's header.
+def parse_rows(formats: DataFrame, aliases=MINUTE_ALIASES) -> DataFrame:
+    """(unit, member, block, pos, canonical text columns) of every data record of the sound members.
 
-    All formats are handled in one pass over the lines (a CASE over the few formats).
+    ``pos`` counts a member's records and ``block`` its batches. A record that a damaged file breaks off in has only
+    nulls, so that the file is found unparsable.
     """
-    joined = lines.join(formats, "member").where(
-        (F.col("pos") != F.col("header_pos")) & (F.trim(F.col("raw").cast("string")) != "")
-    ).withColumn("line", line_text(F.col("raw"), F.col("charset")))
-    branches = []
-    for header, sep, charset in distinct_formats(formats):
-        names = split_header(header, sep)
-        mapping = map_headers(names, aliases)
-        schema = ", ".join(f"c{i} string" for i in range(len(names)))
-        parsed = F.from_csv("line", schema, {"sep": sep})
-        at = {canonical: names.index(raw) for raw, canonical in mapping.items()}
-        record = F.struct(*[
-            (parsed[f"c{at[name]}"] if name in at else F.lit(None).cast("string")).alias(name)
-            for name in aliases
-        ])
-        same = ((F.coalesce("header", F.lit("")) == header) & (F.col("sep") == sep)
-                & (F.col("charset") == charset))
-        branches.append((same, record))
-    if not branches:
-        empty = F.struct(*[F.lit(None).cast("string").alias(name) for name in aliases])
-        branches.append((F.lit(True), empty))
-    chosen = reduce(lambda acc, b: acc.when(*b), branches[1:], F.when(*branches[0]))
-    return joined.withColumn("record", chosen).select(
-        "unit", "member", "block", "pos", *[F.col(f"record.{name}").alias(name) for name in aliases]
+    fixed = {canonical: tuple(names) for canonical, names in aliases.items()}
+    columns = list(fixed)
+
+    def records(row) -> Iterator[list[list[str]]]:
+        batch: list[list[str]] = []
+        try:
+            with open_member(row.unit, row.entry) as stream:
+                _, rows = _cells(stream, row.charset, row.sep)
+                header = next(rows, [])
+                yield [header]
+                for cells in rows:
+                    batch.append(cells)
+                    if len(batch) == BATCH_ROWS:
+                        yield batch
+                        batch = []
+        except (*DAMAGE, OSError, csv.Error):
+            batch.append([])
+        yield batch
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                places, pos = {}, 0
+                for number, cells in enumerate(records(row)):
+                    if number == 0:
+                        header = cells[0] if cells else []
+                        places = {canonical: header.index(name)
+                                  for name, canonical in map_headers(header, fixed).items()}
+                        continue
+                    if not cells:
+                        continue
+                    out = {"unit": row.unit, "member": row.member, "block": number,
+                           "pos": range(pos, pos + len(cells))}
+                    for name in columns:
+                        at = places.get(name)
+                        out[name] = [None if at is None or at >= len(c) else c[at] or None for c in cells]
+                    pos += len(cells)
+                    yield pd.DataFrame(out, columns=["unit", "member", "block", "pos", *columns])
+
+    texts = ", ".join(f"{name} string" for name in columns)
+    return (
+        formats.where(F.col("error") == "").select("unit", "member", "entry", "charset", "sep")
+        .repartition("unit", "entry")
+        .mapInPandas(parse, f"unit string, member string, block bigint, pos bigint, {texts}")
     )

@@ -1,21 +1,28 @@
 """Parquet layouts of daily bars, market caps and minute bars: readers and keyed writers.
 
-Writers touch only the partitions the incoming rows fall into (dynamic partition overwrite);
-the rest of a store is never rewritten.
+Bars are laid out by period and by a fixed hash bucket of the symbol, so that one symbol's history is one bucket of every
+period and one new day is one slice of its period. Writers find the folders that the incoming rows touch, read those with
+partition filters, compute the merged slice once into the shared folder and overwrite from that copy: a job that dies
+half-way leaves a whole copy of the slice behind, and the rest of a store is never rewritten.
 """
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from barloom.constants import BAR_VALUES
 from barloom.functions.normalize import with_daily_metadata
 from barloom.operators.panel import keep_newest
 from barloom.operators.quality import DataQualityError, conflicting_keys
 from barloom.schema import DAILY_BAR, MINUTE_BAR
+from barloom.session import cut, discard
 
-DAILY_PARTITION = ["asset_type", "adjustment", "year"]
-MINUTE_PARTITION = ["frequency", "year"]
-_DAILY_KEY = ["symbol", "trade_date", "adjustment"]
+BUCKETS = 16  # hash buckets of the symbol; fixed for the life of a store
+DAILY_PARTITION = ["asset_type", "adjustment", "year", "bucket"]
+MINUTE_PARTITION = ["frequency", "year", "month", "bucket"]
+_DAILY_KEY = ["symbol", "trade_date", "asset_type", "adjustment"]
 _MINUTE_KEY = ["symbol", "bar_time"]
 
 
@@ -24,6 +31,14 @@ def _day(value) -> Column:
 
 
 # ---- layout ----------------------------------------------------------------------------------
+def bucket_of(symbol: Column) -> Column:
+    return (F.crc32(symbol.cast("binary")) % BUCKETS).cast("int")
+
+
+def _buckets(symbols) -> list[int]:
+    return sorted({zlib.crc32(symbol.encode("utf-8")) % BUCKETS for symbol in symbols})
+
+
 def _write(frame: DataFrame, root: str, partition: list[str], order: list[str]) -> None:
     """Range-spread rows so that a large partition is written by many tasks, sorted inside."""
     (
@@ -39,23 +54,52 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def _drop_partitions(spark: SparkSession, root: str, partition: list[str], rows) -> None:
-    """Remove partition folders that hold no row any more."""
-    conf = spark._jsc.hadoopConfiguration()
-    for row in rows:
-        tail = "/".join(f"{name}={row[name]}" for name in partition)
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{tail}")
-        target.getFileSystem(conf).delete(target, True)
-
-
-def _touched(frame: DataFrame, partition: list[str]) -> DataFrame:
-    """Partition values of a frame: as many rows as folders, so fit to broadcast."""
-    return F.broadcast(frame.select(*partition).distinct())
+def _folders(frame: DataFrame, columns: list[str]) -> list:
+    """Distinct partition values: folder names, so few that they are fetched."""
+    return frame.select(*columns).distinct().collect()
+
+
+def _inside(folders: list, columns: list[str]) -> Column:
+    """Partition filter that covers the folders: the values that occur, column by column."""
+    if not folders:
+        return F.lit(False)
+    test = F.lit(True)
+    for name in columns:
+        test = test & F.col(name).isin(sorted({row[name] for row in folders}))
+    return test
+
+
+def _publish(spark: SparkSession, root: str, merged: DataFrame, partition: list[str], order: list[str],
+             before: list = ()) -> None:
+    """Overwrite the folders of ``merged`` from a finished copy; then remove those ``before`` that got no row."""
+    copy = cut(merged)
+    _write(copy, root, partition, order)
+    if before:
+        conf = spark._jsc.hadoopConfiguration()
+        after = {tuple(row) for row in _folders(copy, partition)}
+        for row in before:
+            if tuple(row[name] for name in partition) not in after:
+                tail = "/".join(f"{name}={row[name]}" for name in partition)
+                target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{tail}")
+                system = target.getFileSystem(conf)
+                system.delete(target, True)
+                for _ in partition[:-1]:  # folders above that are empty now
+                    target = target.getParent()
+                    if len(system.listStatus(target)):
+                        break
+                    system.delete(target, False)
+    discard(copy)
+
+
+def _rank(order: list[str] | None, columns: list[str]) -> Column:
+    """What decides between rows of one key: the given order, else the greatest row, whatever the task layout."""
+    return F.struct(*(order or columns))
 
 
 # ---- daily bars ------------------------------------------------------------------------------
 def _daily_schema() -> T.StructType:
-    extra = [T.StructField("asset_type", T.StringType()), T.StructField("year", T.IntegerType())]
+    extra = [T.StructField("asset_type", T.StringType()), T.StructField("year", T.IntegerType()),
+             T.StructField("bucket", T.IntegerType())]
     return T.StructType([*DAILY_BAR.fields, *extra])
 
 
@@ -79,8 +123,8 @@ def read_daily(spark: SparkSession, root: str, symbols=(), start=None, end=None,
     if end is not None:
         out = out.where((F.col("year") <= F.year(_day(end))) & (F.col("trade_date") <= _day(end)))
     if symbols:
-        out = out.where(F.col("symbol").isin(list(symbols)))
-    return out.drop("year")
+        out = out.where(F.col("bucket").isin(_buckets(symbols)) & F.col("symbol").isin(list(symbols)))
+    return out.drop("year", "bucket")
 
 
 def read_daily_dates(spark: SparkSession, root: str, dates: DataFrame, symbols=(),
@@ -89,72 +133,76 @@ def read_daily_dates(spark: SparkSession, root: str, dates: DataFrame, symbols=(
     bars = daily_store(spark, root).where(
         (F.col("asset_type") == asset_type) & (F.col("adjustment") == adjustment))
     if symbols:
-        bars = bars.where(F.col("symbol").isin(list(symbols)))
+        bars = bars.where(F.col("bucket").isin(_buckets(symbols)) & F.col("symbol").isin(list(symbols)))
     wanted = dates.select("trade_date").distinct().withColumn("year", F.year("trade_date"))
-    return bars.join(F.broadcast(wanted), ["year", "trade_date"], "left_semi").drop("year")
+    return bars.join(F.broadcast(wanted), ["year", "trade_date"], "left_semi").drop(
+        "year", "bucket")
 
 
 def _daily_rows(frame: DataFrame, asset_type: str | None, order: list[str] | None) -> DataFrame:
-    rows = with_daily_metadata(frame, asset_type).withColumn("year", F.year("trade_date"))
+    rows = with_daily_metadata(frame, asset_type).withColumns(
+        {"year": F.year("trade_date"), "bucket": bucket_of(F.col("symbol"))})
     names = [f.name for f in _daily_schema().fields if f.name in rows.columns]
     return rows.select(*names, *[c for c in order or [] if c not in names])
 
 
 def merge_daily(stored: DataFrame, incoming: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Old rows united with new ones by column name; new beats old, later beats earlier."""
-    rank = F.struct(*order) if order else F.monotonically_increasing_id()
-    new = incoming.withColumns({"turn": F.lit(1), "rank": rank})
-    old = stored.withColumns({
-        "turn": F.lit(0), "rank": F.lit(None) if order else F.monotonically_increasing_id()})
+    """Old rows united with new ones by column name. New beats old; of new rows for one key the last by ``order``
+    wins, or without an order the greatest row."""
+    values = [c for c in incoming.columns if c not in _DAILY_KEY]
+    new = incoming.withColumns({"turn": F.lit(1), "rank": _rank(order, values)})
+    old = stored.withColumns({"turn": F.lit(0), "rank": F.lit(None)})
     both = old.unionByName(new, allowMissingColumns=True)
     return keep_newest(both, _DAILY_KEY, ["turn", "rank"]).drop("turn", "rank")
 
 
+def touched_daily(spark: SparkSession, root: str, incoming: DataFrame, columns: list[str]) -> DataFrame:
+    """Stored rows of the folders whose ``columns`` agree with incoming rows; only those folders are listed."""
+    if not _exists(spark, root):
+        return spark.createDataFrame([], _daily_schema())
+    return daily_store(spark, root).where(_inside(_folders(incoming, columns), columns))
+
+
 def write_daily(frame: DataFrame, root: str, asset_type: str | None = None,
                 order: list[str] | None = None) -> None:
-    """Upsert daily bars by (symbol, trade_date, adjustment)."""
+    """Upsert daily bars by (symbol, trade_date, asset_type, adjustment)."""
     spark = frame.sparkSession
     names = [f.name for f in _daily_schema().fields]
     incoming = _daily_rows(frame, asset_type, order)
-    if _exists(spark, root):
-        stored = daily_store(spark, root).join(
-            _touched(incoming, DAILY_PARTITION), DAILY_PARTITION, "left_semi")
-    else:
-        stored = spark.createDataFrame([], _daily_schema())
+    stored = touched_daily(spark, root, incoming, DAILY_PARTITION)
     merged = merge_daily(stored, incoming, order).select(*names)
-    _write(merged, root, DAILY_PARTITION, ["symbol", "trade_date"])
+    _publish(spark, root, merged, DAILY_PARTITION, ["symbol", "trade_date"])
 
 
 def replace_daily(frame: DataFrame, root: str, asset_type: str | None = None,
                   order: list[str] | None = None) -> None:
-    """The incoming rows become the whole history of their (symbol, adjustment) pairs."""
+    """The incoming rows become the whole history of their (symbol, asset_type, adjustment)."""
     spark = frame.sparkSession
     names = [f.name for f in _daily_schema().fields]
     empty = spark.createDataFrame([], _daily_schema())
     incoming = merge_daily(empty, _daily_rows(frame, asset_type, order), order).select(*names)
     _replace(spark, root, incoming, daily_store, DAILY_PARTITION,
-             ["asset_type", "adjustment", "symbol"], ["symbol", "trade_date"])
+             ["asset_type", "adjustment", "bucket"], ["asset_type", "adjustment", "symbol"],
+             ["symbol", "trade_date"])
 
 
 def _replace(spark: SparkSession, root: str, incoming: DataFrame, store, partition: list[str],
-             owner: list[str], order: list[str]) -> None:
-    """Drop the owners' old rows everywhere, add the incoming ones, clear emptied folders.
+             place: list[str], owner: list[str], order: list[str]) -> None:
+    """Drop the owners' old rows, add the incoming ones, clear emptied folders.
 
-    An empty delivery names no owner and therefore deletes nothing.
+    Owners can only have rows in folders that share their ``place``; no other folder is read. An empty delivery names
+    no owner and therefore deletes nothing.
     """
     if not _exists(spark, root):
-        _write(incoming, root, partition, order)
+        _publish(spark, root, incoming, partition, order)
         return
     owners = incoming.select(*owner).distinct()
-    stored = store(spark, root)
-    affected = stored.join(owners, owner, "left_semi").select(*partition).distinct()
-    before = affected.collect()  # folder names only
-    kept = stored.join(F.broadcast(affected), partition, "left_semi").join(
-        owners, owner, "left_anti")
-    merged = kept.unionByName(incoming).select(*incoming.columns)
-    after = {tuple(row) for row in merged.select(*partition).distinct().collect()}
-    _write(merged, root, partition, order)
-    _drop_partitions(spark, root, partition, [r for r in before if tuple(r) not in after])
+    stored = store(spark, root).where(_inside(_folders(incoming, place), place))
+    affected = stored.join(owners, owner, "left_semi")
+    before = _folders(affected, partition)
+    touched = [*before, *_folders(incoming, partition)]
+    kept = stored.where(_inside(touched, partition)).join(owners, owner, "left_anti")
+    _publish(spark, root, kept.unionByName(incoming).select(*incoming.columns), partition, order, before)
 
 
 # ---- market caps -----------------------------------------------------------------------------
@@ -185,11 +233,10 @@ def write_daily_basic(frame: DataFrame, root: str, replace_dates: bool = False,
         raise DataQualityError("market-cap rows need total_mv")
     spark = frame.sparkSession
     columns = ["symbol", "trade_date", "total_mv", "year"]
-    rank = F.struct(*order) if order else F.monotonically_increasing_id()
-    rows = frame.withColumns({"year": F.year("trade_date"), "turn": F.lit(1), "rank": rank}).select(
-        *columns, "turn", "rank")
+    rows = frame.withColumns({"year": F.year("trade_date"), "turn": F.lit(1),
+                              "rank": _rank(order, ["total_mv"])}).select(*columns, "turn", "rank")
     if _exists(spark, root):
-        stored = basic_store(spark, root).join(_touched(rows, ["year"]), "year", "left_semi")
+        stored = basic_store(spark, root).where(_inside(_folders(rows, ["year"]), ["year"]))
         if replace_dates:
             delivered = F.broadcast(rows.select("trade_date").distinct())
             stored = stored.join(delivered, "trade_date", "left_anti")
@@ -197,12 +244,13 @@ def write_daily_basic(frame: DataFrame, root: str, replace_dates: bool = False,
             *columns, "turn", "rank")
         rows = rows.union(old)
     merged = keep_newest(rows, ["symbol", "trade_date"], ["turn", "rank"]).select(*columns)
-    _write(merged, root, ["year"], ["trade_date", "symbol"])
+    _publish(spark, root, merged, ["year"], ["trade_date", "symbol"])
 
 
 # ---- minute bars -----------------------------------------------------------------------------
 def _minute_schema() -> T.StructType:
-    return T.StructType([*MINUTE_BAR.fields, T.StructField("year", T.IntegerType())])
+    return T.StructType([*MINUTE_BAR.fields, *[T.StructField(name, T.IntegerType())
+                                               for name in ("year", "month", "bucket")]])
 
 
 def minute_store(spark: SparkSession, root: str) -> DataFrame:
@@ -216,22 +264,31 @@ def read_minute(spark: SparkSession, root: str, symbols, start, end, frequency:
         raise ValueError("name at least one symbol")
     first, last = (F.lit(str(v)).cast("timestamp_ntz") for v in (start, end))
     out = minute_store(spark, root).where(
-        (F.col("frequency") == frequency) & F.col("symbol").isin(list(symbols))
+        (F.col("frequency") == frequency) & F.col("bucket").isin(_buckets(symbols))
+        & F.col("symbol").isin(list(symbols))
         & F.col("year").between(F.year(first), F.year(last))
         & F.col("bar_time").between(first, last))
     if asset_types:
         out = out.where(F.col("asset_type").isin(list(asset_types)))
-    return out.drop("year")
+    return out.drop("year", "month", "bucket")
 
 
 def _minute_rows(frame: DataFrame) -> DataFrame:
-    rows = frame.withColumn("year", F.year("bar_time"))
+    rows = frame.withColumns({"year": F.year("bar_time"), "month": F.month("bar_time"),
+                              "bucket": bucket_of(F.col("symbol"))})
     return rows.select(*[f.name for f in _minute_schema().fields])
 
 
+def touched_minutes(spark: SparkSession, root: str, incoming: DataFrame, columns: list[str]) -> DataFrame:
+    if not _exists(spark, root):
+        return spark.createDataFrame([], _minute_schema())
+    return minute_store(spark, root).where(_inside(_folders(incoming, columns), columns))
+
+
 def write_minute(frame: DataFrame, root: str) -> None:
-    """Write minute bars by frequency and year, replacing those folders."""
-    _write(_minute_rows(frame), root, MINUTE_PARTITION, ["symbol", "bar_time"])
+    """Write minute bars: the rows become their symbols' whole years; other symbols and years stay."""
+    _replace(frame.sparkSession, root, _minute_rows(frame), minute_store, MINUTE_PARTITION,
+             ["frequency", "year", "bucket"], ["frequency", "symbol", "year"], ["symbol", "bar_time"])
 
 
 def minute_conflicts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -245,27 +302,42 @@ def merge_minute_rows(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return keep_newest(both, ["frequency", *_MINUTE_KEY], ["source"])
 
 
+def clashing_units(frame: DataFrame, root: str) -> DataFrame:
+    """``unit`` of new bars (with that column) that disagree with stored bars, or with bars of a unit before them.
+
+    Of units that only disagree among themselves the first by name stays.
+    """
+    spark = frame.sparkSession
+    rows = _minute_rows(frame)
+    stored = touched_minutes(spark, root, rows, MINUTE_PARTITION)
+    keys, values = ["frequency", *_MINUTE_KEY], [*BAR_VALUES, "asset_type"]
+    tagged = frame.select(*keys, "unit", F.struct(*values).alias("value"))
+    known = stored.select(*keys, F.struct(*values).alias("known"))
+    against = tagged.join(known, keys).where(~F.col("value").eqNullSafe(F.col("known"))).select("unit").distinct()
+    rest = tagged.join(against, "unit", "left_anti")
+    first = rest.groupBy(*keys).agg(F.min(F.struct("unit", "value")).alias("first"))
+    later = rest.join(first, keys).where(
+        (F.col("unit") > F.col("first.unit")) & ~F.col("value").eqNullSafe(F.col("first.value")))
+    return against.union(later.select("unit")).distinct()
+
+
 def merge_minute(frame: DataFrame, root: str) -> None:
     """Incremental merge: equal repeats collapse, a conflicting bar stops the merge."""
     spark = frame.sparkSession
     incoming = _minute_rows(frame)
-    if not _exists(spark, root):
-        stored = spark.createDataFrame([], _minute_schema())
-    else:
-        stored = minute_store(spark, root).join(
-            _touched(incoming, MINUTE_PARTITION), MINUTE_PARTITION, "left_semi")
+    stored = touched_minutes(spark, root, incoming, MINUTE_PARTITION)
     clash = minute_conflicts(stored, incoming).take(3)
     if clash:
         keys = ", ".join(f"{row['symbol']} {row['bar_time']}" for row in clash)
         raise DataQualityError(f"minute bars conflict with stored ones: {keys}")
     merged = merge_minute_rows(stored, incoming).select(*incoming.columns)
-    _write(merged, root, MINUTE_PARTITION, ["symbol", "bar_time"])
+    _publish(spark, root, merged, MINUTE_PARTITION, ["symbol", "bar_time"])
 
 
 def mirror_minute(frame: DataFrame, root: str) -> None:
     """Files are the full truth of their symbols: years absent from them disappear."""
     _replace(frame.sparkSession, root, _minute_rows(frame), minute_store, MINUTE_PARTITION,
-             ["frequency", "symbol"], ["symbol", "bar_time"])
+             ["frequency", "bucket"], ["frequency", "symbol"], ["symbol", "bar_time"])
 
 
 # ---- result files ----------------------------------------------------------------------------

@@ -88,7 +88,7 @@ def test_manifest_decides_files_and_row_counts(spark, tmp_path):
         False, False, True, False]
     result, report = run(spark, tmp_path, use_manifest=True)
     assert {k: r["status"] for k, r in report.items()} == {"a.csv": "success", "b.csv": "failed"}
-    formats = L.file_formats(L.csv_lines(spark, f"{tmp_path}/stock"))
+    formats = L.file_formats(L.csv_files(spark, f"{tmp_path}/stock"))
     good = listed.where("problem = ''")
     sources = ingest.directory_sources(formats, str(tmp_path), good)
     found = {(r["finding"], r["key"]): r["count"]
@@ -166,3 +166,57 @@ def test_conflicting_increment_stops_the_merge(spark, tmp_path):
     with pytest.raises(DataQualityError, match="conflict"):
         store.merge_minute(run(spark, tmp_path / "b")[0].bars, target)
     assert store.minute_store(spark, target).first()["close"] == 1.5
+
+
+def test_every_bad_file_is_rejected_alone(spark, tmp_path):
+    for i in range(300):
+        write(tmp_path / f"stock/{i:06d}.SZ.csv", f"{i},2024-01-03 09:31:00,1,2,0.5,1.5,10\n")
+    (tmp_path / "stock/100001.SZ.csv").write_bytes(b"\xff\xff\x00 neither\n\xff")
+    write(tmp_path / "stock/600000.SH.csv", HEADER + rows("600000.SH", "09:31"))
+    quoted = HEADER.replace("amount", '"amount"').replace("\n", ',"a ""note""\nin lines"\n')
+    body = rows("600001.SH", "09:31", "09:32").replace(",100\n", ',100,"two\nlines"\n')
+    write(tmp_path / "stock/600001.SH.csv", "\n\n" + quoted + body)
+    result, report = run(spark, tmp_path)
+    assert report["100001.SZ.csv"]["reason"] == "neither UTF-8 nor GB18030"
+    assert sum(r["reason"].startswith("missing columns") for r in report.values()) == 300
+    assert report["600001.SH.csv"]["status"] == "success"
+    assert sorted(r["symbol"] for r in result.bars.collect()) == ["600000.SH", "600001.SH", "600001.SH"]
+
+
+def test_import_does_not_depend_on_the_layout_of_tasks(spark, tmp_path):
+    for i in range(12):
+        write(tmp_path / f"stock/{i:06d}.SZ.csv", HEADER + rows(f"{i:06d}.SZ", *[f"09:{m}" for m in range(31, 51)]))
+    seen = set()
+    for pieces in ("1", "7", "64"):
+        spark.conf.set("spark.sql.files.minPartitionNum", pieces)
+        try:
+            result, report = run(spark, tmp_path)
+            spark.conf.set("spark.sql.files.minPartitionNum", "3")
+            seen.add((result.bars.count(), sum(r["rows_written"] for r in report.values())))
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert seen == {(240, 240)}
+
+
+def test_inbox_leaves_out_a_conflicting_file_and_goes_on(spark, tmp_path):
+    source, target = tmp_path / "inbox", str(tmp_path / "store")
+    args = (spark, str(source), target, str(tmp_path / "state"), "1min", str(tmp_path / "report"))
+    write(source / "000001.SZ.csv", HEADER + rows("000001.SZ", "09:31"))
+    inbox.import_new_files(*args)
+    write(source / "000001.SZ_b.csv", HEADER + rows("000001.SZ", "09:31", "09:32", close=1.7))
+    _zip(source / "more.zip", [("stock/a.csv", HEADER + rows("000002.SZ", "09:31")),
+                               ("stock/b.csv", HEADER + rows("000002.SZ", "09:32"))])
+    (source / "broken.zip").write_bytes(b"no archive")
+    write(source / "x/000003.SZ_1.csv", HEADER + rows("000003.SZ", "09:31"))
+    write(source / "x/000003.SZ_2.csv", HEADER + rows("000003.SZ", "09:31", "09:32", close=1.9))
+    inbox.import_new_files(*args)
+    write(source / "000004.SZ.csv", HEADER + rows("000004.SZ", "09:31"))
+    inbox.import_new_files(*args)
+    got = {(r["symbol"], r["close"]) for r in store.minute_store(spark, target).collect()}
+    assert got == {("000001.SZ", 1.5), ("000002.SZ", 1.5), ("000003.SZ", 1.5), ("000004.SZ", 1.5)}
+    report = {r["unit"].rsplit("/", 1)[-1]: (r["status"], r["batch"])
+              for r in spark.read.parquet(str(tmp_path / "report")).collect()}
+    assert report == {
+        "000001.SZ.csv": ("success", 0), "000001.SZ_b.csv": ("failed", 1), "more.zip": ("success", 1),
+        "broken.zip": ("failed", 1), "000003.SZ_1.csv": ("success", 1), "000003.SZ_2.csv": ("failed", 1),
+        "000004.SZ.csv": ("success", 2)}

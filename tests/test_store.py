@@ -122,3 +122,60 @@ def test_quality_report_and_gate(spark):
     Q.require_clean(Q.validate_bars(spark.createDataFrame(rows[:1], BARS)))
     with pytest.raises(Q.DataQualityError, match="lack columns"):
         Q.validate_bars(spark.createDataFrame([("A",)], "symbol string"))
+
+
+def minutes(spark, symbol, *times, close=1.5):
+    import datetime as dt
+
+    rows = [(symbol, "stock", "1min", dt.datetime.fromisoformat(t).date(), dt.datetime.fromisoformat(t),
+             1.0, 2.0, 0.5, close, 10.0, 100.0, False, "test") for t in times]
+    return spark.createDataFrame(rows, (
+        "symbol string, asset_type string, frequency string, trade_date date, bar_time timestamp_ntz, open double, "
+        "high double, low double, close double, volume double, amount double, is_auction boolean, source string"))
+
+
+def test_one_symbol_may_be_stock_and_index(spark, tmp_path):
+    root = str(tmp_path / "daily")
+    both = daily(spark, ["A"], ["2024-01-01"], 5.0).withColumn("asset_type", F.lit("stock")).unionByName(
+        daily(spark, ["A"], ["2024-01-01"], 6.0).withColumn("asset_type", F.lit("index")))
+    store.write_daily(both, root)
+    assert store.read_daily(spark, root).first()["close"] == 5.0
+    assert store.read_daily(spark, root, asset_type="index").first()["close"] == 6.0
+
+
+def test_repeated_keys_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    for k, closes in enumerate(((5.0, 6.0), (6.0, 5.0))):
+        root = str(tmp_path / f"daily{k}")
+        rows = daily(spark, ["A"], ["2024-01-01"], closes[0]).unionByName(daily(spark, ["A"], ["2024-01-01"], closes[1]))
+        store.write_daily(rows, root, "stock")
+        assert store.read_daily(spark, root).first()["close"] == 6.0
+
+
+def test_minute_write_keeps_other_symbols_and_years(spark, tmp_path):
+    root = str(tmp_path / "minute")
+    store.write_minute(minutes(spark, "000001.SZ", "2023-05-05T09:31", "2024-01-03T09:31", "2024-03-03T09:31"), root)
+    store.write_minute(minutes(spark, "000002.SZ", "2024-01-03T09:31"), root)
+    store.write_minute(minutes(spark, "000001.SZ", "2024-01-04T09:31"), root)
+    got = sorted((r["symbol"], str(r["bar_time"])[:10]) for r in store.minute_store(spark, root).collect())
+    assert got == [("000001.SZ", "2023-05-05"), ("000001.SZ", "2024-01-04"), ("000002.SZ", "2024-01-03")]
+    store.mirror_minute(minutes(spark, "000001.SZ", "2024-02-01T09:31"), root)
+    got = sorted((r["symbol"], str(r["bar_time"])[:10]) for r in store.minute_store(spark, root).collect())
+    assert got == [("000001.SZ", "2024-02-01"), ("000002.SZ", "2024-01-03")]
+
+
+def test_writers_read_only_the_folders_they_touch(spark, tmp_path):
+    root = str(tmp_path / "daily")
+    store.write_daily(daily(spark, [f"{i:06d}.SZ" for i in range(40)], ["2023-12-29", "2024-01-02"]), root, "stock")
+    incoming = store._daily_rows(daily(spark, ["000007.SZ"], ["2024-01-02"]), "stock", None)
+    read = store.touched_daily(spark, root, incoming, store.DAILY_PARTITION)
+    plan = read._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    filters = plan.split("PartitionFilters")[1].split("PushedFilters")[0].split("ReadSchema")[0]
+    assert "(year" in filters and "(bucket" in filters
+    assert read.select("bucket").distinct().count() == 1 and read.where("year = 2023").count() == 0
+
+
+def test_csv_result_has_a_header(spark, tmp_path):
+    store.write_csv(spark.createDataFrame([("A", 1.5)], "symbol string, weight double"), str(tmp_path / "c"))
+    lines = {line for part in (tmp_path / "c").glob("*.csv") for line in part.read_text().splitlines()}
+    assert lines == {"symbol,weight", "A,1.5"}
