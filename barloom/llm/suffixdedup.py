@@ -4,24 +4,24 @@ A byte goes if it lies in a string of `LENGTH` bytes that also starts earlier: i
 the same document. Shards are cut by content, so that equal strings always meet:
 
 1. Every window of LENGTH bytes has an anchor, the GRAM-byte piece in it with the smallest hash (a minimizer). Equal
-   windows have equal anchors. Anchor hashes are shuffled, packed, and those that occur once in the corpus drop out;
-   their windows cannot repeat.
-2. The remaining runs of windows around an anchor, as texts of at most 2 * LENGTH - GRAM bytes, are dealt to shards by
-   the anchor's hash. Of equal texts only the first occurrence is kept; all windows of the others are repeats.
-3. A shard's distinct texts are joined and sorted by external induced sorting with common-prefix values (`suffixsort`).
-   Neighbours that share LENGTH symbols are equal windows; all but the earliest are repeats.
+   windows have equal anchors. The runs of windows around an anchor are short texts of at most 2 * LENGTH - GRAM bytes. Hashes
+   of anchors and of run texts are shuffled, packed by batch. A run whose anchor occurs once cannot repeat. Of runs with equal
+   texts (anchor and text hash, 128 bits) only the first is looked at further; the windows of the others are repeats.
+2. First runs whose anchor also has other texts are dealt to shards by the anchor's hash.
+3. A shard's texts are joined and sorted by external induced sorting with common-prefix values (`suffixsort`). Neighbours that
+   share LENGTH symbols are equal windows; all but the earliest are repeats.
 4. Repeats go back to their documents, where overlapping ones are united and the rest of the text is kept.
 
-Hashes only choose what meets; equality is decided on the bytes.
+The texts are shuffled once, by document; both visits to the documents read that shuffle.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm import suffixsort
@@ -103,82 +103,131 @@ def _document_runs(texts: list[bytes]):
         yield flush()
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id, _tie, _text``: rows with equal ids and texts are one document; those with equal ids go by hash."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"),
-                       F.xxhash64(utf8(text_col)).alias("_tie"), utf8(text_col).alias("_text"))
+def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: bool) -> DataFrame:
+    """``_id, _tie, _own, _text`` and with ``keep`` the other columns as ``row``.
 
+    Rows with equal ids and texts are one document; other rows with equal ids go by a hash of their text.
+    """
+    others = [F.col(f"`{name}`") for name in docs.columns if name != text_col]
+    return docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.hash(utf8(text_col)).alias("_tie"),
+        F.col(id_col).alias("_own"), utf8(text_col).alias("_text"),
+        *([F.struct(F.col(text_col).isNull().alias("_null"), *others).alias("row")] if keep else []))
 
-def _packed_anchors(keyed: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, docs, runs``: identities of a batch's documents and its anchor runs for one bucket."""
+
+def _packed_runs(keyed: DataFrame, buckets: int) -> DataFrame:
+    """``bucket, docs, runs``: a batch's documents (id, tie, number of runs) and their runs for one bucket, in order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
         for batch in batches:
-            ids = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
-            for number, start, count, value in _document_runs(bytes_of(batch, "_text")):
+            ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            texts = bytes_of(batch, "_text")
+            for number, start, count, value in _document_runs(texts):
                 runs = np.empty(len(number), RUN)
-                runs["doc"], runs["start"], runs["count"], runs["hash"] = number, start, count, value
+                runs["anchor"] = value
+                runs["text"] = _text_hashes(texts, number, start, count)
                 bucket = ((value >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 names, begins = np.unique(bucket[order], return_index=True)
                 for name, a, b in zip(names.tolist(), begins, [*begins[1:], len(order)]):
-                    own = runs[order[a:b]]
-                    used, again = np.unique(own["doc"], return_inverse=True)
-                    own["doc"] = again
-                    yield {"bucket": [name], "docs": [ids[used].tobytes()], "runs": [own.tobytes()]}
+                    own = order[a:b]
+                    used, counts = np.unique(number[own], return_counts=True)
+                    docs = np.empty(len(used), DOC)
+                    docs["id"], docs["tie"], docs["runs"] = ids[used], ties[used], counts
+                    yield {"bucket": [name], "docs": [docs.tobytes()], "runs": [runs[own].tobytes()]}
+
+    return map_batches(keyed.select("_id", "_tie", "_text"), work, "bucket int, docs binary, runs binary")
 
-    return map_batches(keyed, work, "bucket int, docs binary, runs binary")
 
+RUN = np.dtype([("anchor", np.uint64), ("text", np.uint64)])
+DOC = np.dtype([("id", np.int64), ("tie", np.int32), ("runs", np.uint32)])
+FIRST_ALONE, FIRST, GONE = 0, 1, 2
 
-RUN = np.dtype([("hash", np.uint64), ("start", np.uint32), ("doc", np.uint16), ("count", np.uint8)])
 
+def _text_hashes(texts: list[bytes], number: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    digest, more = xxhash.xxh3_64_intdigest, LENGTH - 1
+    return np.array([digest(texts[k][a:a + c + more])
+                     for k, a, c in zip(number.tolist(), start.tolist(), count.tolist())], np.uint64)
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Runs of one bucket whose anchor occurs more than once."""
-    runs, ids = [], []
+
+def _verdicts(table: pa.Table) -> pa.Table:
+    """Runs of one bucket whose anchor occurs more than once: by document and text, what is known of them.
+
+    GONE: the text occurs in an earlier document. FIRST: the document's first run of that text is the first of all, and
+    the anchor has other texts too. FIRST_ALONE: it is the first, and there are no others.
+    """
+    runs, ids, ties = [], [], []
     for docs, own in zip(table.column("docs").to_pylist(), table.column("runs").to_pylist()):
-        own = np.frombuffer(own, RUN)
-        runs.append(own)
-        ids.append(np.frombuffer(docs, np.int64).reshape(-1, 2)[own["doc"]])
-    runs, ids = np.concatenate(runs), np.concatenate(ids)
-    order = np.argsort(runs["hash"], kind="stable")
-    value = runs["hash"][order]
+        docs = np.frombuffer(docs, DOC)
+        runs.append(np.frombuffer(own, RUN))
+        ids.append(np.repeat(docs["id"], docs["runs"]))
+        ties.append(np.repeat(docs["tie"], docs["runs"]))
+    runs, ids, ties = np.concatenate(runs), np.concatenate(ids), np.concatenate(ties)
+    order = np.argsort(runs["anchor"], kind="stable")
+    value = runs["anchor"][order]
     same = value[1:] == value[:-1]
     kept = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-    runs, ids = runs[kept], ids[kept]
-    return pa.table({
-        "_id": ids[:, 0], "_tie": ids[:, 1], "start": runs["start"].astype(np.int64),
-        "count": runs["count"].astype(np.int32), "hash": runs["hash"].view(np.int64),
-    }) if len(runs) else pa.table({name: pa.array([], kind) for name, kind in (
-        ("_id", pa.int64()), ("_tie", pa.int64()), ("start", pa.int64()), ("count", pa.int32()), ("hash", pa.int64()))})
+    runs, ids, ties = runs[kept], ids[kept], ties[kept]
+    order = np.lexsort((ties, ids, runs["text"], runs["anchor"]))
+    anchor, text, ids, ties = runs["anchor"][order], runs["text"][order], ids[order], ties[order]
+    new = np.ones(len(order), bool)
+    new[1:] = anchor[1:] != anchor[:-1]
+    group = np.cumsum(new) - 1
+    fresh = new.copy()
+    fresh[1:] |= text[1:] != text[:-1]
+    other = fresh.copy()
+    other[1:] |= (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])
+    several = np.bincount(group[fresh], minlength=1)[group] > 1 if len(order) else fresh
+    verdict = np.where(fresh, np.where(several, FIRST, FIRST_ALONE), GONE)[other]
+    return pa.table({"_id": ids[other], "_tie": ties[other], "text": text[other].view(np.int64),
+                     "verdict": verdict.astype(np.int8)})
 
 
-PLACE = np.dtype([("id", np.int64), ("tie", np.int64), ("start", np.int64), ("count", np.int32)])
+PLACE = np.dtype([("id", np.int64), ("tie", np.int32), ("start", np.int64), ("count", np.int64)])
 
 
 def _segments(texts: DataFrame, shards: int) -> DataFrame:
-    """``shard, texts, sizes, places``: the texts of repeated runs for one shard, with their places.
-
-    Of texts that are equal within a batch the first place has its size and the others 0: they are repeats whatever else
-    the shard holds.
-    """
+    """``shard, texts, sizes, places``: first run texts for one shard with their places, and spans known to be repeats as
+    places of size 0."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
         for batch in batches:
-            by_shard: dict[int, dict[bytes, list]] = {}
             ids, ties = batch.column("_id").to_pylist(), batch.column("_tie").to_pylist()
-            lists = batch.column("runs").to_pylist()
-            for ident, tie, text, runs in zip(ids, ties, bytes_of(batch, "_text"), lists):
-                for run in runs:
-                    start, count = run["start"], run["count"]
-                    by_shard.setdefault((run["hash"] >> 20) % shards, {}).setdefault(
-                        text[start:start + count + LENGTH - 1], []).append((ident, tie, start, count))
-            for shard, own in by_shard.items():
-                sizes, places = [], []
-                for text, found in own.items():
-                    found = sorted(set(found))
-                    sizes += [len(text)] + [0] * (len(found) - 1)
-                    places += found
+            data = bytes_of(batch, "_text")
+            known = [dict(zip((v["text"] for v in row), (v["verdict"] for v in row)))
+                     for row in batch.column("verdicts").to_pylist()]
+            out: dict[int, tuple[list, list, list]] = {}
+            span = None  # repeats of one document that touch are sent as one
+
+            def send(shard: int, text: bytes, place: tuple) -> None:
+                own = out.setdefault(shard, ([], [], []))
+                own[0].append(text)
+                own[1].append(len(text))
+                own[2].append(place)
+
+            def flush() -> None:
+                if span is not None:
+                    send(span[0] % shards, b"", (span[0], span[1], span[2], span[3] - span[2] - LENGTH + 1))
+
+            for number, start, count, value in _document_runs(data):
+                hashes = _text_hashes(data, number, start, count).view(np.int64).tolist()
+                anchors = ((value >> np.uint64(20)) % np.uint64(shards)).tolist()
+                for k, a, c, text, shard in zip(number.tolist(), start.tolist(), count.tolist(), hashes, anchors):
+                    verdict = known[k].get(text)
+                    if verdict is None:
+                        continue
+                    if verdict == GONE:
+                        if span is not None and span[:2] == (ids[k], ties[k]) and span[2] <= a <= span[3]:
+                            span = (*span[:3], max(span[3], a + c + LENGTH - 1))
+                        else:
+                            flush()
+                            span = (ids[k], ties[k], a, a + c + LENGTH - 1)
+                        continue
+                    known[k][text] = GONE  # from here on
+                    if verdict == FIRST:
+                        send(shard, data[k][a:a + c + LENGTH - 1], (ids[k], ties[k], a, c))
+            flush()
+            for shard, (own, sizes, places) in out.items():
                 yield {"shard": [shard], "texts": [b"".join(own)], "sizes": [np.array(sizes, np.uint8).tobytes()],
                        "places": [np.array(places, PLACE).tobytes()]}
 
@@ -278,15 +327,15 @@ def _shard_repeats(sorted_: DataFrame) -> DataFrame:
                        "stop": own["start"] + own["count"] + LENGTH - 1}
         yield from finish(known, [])
 
-    return map_batches(sorted_, work, "_id long, _tie long, start long, stop long")
+    return map_batches(sorted_, work, "_id long, _tie int, start long, stop long")
 
 
-def _without(texts: DataFrame, exact: bool) -> DataFrame:
+def _without(texts: DataFrame, keep: bool) -> DataFrame:
     """Unites the spans of every text and cuts them out; adds ``n_bytes, n_removed, n_spans, kept``.
 
-    Unless ``exact``, what is left of parted characters goes too.
+    With ``keep`` the bytes before stay too, and what is left of parted characters goes.
     """
-    names = [name for name in texts.columns if name not in ("_text", "spans")]
+    names = [name for name in texts.columns if name not in ("_id", "_tie", "spans") and (keep or name != "_text")]
     kinds = ", ".join(f"{name} {texts.schema[name].dataType.simpleString()}" for name in names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
@@ -311,7 +360,7 @@ def _without(texts: DataFrame, exact: bool) -> DataFrame:
                 runs.append(count)
                 total.append(len(text))
                 left = b"".join(parts)
-                kept.append(left if exact or not count else left.decode("utf-8", "ignore").encode("utf-8"))
+                kept.append(left if not keep or not count else left.decode("utf-8", "ignore").encode("utf-8"))
             yield {**{name: batch.column(name) for name in names}, "n_bytes": total, "n_removed": removed,
                    "n_spans": runs, "kept": kept}
 
@@ -319,34 +368,35 @@ def _without(texts: DataFrame, exact: bool) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """``_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) for every row; with ``keep`` also ``row``.
+    """``_own`` (the id), ``n_bytes, n_removed, n_spans, kept`` (the remaining bytes) for every row; with ``keep`` also ``row``,
+    the other columns, and ``_text``, the bytes before.
 
     Defined cases: a null or empty text has nothing to remove; texts shorter than LENGTH neither; rows that repeat id and
     text are one document and get equal results; other rows with equal ids go by a hash of their text; rows without an id
     come last; an empty table gives an empty result; other columns, of any name, are only carried in ``row``.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    size = keyed.agg(F.sum(F.length("_text"))).first()[0] or 0
+    keyed = _keyed(docs, id_col, text_col, keep)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(least, -(-size // SHARD_BYTES))
-    repeated = (
-        _packed_anchors(keyed, parts).repartition(parts, "bucket").groupBy("bucket")
-        .applyInArrow(_repeated, "_id long, _tie long, start long, count int, hash long")
+    verdicts = (
+        _packed_runs(keyed, parts).repartition(parts, "bucket").groupBy("bucket")
+        .applyInArrow(_verdicts, "_id long, _tie int, text long, verdict tinyint")
+        .groupBy("_id", "_tie").agg(F.collect_list(F.struct("text", "verdict")).alias("verdicts"))
     )
-    runs = repeated.groupBy("_id", "_tie").agg(F.collect_set(F.struct("start", "count", "hash")).alias("runs"))
-    dealt = _segments(keyed.join(runs, ["_id", "_tie"]), parts).repartition(parts, "shard").sortWithinPartitions("shard")
-    spans = _shard_repeats(dealt).groupBy("_id", "_tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(utf8(text_col)).alias("_tie"),
-        F.col(id_col).alias("_own"), utf8(text_col).alias("_text"),
-        *([F.struct(*docs.columns).alias("row")] if keep else []))
-    return _without(rows.join(spans, ["_id", "_tie"], "left"), not keep).drop("_id", "_tie").withColumnRenamed("_own", "_id")
+    # The same columns of the same side in both joins, so that Spark shuffles the texts once.
+    dealt = _segments(keyed.join(verdicts, ["_id", "_tie"]), parts)
+    spans = (
+        _shard_repeats(dealt.repartition(parts, "shard").sortWithinPartitions("shard"))
+        .groupBy("_id", "_tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    )
+    return _without(keyed.join(spans, ["_id", "_tie"], "left"), keep)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Figures and hash of what is left of every document."""
     return cut_repeats(docs, id_col, text_col).select(
-        F.col("_id").alias(id_col), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+        F.col("_own").alias(id_col), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -356,15 +406,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A cut may part a character; what is left of it is dropped, so that texts stay valid. Rows whose text was null or empty
     before are kept as they are. ``size_col``, if there, follows the text.
     """
-    kept = cut_repeats(docs, id_col, text_col, keep=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col(f"row.{text_col}"))
-    own = {text_col: F.col("_new_text").alias(text_col)}
+    cut_ = cut_repeats(docs, id_col, text_col, keep=True)
+    changed = F.col("n_removed") > 0
+    text = F.when(~F.col("row._null"), F.when(changed, F.col("kept")).otherwise(F.col("_text")).cast("string"))
+    own = {text_col: text.alias(text_col)}
     if size_col in docs.columns:
-        kind = docs.schema[size_col].dataType
-        own[size_col] = F.when(F.col("n_removed") > 0, F.length("_new_text").cast(kind)).otherwise(
-            F.col(f"row.{size_col}")).alias(size_col)
-    return (
-        kept.where((F.col("n_removed") == 0) | (F.length("kept") > 0)).withColumn("_new_text", text)
-        .where((F.col("n_removed") == 0) | (F.length("_new_text") > 0))
-        .select(*[own.get(name, F.col(f"row.`{name}`").alias(name)) for name in docs.columns])
-    )
+        own[size_col] = F.when(changed, F.length(text).cast(docs.schema[size_col].dataType)).otherwise(
+            F.col(f"row.`{size_col}`")).alias(size_col)
+    return cut_.where(~changed | (F.length("kept") > 0)).select(
+        *[own[name] if name in own else F.col(f"row.`{name}`").alias(name) for name in docs.columns])
