@@ -38,10 +38,6 @@ class Accounts:
     positions: DataFrame
 
 
-def evaluation_bars(bars: DataFrame, start: str) -> DataFrame:
-    return bars.where(F.col("trade_date") >= F.lit(start).cast("date"))
-
-
 def evaluation_targets(targets: DataFrame, signals: DataFrame,
                        start: str) -> tuple[DataFrame, DataFrame]:
     """Signals from ``start`` on, plus each portfolio's last one before it."""

@@ -111,16 +111,16 @@ def require_clean(report: DataFrame) -> None:
         raise DataQualityError("; ".join(f"{row['rule']}: {row['bad_rows']} rows" for row in bad))
 
 
-def examples(frame: DataFrame, condition: Column, by: list[str], show: str) -> DataFrame:
-    """Bad-row count per group with the first few offending values.
+def examples(frame: DataFrame, condition: Column, by: list[str], show: str, shown: int = EXAMPLES) -> DataFrame:
+    """Bad-row count per group with the first ``shown`` offending values.
 
-    The sample is a bounded heap (``EXAMPLES`` per group and task), never the whole group.
+    The sample is a bounded heap per group and task, never the whole group.
     """
     window = Window.partitionBy(*by).orderBy(show)
     bad = frame.where(condition)
-    first = bad.withColumn("pick", F.row_number().over(window)).where(F.col("pick") <= EXAMPLES)
-    shown = first.groupBy(*by).agg(F.array_sort(F.collect_list(show)).alias("examples"))
-    return bad.groupBy(*by).agg(F.count(F.lit(1)).alias("bad_rows")).join(shown, by)
+    first = bad.withColumn("pick", F.row_number().over(window)).where(F.col("pick") <= shown)
+    listed = first.groupBy(*by).agg(F.array_sort(F.collect_list(show)).alias("examples"))
+    return bad.groupBy(*by).agg(F.count(F.lit(1)).alias("bad_rows")).join(listed, by)
 
 
 # ---- minute rules ----------------------------------------------------------------------------
@@ -145,11 +145,6 @@ def opening_placeholder() -> Column:
     return F.coalesce((F.col("asset_type") == "etf") & at_open & flat & idle, F.lit(False))
 
 
-def same_bar() -> Column:
-    """All bar values as one comparable struct; nulls inside compare as equal."""
-    return F.struct(*[F.col(c) for c in (*OHLC, "volume", "amount")])
-
-
 def conflicting_keys(frame: DataFrame, keys: list[str]) -> DataFrame:
     """Keys whose rows disagree on any bar value.
 
@@ -167,10 +162,6 @@ def conflicting_keys(frame: DataFrame, keys: list[str]) -> DataFrame:
     ).where("conflict").select(*keys, "n")
 
 
-def collapse_duplicates(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return keep_newest(frame, keys, order)
-
-
 def minute_audit(frame: DataFrame, catalog: DataFrame, frequency: str) -> DataFrame:
     """Deep check of (symbol, year) slices against their catalog entry, all in one job."""
     year = F.year("bar_time")

@@ -314,8 +314,8 @@ def daily_review_table(
                  for name, c in zip(REVIEW_AVERAGE_ROWS, ("mean", "median"), strict=True)]
     parts = [_rows(stats, [(i, name, text) for i, (name, text) in enumerate(measures)])]
     position = len(measures)
-    # Indices are a short configured list; the tail rows are numbered well behind them.
-    indices, tail = position + 4, position + 1000
+    # The tail is a section of its own, behind any number of indices.
+    indices, tail = position + 4, 1 << 62
     mean, median = percent_text(F.col("mean")), percent_text(F.col("median"))
     blanks: list[tuple[int, str]] = []
     rows = [(position, REVIEW_CONVERTIBLE_ROWS[0], mean),
@@ -335,7 +335,7 @@ def daily_review_table(
                              percent_text(F.col("bias")).alias("text")))
         parts.append(
             index_returns.select(
-                (F.lit(indices) + F.col("ordinal")).cast("int").alias("ordinal"),
+                (F.lit(indices) + F.col("ordinal")).cast("bigint").alias("ordinal"),
                 F.col("name").alias("名称"), F.inline(F.array(*cell)),
             ).select("period", "ordinal", "名称", "text")
         )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from barloom.functions.normalize import finite, is_b_share, to_number
 from barloom.operators.panel import islands, keep_newest
+from barloom.operators.quality import DataQualityError
 
 
 # ---- dates -----------------------------------------------------------------------------------
@@ -107,14 +108,14 @@ def active_on(day: Column, list_date: Column, delist_date: Column) -> Column:
 def active_counts(master: DataFrame, days: DataFrame, drop_b_shares: bool = True) -> DataFrame:
     """Listed securities per day, without a range join.
 
-    Each security adds one at its listing and removes one at its delisting; a running sum over
-    the dates (calendar-bounded) gives the universe size.
+    Overlapping master rows of a security are united first. Each stretch adds one at its listing and removes one at its
+    delisting; a running sum over the dates (calendar-bounded) gives the universe size.
     """
     listed = master.where(F.col("list_date").isNotNull())
     if drop_b_shares:
         listed = listed.where(~is_b_share(F.col("symbol")))
     open_ended = F.col("delist_date").isNull() | (F.col("delist_date") > F.col("list_date"))
-    changes = listed.where(open_ended).select(
+    changes = _listed_stretches(listed.where(open_ended)).select(
         F.inline(F.array(
             F.struct(F.col("list_date").alias("day"), F.lit(1).alias("step")),
             F.struct(F.col("delist_date").alias("day"), F.lit(-1).alias("step")),
@@ -131,6 +132,18 @@ def active_counts(master: DataFrame, days: DataFrame, drop_b_shares: bool = True
     )
 
 
+def _listed_stretches(listed: DataFrame) -> DataFrame:
+    """(list_date, delist_date) of the stretches in which a security has any listing; null: still listed."""
+    never = F.lit("9999-12-31").cast("date")
+    rows = listed.select("symbol", "list_date", F.coalesce("delist_date", never).alias("end"))
+    order = Window.partitionBy("symbol").orderBy("list_date", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("list_date") > before, F.lit(True)).cast("int")
+    stretches = rows.withColumn("fresh", fresh).withColumn("stretch", F.sum("fresh").over(order)).groupBy(
+        "symbol", "stretch").agg(F.min("list_date").alias("list_date"), F.max("end").alias("end"))
+    return stretches.select("list_date", F.nullif("end", never).alias("delist_date"))
+
+
 def active_bars(bars: DataFrame, master: DataFrame) -> DataFrame:
     """Bars of securities that are listed on the bar's date."""
     valid = master.select("symbol", "list_date", "delist_date")
@@ -174,6 +187,34 @@ def bad_market_cap() -> Column:
     )
 
 
+MARKET_CAP_COLUMNS = ("symbol", "trade_date", "total_mv")
+
+
+def market_cap_report(basic: DataFrame, requested: DataFrame) -> DataFrame:
+    """Whole check of a delivery of market caps against the requested dates: per date its counts and a verdict.
+
+    A requested date without rows is missing and a delivered one that was not asked for is foreign. B shares do not belong to
+    the delivery; a date with repeated symbols, B shares or bad rows is invalid.
+    """
+    absent = [name for name in MARKET_CAP_COLUMNS if name not in basic.columns]
+    if absent:
+        raise DataQualityError(f"market caps lack columns: {', '.join(absent)}")
+    facts = basic.groupBy("trade_date").agg(
+        F.count(F.lit(1)).alias("rows"),
+        (F.count("symbol") - F.count_distinct("symbol")).alias("duplicates"),
+        F.count_if(F.coalesce(is_b_share(F.col("symbol")), F.lit(False))).alias("b_shares"),
+        F.count_if(bad_market_cap()).alias("bad"),
+    ).withColumn("delivered", F.lit(True))
+    asked = requested.select(F.col("trade_date").alias("asked_date")).distinct().withColumn("asked", F.lit(True))
+    joined = facts.join(asked, F.col("trade_date").eqNullSafe(F.col("asked_date")), "full").select(
+        F.coalesce("trade_date", "asked_date").alias("trade_date"), "asked", "delivered",
+        *[F.coalesce(name, F.lit(0)).alias(name) for name in ("rows", "duplicates", "b_shares", "bad")])
+    verdict = (
+        F.when(F.col("delivered").isNull(), "missing").when(F.col("asked").isNull(), "foreign")
+        .when(F.col("duplicates") + F.col("b_shares") + F.col("bad") > 0, "invalid").otherwise("valid"))
+    return joined.select("trade_date", "rows", "duplicates", "b_shares", "bad", verdict.alias("verdict"))
+
+
 def basic_facts(basic: DataFrame) -> DataFrame:
     """Per date: rows, distinct symbols, bad rows and the symbol digest."""
     counts = basic.groupBy("trade_date").agg(
@@ -401,19 +442,27 @@ def dropped_cached_dates(cached: DataFrame, refreshed: DataFrame) -> DataFrame:
 
 
 def basic_refresh_guard(previous: DataFrame, incoming: DataFrame, response_complete: Column,
-                        previous_complete: Column) -> DataFrame:
-    """Per date: symbols, symbols dropped against the previous complete set, verdict."""
+                        previous_complete: Column, floor: Column | None = None) -> DataFrame:
+    """Per date: symbols, symbols dropped against the previous complete set, verdict.
+
+    Where it is unknown whether the answer was complete, the number of symbols against ``floor`` decides, and without one the
+    answer counts as incomplete. A date that came back empty is judged like any other, and is never complete.
+    """
     now = incoming.where(~is_b_share(F.col("symbol"))).select("symbol", "trade_date").distinct()
     before = previous.where(~is_b_share(F.col("symbol"))).select("symbol", "trade_date").distinct()
     lost = before.join(now, ["symbol", "trade_date"], "left_anti").groupBy("trade_date").agg(
         F.count(F.lit(1)).alias("dropped")
     )
     counts = now.groupBy("trade_date").agg(F.count(F.lit(1)).alias("symbols"))
-    joined = counts.join(lost, "trade_date", "left").select(
-        "trade_date", "symbols", F.coalesce("dropped", F.lit(0)).alias("dropped")
-    )
-    refused = previous_complete & ((F.col("dropped") > 0) | ~response_complete)
-    verdict = F.when(refused, "refused").when(response_complete, "complete").otherwise("observed")
+    joined = counts.join(lost, "trade_date", "full").select(
+        "trade_date", F.coalesce("symbols", F.lit(0)).alias("symbols"),
+        F.coalesce("dropped", F.lit(0)).alias("dropped")
+    )
+    enough = F.lit(False) if floor is None else F.coalesce(F.col("symbols") >= floor, F.lit(False))
+    answered = F.coalesce(response_complete, enough) & (F.col("symbols") > 0)
+    known = F.coalesce(previous_complete, F.lit(False))
+    refused = known & ((F.col("dropped") > 0) | ~answered)
+    verdict = F.when(refused, "refused").when(answered, "complete").otherwise("observed")
     return joined.withColumn("verdict", verdict)
 
 
@@ -423,3 +472,20 @@ def review_gate(status: DataFrame, anchors: DataFrame) -> DataFrame:
     return days.join(status.select("trade_date", "status"), "trade_date", "left").select(
         "trade_date", F.coalesce("status", F.lit("missing")).alias("status")
     )
+
+
+def require_review_day(status: DataFrame, anchors_of, target=None):
+    """Target day of a review whose anchors are all complete, or a refusal.
+
+    ``status`` has (trade_date, status) and ``anchors_of(day)`` gives the anchor dates of a day. Without ``target`` the latest
+    complete day is taken. An action: the anchors of one review are a handful of dates.
+    """
+    if target is None:
+        target = status.where(F.col("status") == "complete").agg(F.max("trade_date")).first()[0]
+    if target is None:
+        raise DataQualityError("no complete day to review")
+    open_days = review_gate(status, anchors_of(target)).where(F.col("status") != "complete").orderBy("trade_date").collect()
+    if open_days:
+        raise DataQualityError("review anchors are not complete: " + ", ".join(
+            f"{row['trade_date']} {row['status']}" for row in open_days))
+    return target

@@ -85,16 +85,20 @@ def with_percent_rank(frame: DataFrame, by: str, value: str, out: str = "percent
 
 
 def return_correlation(
-    bars: DataFrame, symbols: list[str] | None = None, block: int = 256, dates_per_task: int = 2048
+    bars: DataFrame, symbols: list[str] | DataFrame, block: int = 256, dates_per_task: int = 2048
 ) -> DataFrame:
     """Pairwise-complete correlation of one-step panel returns, as (symbol_a, symbol_b, corr).
 
+    The result has a row for every pair of the named ``symbols`` (a list, or a frame of ``symbol``), so whoever asks sets its size.
+
     Series are cut into blocks. A task gets two blocks and one stretch of dates and reduces
     them to sufficient statistics with dense matrix products, so the shuffle carries each return
     once per block (not once per partner) and no join ever pairs rows of the same date. Partial
     sums are added up per pair. Values are centred per symbol first to keep the sums accurate.
     """
-    if symbols is not None:
+    if isinstance(symbols, DataFrame):
+        bars = bars.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+    else:
         bars = bars.where(F.col("symbol").isin(list(symbols)))
     window = series()
     returns = (

@@ -122,7 +122,7 @@ def asof_anchors(spark, root):
     ret1="""SELECT p.symbol, p.trade_date, p.close / q.close - 1 AS ret FROM panel p
             JOIN panel q ON q.symbol = p.symbol AND q.date_idx = p.date_idx - 1"""))
 def correlation(spark, root):
-    return round_columns(return_correlation(V.bars(spark, root)), "corr", digits=7)
+    return round_columns(return_correlation(V.bars(spark, root), V.master(spark, root)), "corr", digits=7)
 
 
 def _panel(spark, root):

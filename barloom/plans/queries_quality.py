@@ -397,11 +397,15 @@ def missing_market_caps(spark, root):
 
 
 @query("j4_active_universe", statement(
-    """SELECT c.cal_date, count(m.symbol) AS active FROM calendar c LEFT JOIN master m
+    """SELECT c.cal_date, count(DISTINCT m.symbol) AS active FROM calendar c LEFT JOIN (
+         SELECT symbol, list_date, delist_date FROM master
+         UNION ALL SELECT symbol, list_date + 40, delist_date FROM master WHERE symbol < '000010') m
          ON m.list_date <= c.cal_date AND (m.delist_date IS NULL OR m.delist_date > c.cal_date)
        GROUP BY c.cal_date"""))
 def active_universe(spark, root):
-    return Snap.active_counts(V.master(spark, root), V.calendar(spark, root))
+    master = V.master(spark, root).select("symbol", "list_date", "delist_date")
+    again = master.where(F.col("symbol") < "000010").withColumn("list_date", F.date_add("list_date", 40))
+    return Snap.active_counts(master.union(again), V.calendar(spark, root))
 
 
 @query("j5_active_bars", statement(

@@ -91,7 +91,7 @@ def _table_sql() -> str:
         add(name, [_pct(f"{fn}({q})") for q in _QUOTED], "rets WHERE symbol LIKE '000%'")
     for symbol in ("000008.SZ", "000009.SZ"):
         add(symbol, [_pct(f"max({q})") for q in _QUOTED], f"rets WHERE symbol = '{symbol}'",
-            _pct(f"(SELECT max(close / sma - 1) FROM bias5 WHERE symbol = '{symbol}')"))
+            _pct(f"(SELECT max(close / sma - 1) FROM bias25 WHERE symbol = '{symbol}')"))
     add(REVIEW_TAIL_ROWS[0], ["''"] * 4, "(SELECT 1)")
     add(REVIEW_TAIL_ROWS[1], [_pct(f"avg({q})") for q in _QUOTED], "rets WHERE symbol LIKE '5%'")
     at = "arg_max(equity, trade_date) FILTER (trade_date <= {})"
@@ -105,9 +105,9 @@ def _table_sql() -> str:
 
 @query("a5_daily_review_table", statement(
     'SELECT row, "名称", "今年", "本月", "本周", "当天", bias25 AS "BIAS25" FROM t',
-    bias5="""SELECT * FROM (SELECT symbol, trade_date, close, CASE WHEN count(close) OVER w = 5
+    bias25="""SELECT * FROM (SELECT symbol, trade_date, close, CASE WHEN count(close) OVER w = 25
       THEN avg(close) OVER w END AS sma FROM panel WINDOW w AS (PARTITION BY symbol
-      ORDER BY date_idx RANGE BETWEEN 4 PRECEDING AND CURRENT ROW))
+      ORDER BY date_idx RANGE BETWEEN 24 PRECEDING AND CURRENT ROW))
       WHERE trade_date = (SELECT max(trade_date) FROM bars)""",
     t=_table_sql()))
 def daily_review_table(spark, root):
@@ -117,7 +117,7 @@ def daily_review_table(spark, root):
     etf = R.return_summary(returns.where(F.col("symbol").startswith("5")))
     under = R.return_summary(returns.where(F.col("symbol").startswith("000")))
     names = {symbol: symbol for symbol in ("000008.SZ", "000009.SZ")}
-    index = R.named_returns(returns, names, R.price_bias(bars, 5))
+    index = R.named_returns(returns, names, R.price_bias(bars, 25))
     nav = R.nav_period_returns(
         V.nav(spark, root).where(F.col("portfolio_id") == "1-URGENT"), anchors)
     return R.daily_review_table(returns, index, etf, under, None, nav)
@@ -374,17 +374,41 @@ def refresh_guard(spark, root):
 
 
 @query("c17_basic_refresh_guard", statement(
-    """SELECT trade_date, symbols, dropped, CASE WHEN dropped > 0 AND day(trade_date) % 2 = 0
-           THEN 'refused' WHEN day(trade_date) % 3 = 0 THEN 'complete'
-           WHEN day(trade_date) % 2 = 0 THEN 'refused' ELSE 'observed' END AS verdict FROM (
+    """SELECT trade_date, symbols, dropped, CASE
+           WHEN day(trade_date) % 2 = 0 AND (dropped > 0 OR NOT answered) THEN 'refused'
+           WHEN answered THEN 'complete' ELSE 'observed' END AS verdict FROM (
+       SELECT *, symbols > 0 AND CASE WHEN day(trade_date) % 5 = 0 THEN symbols >= 8
+           ELSE day(trade_date) % 3 = 0 END AS answered FROM (
        SELECT trade_date, count(*) FILTER (keep) AS symbols, count(*) FILTER (NOT keep) AS dropped
-       FROM (SELECT trade_date, NOT (day(trade_date) = 6 AND symbol = '000010.SZ') AS keep
-             FROM basic) GROUP BY trade_date) WHERE symbols > 0"""))
+       FROM (SELECT trade_date, NOT (day(trade_date) = 6 AND symbol = '000010.SZ')
+               AND day(trade_date) NOT IN (8, 9) AS keep FROM basic) GROUP BY trade_date))"""))
 def basic_refresh_guard(spark, root):
     previous = V.basic(spark, root)
     day = F.dayofmonth("trade_date")
-    incoming = previous.where(~((day == 6) & (F.col("symbol") == "000010.SZ")))
-    return Snap.basic_refresh_guard(previous, incoming, day % 3 == 0, day % 2 == 0)
+    incoming = previous.where(~((day == 6) & (F.col("symbol") == "000010.SZ")) & ~day.isin(8, 9))
+    answer = F.when(day % 5 == 0, F.lit(None).cast("boolean")).otherwise(day % 3 == 0)
+    return Snap.basic_refresh_guard(previous, incoming, answer, day % 2 == 0, F.lit(8))
+
+
+@query("v11_market_cap_report", statement(
+    """SELECT trade_date, n AS rows, dup AS duplicates, b AS b_shares, bad,
+         CASE WHEN n = 0 THEN 'missing' WHEN day(trade_date) = 3 THEN 'foreign'
+           WHEN dup + b + bad > 0 THEN 'invalid' ELSE 'valid' END AS verdict
+       FROM (SELECT trade_date, CASE WHEN day(trade_date) = 4 THEN 0
+           ELSE count(*) + CASE WHEN day(trade_date) = 5 THEN count(*) FILTER (symbol < '000010') ELSE 0 END END AS n,
+         CASE WHEN day(trade_date) = 5 THEN count(*) FILTER (symbol < '000010') ELSE 0 END AS dup,
+         CASE WHEN day(trade_date) = 7 THEN count(*) FILTER (symbol < '000010') ELSE 0 END AS b,
+         CASE WHEN day(trade_date) = 11 THEN count(*) FILTER (symbol < '000010') ELSE 0 END AS bad
+       FROM basic GROUP BY trade_date)"""))
+def market_cap_report(spark, root):
+    basic = V.basic(spark, root).select("symbol", "trade_date", "total_mv")
+    day, low = F.dayofmonth("trade_date"), F.col("symbol") < "000010"
+    broken = basic.where(day != 4).withColumns({
+        "symbol": F.when((day == 7) & low, F.concat(F.lit("9"), F.substring("symbol", 2, 5), F.lit(".SH"))).otherwise(
+            F.col("symbol")),
+        "total_mv": F.when((day == 11) & low, -1.0).otherwise(F.col("total_mv"))})
+    delivered = broken.union(basic.where((day == 5) & low))
+    return Snap.market_cap_report(delivered, basic.where(day != 3).select("trade_date"))
 
 
 @query("c18_calendar_coverage", statement(

@@ -195,15 +195,21 @@ def logbias_diagnostics(spark, root):
 
 
 @query("c7_signal_gate", statement(
-    """SELECT symbol, count(DISTINCT trade_date) AS dates,
-         bool_or(trade_date = (SELECT max(trade_date) FROM etf_bars)) AS fresh,
-         count(DISTINCT trade_date) >= 61 AS warm FROM etf_bars GROUP BY symbol"""))
+    """SELECT t.asked, u.symbol, count(DISTINCT b.trade_date) AS dates,
+         coalesce(bool_or(b.trade_date = t.day), false) AS fresh, count(DISTINCT b.trade_date) >= 61 AS warm
+       FROM (SELECT DISTINCT symbol FROM etf_bars) u CROSS JOIN (
+         SELECT 'latest' AS asked, (SELECT max(trade_date) FROM etf_bars) AS day
+         UNION ALL SELECT 'middle', DATE '1995-03-15' UNION ALL SELECT 'behind', DATE '2024-01-02') t
+       LEFT JOIN etf_bars b ON b.symbol = u.symbol AND b.trade_date <= t.day GROUP BY t.asked, u.symbol"""))
 def signal_gate(spark, root):
     from barloom.plans.gates import signal_gate as gate
 
     bars = etf_bars(spark, root)
     universe = bars.select("symbol").distinct()
-    return gate(bars, universe, S.warmup_bars("etf_rotation", momentum_windows=(20, 60)))
+    need = S.warmup_bars("etf_rotation", momentum_windows=(20, 60))
+    asked = {"latest": None, "middle": F.lit("1995-03-15").cast("date"), "behind": F.lit("2024-01-02").cast("date")}
+    parts = [gate(bars, universe, need, day).withColumn("asked", F.lit(name)) for name, day in asked.items()]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("v18_short_history", statement(

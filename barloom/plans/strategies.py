@@ -7,6 +7,7 @@ on which a strategy had a say, so that "no holdings" stays distinguishable from
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,14 +25,8 @@ def equal_weight(picks: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _rebalance_unit(rebalance_days: int) -> str:
-    if rebalance_days == 1:
-        return "day"
-    if rebalance_days == 5:
-        return "week_fri"
-    if rebalance_days in (20, 21, 22, 23):
-        return "month"
-    raise ValueError("rebalance_days must be 1 (daily), 5 (weekly) or 20-23 (monthly)")
+# Trading days between rebalances -> calendar unit whose first date is a rebalance.
+REBALANCE_UNITS = {1: "day", 5: "week_fri", **dict.fromkeys(range(20, 24), "month")}
 
 
 def etf_indicators(bars: DataFrame, axis: DataFrame, windows: list[int], ma_window: int,
@@ -61,7 +56,9 @@ def etf_rotation(
     rebalance_days: int = 5,
 ) -> DataFrame:
     """Best ``hold_num`` by mean momentum above their moving average, kept until rebalance."""
-    axis = P.with_period_start(P.date_axis(bars), _rebalance_unit(rebalance_days))
+    if rebalance_days not in REBALANCE_UNITS:
+        raise ValueError(f"rebalance_days: {rebalance_days} is none of {sorted(REBALANCE_UNITS)}")
+    axis = P.with_period_start(P.date_axis(bars), REBALANCE_UNITS[rebalance_days])
     scored = etf_indicators(bars, axis, list(momentum_windows), ma_window, min_momentum)
     candidates = scored.where(F.col("is_start") & F.col("eligible"))
     best = P.top_k(candidates, ["trade_date"], [F.col("score").desc(), F.col("symbol")],
@@ -163,22 +160,63 @@ def microcap(
     return P.carry_to_dates(weights, axis).select("symbol", "trade_date", "weight")
 
 
-REGISTRY: dict[str, Callable[..., DataFrame]] = {
-    "etf_rotation": etf_rotation,
-    "logbias": logbias,
-    "microcap": microcap,
+# ---- registry ------------------------------------------------------------------------------------
+@dataclass(frozen=True)
+class Strategy:
+    """``build(bars, **params)`` returns (symbol, trade_date, weight); ``warmup(**params)`` the bars it needs before
+    its first usable signal."""
+
+    build: Callable[..., DataFrame]
+    warmup: Callable[..., int]
+
+
+# --- fixed values: bars of lead time ---
+EMA_SPANS = 5  # of an exponential average until its start no longer matters
+MICROCAP_LEAD = {"daily": 10, "weekly": 10, "monthly": 35}
+
+
+def _rotation_warmup(momentum_windows=(20, 60), ma_window: int = 28, **_) -> int:
+    return max(ma_window, *(1 + span for span in momentum_windows))
+
+
+def _logbias_warmup(ema_window: int = 20, **_) -> int:
+    return EMA_SPANS * ema_window
+
+
+def _microcap_warmup(selection: str = "pool", rebalance: str = "weekly", rps_lookback_days: int = 120, **_) -> int:
+    return rps_lookback_days + 2 if selection == "rps" else MICROCAP_LEAD[rebalance]
+
+
+REGISTRY: dict[str, Strategy] = {
+    "etf_rotation": Strategy(etf_rotation, _rotation_warmup),
+    "logbias": Strategy(logbias, _logbias_warmup),
+    "microcap": Strategy(microcap, _microcap_warmup),
 }
 
 
-def register_strategy(name: str, build: Callable[..., DataFrame]) -> None:
-    """Extension point: ``build(bars, **params)`` returns (symbol, trade_date, weight)."""
-    REGISTRY[name] = build
+def register_strategy(name: str, build: Callable[..., DataFrame], warmup: Callable[..., int] = lambda **_: 1) -> None:
+    """Extension point for further strategies."""
+    REGISTRY[name] = Strategy(build, warmup)
 
 
-def generate_targets(name: str, bars: DataFrame, **params: Any) -> DataFrame:
+def _registered(name: str) -> Strategy:
     if name not in REGISTRY:
         raise KeyError(f"unknown strategy {name}; available: {', '.join(sorted(REGISTRY))}")
-    return REGISTRY[name](bars, **params)
+    return REGISTRY[name]
+
+
+def generate_targets(name: str, bars: DataFrame, **params: Any) -> DataFrame:
+    return _registered(name).build(bars, **params)
+
+
+def warmup_bars(name: str, **params: Any) -> int:
+    """Observations a strategy needs before its first usable signal."""
+    return _registered(name).warmup(**params)
+
+
+def warmup_calendar_days(name: str, **params: Any) -> int:
+    """Calendar days to load for them: two for every bar, and a month at least."""
+    return max(2 * warmup_bars(name, **params), 30)
 
 
 def signal_dates(bars: DataFrame) -> DataFrame:
@@ -225,20 +263,3 @@ def log_bias_diagnostics(bars: DataFrame, weights: DataFrame, ema_window: int =
                 F.coalesce("weight", F.lit(0.0)).alias("target_weight"))
         .orderBy(F.col("logbias").desc_nulls_last(), "symbol")
     )
-
-
-def warmup_bars(name: str, **params: Any) -> int:
-    """Observations a strategy needs before its first usable signal."""
-    if name == "etf_rotation":
-        spans = [span + 1 for span in params.get("momentum_windows", (20, 60))]
-        return max([*spans, params.get("ma_window", 28)])
-    if name == "logbias":
-        return params.get("ema_window", 20) * 5
-    if name == "microcap" and params.get("selection", "pool") == "rps":
-        return params.get("rps_lookback_days", 120) + 2
-    monthly = name == "microcap" and params.get("rebalance", "weekly") == "monthly"
-    return 35 if monthly else 10
-
-
-def warmup_calendar_days(name: str, **params: Any) -> int:
-    return max(30, 2 * warmup_bars(name, **params))

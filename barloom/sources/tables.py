@@ -123,13 +123,3 @@ def read_holdings(spark: SparkSession, path: str) -> DataFrame:
         N.stock_symbol(F.col(code)).alias("symbol"),
         F.coalesce(N.to_number(F.col(weight)), F.lit(0.0)).alias("weight"),
     )
-
-
-def read_calendar(spark: SparkSession, path: str) -> DataFrame:
-    """Calendar file in either shape: (cal_date, is_open) or (calendar_date, is_trading_day)."""
-    table = read_text_table(spark, path)
-    old = "cal_date" in table.columns
-    day, flag = ("cal_date", "is_open") if old else ("calendar_date", "is_trading_day")
-    opened = N.to_number(F.col(flag)) if flag in table.columns else F.lit(0.0)
-    return table.select(N.parse_date(F.col(day)).alias("cal_date"),
-                        F.coalesce(opened, F.lit(0.0)).cast("int").alias("is_open"))

@@ -14,70 +14,77 @@ def _bars(spark, series, days):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+DATES = ["2021-12-31", "2022-03-31", "2022-04-08", "2022-04-11"]  # year, month and week end, and a Monday
+
+
 @pytest.fixture()
 def small(spark):
-    return _bars(spark, {"A": [10, 11, 12], "B": [10, 9, 8], "C": [10, 10, 10]},
-                 ["2023-12-29", "2024-01-05", "2024-01-08"])
+    # day: +25 %, 0 %, -25 %; month: +37.5 %, 0 %, -40 %; year: +10 %, 0 %, -10 %
+    return _bars(spark, {"P": [50, 40, 44, 55], "Q": [8, 8, 8, 8], "R": [30, 45, 36, 27]}, DATES)
 
 
 def test_summary_counts(small):
     anchors = R.review_anchors(small)
     row = R.day_summary(R.period_returns(small, anchors=anchors), anchors).first()
-    assert (row["as_of"], row["stocks"], row["up"], row["down"], row["flat"]) == (
-        "2024-01-08", 3, 1, 1, 1)
+    assert (row["as_of"], row["stocks"], row["up"], row["down"], row["flat"]) == (DATES[3], 3, 1, 1, 1)
     assert row["median_return"] == pytest.approx(0.0)
 
 
-def test_anchors_resolve_on_bar_dates(small):
+def test_anchors_and_returns_of_all_periods(small):
     row = R.review_anchors(small).first()
-    assert row[DAY] == day("2024-01-05") and row[WEEK] == day("2024-01-05")
-    assert row[MONTH] == day("2023-12-29") and row[YEAR] == day("2023-12-29")
+    assert [row[p] for p in (DAY, WEEK, MONTH, YEAR)] == [day(DATES[k]) for k in (2, 2, 1, 0)]
+    got = {r["symbol"]: [round(r[p], 9) for p in (DAY, MONTH, YEAR)] for r in R.period_returns(small).collect()}
+    assert got == {"P": [0.25, 0.375, 0.1], "Q": [0.0, 0.0, 0.0], "R": [-0.25, -0.4, -0.1]}
 
 
-def test_as_of_between_bars_uses_the_last_bar(spark):
-    bars = _bars(spark, {"A": [1, 2, 3, 4]},
-                 ["2022-12-30", "2023-12-29", "2024-01-05", "2024-01-08"])
-    assert R.review_anchors(bars, "2024-01-07").first()["latest"] == day("2024-01-05")
+def test_as_of_between_bars_uses_the_last_bar(small):
+    assert R.review_anchors(small, "2022-04-10").first()["latest"] == day(DATES[2])
 
 
 def test_missing_anchor_fails(spark):
-    bars = _bars(spark, {"A": [1]}, ["2024-01-05"])
     with pytest.raises(Exception, match="no bars on or before"):
-        R.period_returns(bars).collect()
+        R.period_returns(_bars(spark, {"P": [3]}, ["2022-04-08"])).collect()
 
 
-def test_bucket_edges_fall_into_one_bucket_each(spark):
-    returns = [-0.10, -0.05, 0.0, 0.05, 0.10, 0.11]
-    series = {f"S{i}": [100, 100, 100 * (1 + r)] for i, r in enumerate(returns)}
-    bars = _bars(spark, series, ["2023-12-29", "2024-01-05", "2024-01-08"])
+def test_every_bucket_and_both_sides_of_an_edge(spark):
+    # edges belong to the bucket below them: 5 % to the third, -5 % to the fifth
+    growth = [0.4, 0.07, 0.02, 0.05, -0.02, -0.07, -0.05, -0.3]
+    bars = _bars(spark, {f"S{i}": [80, 80, 200, 200 * (1 + g)] for i, g in enumerate(growth)}, DATES)
     rows = {r["区间"]: r[DAY] for r in R.breadth(R.period_returns(bars)).collect()}
-    assert [rows[label] for label, _, _ in BREADTH_BUCKETS] == [1] * 6
+    assert [rows[label] for label, _, _ in BREADTH_BUCKETS] == [1, 1, 2, 1, 2, 1]
 
 
-def test_bias_of_a_rising_series(spark):
-    rows = [("A", day(f"2024-01-{i:02d}"), float(i)) for i in range(1, 26)]
-    got = R.price_bias(spark.createDataFrame(rows, SCHEMA)).first()["bias"]
-    assert got == pytest.approx(25 / 13 - 1)
+def test_bias_against_the_mean_of_25_closes(spark):
+    # 24 closes of 10 and one of 35 have the mean 11
+    rows = [("P", day(f"2022-05-{i:02d}"), 35.0 if i == 27 else 10.0) for i in range(1, 28)]
+    assert R.price_bias(spark.createDataFrame(rows, SCHEMA)).first()["bias"] == pytest.approx(35 / 11 - 1)
 
 
 def test_nav_returns_on_review_anchors(spark, small):
-    rows = [("p", day("2023-12-29"), 100.0), ("p", day("2024-01-05"), 105.0),
-            ("p", day("2024-01-08"), 110.0)]
+    # 80 at the end of the year, 120 on the 8th, 90 on the 11th
+    rows = [("p", day(DATES[0]), 80.0), ("p", day(DATES[2]), 120.0), ("p", day(DATES[3]), 90.0)]
     nav = spark.createDataFrame(rows, "portfolio_id string, trade_date date, equity double")
     row = R.nav_period_returns(nav, R.review_anchors(small)).first()
-    assert row[DAY] == pytest.approx(110 / 105 - 1) and row[YEAR] == pytest.approx(0.10)
+    assert row[DAY] == pytest.approx(-0.25) and row[YEAR] == pytest.approx(0.125)
 
 
-def test_nav_must_be_positive(spark, small):
-    nav = spark.createDataFrame([("p", day("2023-12-29"), -1.0)],
-                                "portfolio_id string, trade_date date, equity double")
+def test_nav_must_be_positive(spark):
+    nav = spark.createDataFrame([("p", day(DATES[0]), 0.0)], "portfolio_id string, trade_date date, equity double")
     with pytest.raises(Exception, match="NAV must be positive"):
         R.clean_nav(nav).collect()
 
 
+def test_any_number_of_indices_stands_before_the_tail(spark, small):
+    index = spark.range(1500).selectExpr("id AS ordinal", "concat('I', id) AS name", *[f"0.1D AS `{p}`" for p in PERIODS],
+                                         "0.0D AS bias")
+    table = R.daily_review_table(R.period_returns(small), index).orderBy("row").collect()
+    assert len(table) == 21 + 1500
+    assert [r["名称"] for r in table[18:1518:1499]] == ["I0", "I1499"]
+    assert [r["名称"] for r in table[-3:]] == ["微盘股（自建等权）", "可转债等权", "我的实盘合计"]
+
+
 def test_portfolio_refuses_missing_bars_and_prices(spark):
-    bars = _bars(spark, {"000001.SZ": [10, 11, 12], "000002.SZ": [None, 10, 11]},
-                 ["2023-12-29", "2024-01-05", "2024-01-08"])
+    bars = _bars(spark, {"000001.SZ": [5, 8, 16, 20], "000002.SZ": [None, 3, 6, 9]}, DATES)
     returns = R.period_returns(bars)
     held = spark.createDataFrame([("1", "2"), ("600000", "1")], "symbol string, weight string")
     with pytest.raises(Exception, match="without review bars"):
@@ -87,7 +94,7 @@ def test_portfolio_refuses_missing_bars_and_prices(spark):
         R.portfolio_period_returns(returns, held).collect()
     held = spark.createDataFrame([("1", "3"), ("1.SZ", "x")], "symbol string, weight string")
     row = R.portfolio_period_returns(returns, held).first()
-    assert row[DAY] == pytest.approx(12 / 11 - 1)
+    assert row[DAY] == pytest.approx(20 / 16 - 1)
 
 
 def test_review_table_keeps_blank_rows(small):

@@ -120,3 +120,58 @@ def test_calendar_shapes(spark):
                                 "calendar_date string, is_trading_day string")
     assert [r[0] for r in Snap.trading_days(old).collect()] == [day("2024-01-02")]
     assert [r[0] for r in Snap.trading_days(new).collect()] == [day("2024-01-02")]
+
+
+def test_refresh_guard_unknown_answers_and_emptied_dates(spark):
+    schema = "symbol string, trade_date date, total_mv double"
+    d = [day(f"2022-06-0{k}") for k in range(1, 6)]
+    before = [(s, when, 1.0) for when in d for s in ("A", "B", "C")]
+    now = [(s, when, 1.0) for when in (d[0], d[1], d[3]) for s in ("A", "B", "C")]  # the third and fifth came back empty
+    complete = F.when(F.dayofmonth("trade_date") == 1, True).when(F.dayofmonth("trade_date") == 4, F.lit(None).cast("boolean"))
+    known = F.dayofmonth("trade_date") <= 4
+
+    def verdicts(floor=None):
+        got = Snap.basic_refresh_guard(spark.createDataFrame(before, schema), spark.createDataFrame(now, schema), complete, known,
+                                    floor)
+        return [(r["symbols"], r["dropped"], r["verdict"]) for r in got.orderBy("trade_date").collect()]
+
+    assert verdicts() == [(3, 0, "complete"), (3, 0, "refused"), (0, 3, "refused"), (3, 0, "refused"), (0, 3, "observed")]
+    assert verdicts(F.lit(3))[3] == (3, 0, "complete") and verdicts(F.lit(4))[3] == (3, 0, "refused")
+
+
+def test_doubled_master_rows_count_once(spark):
+    rows = [("A", day("2022-01-01"), None), ("A", day("2022-02-01"), None), ("B", day("2022-01-01"), day("2022-03-01")),
+            ("B", day("2022-02-01"), day("2022-04-01")), ("B", day("2022-06-01"), None), ("900001.SH", day("2022-01-01"), None)]
+    master = spark.createDataFrame(rows, "symbol string, list_date date, delist_date date")
+    days = spark.createDataFrame([(day(t),) for t in ("2021-12-31", "2022-02-15", "2022-03-15", "2022-04-01", "2022-07-01")],
+                                 "cal_date date")
+    got = Snap.active_counts(master, days).orderBy("cal_date").collect()
+    assert [r["active"] for r in got] == [0, 2, 2, 1, 2]
+
+
+def test_market_cap_report(spark):
+    d = [day(f"2022-06-0{k}") for k in range(1, 6)]
+    rows = [("A", d[0], 1.0), ("A", d[1], 1.0), ("A", d[1], 2.0), ("900001.SH", d[2], 1.0), ("A", d[3], -1.0), ("A", d[4], 1.0)]
+    basic = spark.createDataFrame(rows, "symbol string, trade_date date, total_mv double")
+    asked = spark.createDataFrame([(x,) for x in [*d[:4], day("2022-06-30")]], "trade_date date")
+    got = {r["trade_date"]: r["verdict"] for r in Snap.market_cap_report(basic, asked).collect()}
+    assert got == {d[0]: "valid", d[1]: "invalid", d[2]: "invalid", d[3]: "invalid", d[4]: "foreign",
+                   day("2022-06-30"): "missing"}
+    with pytest.raises(Exception, match="total_mv"):
+        Snap.market_cap_report(basic.drop("total_mv"), asked)
+
+
+def test_review_day_is_the_latest_complete_one_or_refused(spark):
+    d = [day(f"2022-06-0{k}") for k in range(1, 5)]
+    status = spark.createDataFrame(list(zip(d, ["complete", "incomplete", "complete", "incomplete"])),
+                                   "trade_date date, status string")
+
+    def anchors(*others):
+        return lambda when: spark.createDataFrame([(when, *others)], ", ".join(f"a{k} date" for k in range(len(others) + 1)))
+
+    assert Snap.require_review_day(status, anchors(d[0])) == d[2]
+    assert Snap.require_review_day(status, anchors(), d[0]) == d[0]
+    with pytest.raises(Exception, match="2022-06-02 incomplete"):
+        Snap.require_review_day(status, anchors(d[1]))
+    with pytest.raises(Exception, match="no complete day"):
+        Snap.require_review_day(status.where("status = 'none'"), anchors())
