@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,21 +50,41 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/barloom-{label}-{uuid.uuid4().hex[:12]}"
+        base = _local_base()
+    path = f"{base.rstrip('/')}/barloom-{label}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
+
+
+_MADE: list[str] = []  # scratch paths of this process
+
+
+@cache
+def _local_base() -> str:
+    """One temporary folder of a local session, removed when the process ends."""
+    base = tempfile.mkdtemp(prefix="barloom-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this process. Call it once the results that read them are written."""
+    while _MADE:
+        _delete(spark, _MADE.pop())
 
 
 def discard(frame: DataFrame) -> None:
     """Delete the files of a table made by ``cut``; nothing may read it afterwards."""
-    spark = frame.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     for folder in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
-        if "/barloom-table-" in folder and base.rstrip("/").rsplit("/", 1)[-1] in folder:
-            path = hadoop.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        if folder.rsplit("/", 1)[-1].startswith("barloom-table-"):
+            _delete(frame.sparkSession, folder)
 
 
 def cut(frame: DataFrame) -> DataFrame:
