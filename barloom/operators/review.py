@@ -139,16 +139,27 @@ def return_summary(returns: DataFrame) -> DataFrame:
     return counts.join(middle, "period", "left").select("period", "mean", "median", "count")
 
 
+def coerced_holdings(holdings: DataFrame) -> DataFrame:
+    """(symbol, weight) with full symbols and numbers; what is no number weighs nothing."""
+    return holdings.select(
+        stock_symbol(F.col("symbol")).alias("symbol"),
+        F.coalesce(to_number(F.col("weight")), F.lit(0.0)).alias("weight"),
+    )
+
+
+def scaled_weights(holdings: DataFrame) -> DataFrame:
+    """(symbol, weight) with weights that sum to one."""
+    held = coerced_holdings(holdings)
+    return held.withColumn("weight", F.col("weight") / held.agg(F.sum("weight").alias("total")).scalar())
+
+
 def portfolio_period_returns(returns: DataFrame, holdings: DataFrame) -> DataFrame:
     """Weighted period returns of a holdings list; fails on missing symbols or anchor prices.
 
     ``holdings`` has (symbol, weight): weights are coerced, rescaled to one, and every holding
     must have a price on every anchor.
     """
-    held = holdings.select(
-        stock_symbol(F.col("symbol")).alias("symbol"),
-        F.coalesce(to_number(F.col("weight")), F.lit(0.0)).alias("weight"),
-    )
+    held = coerced_holdings(holdings)
     total = held.agg(F.sum("weight").alias("total")).scalar()
     joined = held.join(returns.withColumn("priced", F.lit(True)), "symbol", "left")
     unpriced = F.count_if(F.col("priced").isNull())

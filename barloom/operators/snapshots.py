@@ -489,3 +489,11 @@ def require_review_day(status: DataFrame, anchors_of, target=None):
         raise DataQualityError("review anchors are not complete: " + ", ".join(
             f"{row['trade_date']} {row['status']}" for row in open_days))
     return target
+
+
+def symbol_differences(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Symbols that only one of two sets has, with the side that has them."""
+    both = first.select("symbol", F.lit(1).alias("a"), F.lit(0).alias("b")).union(
+        second.select("symbol", F.lit(0), F.lit(1)))
+    sides = both.groupBy("symbol").agg((F.max("a") == 1).alias("in_first"), (F.max("b") == 1).alias("in_second"))
+    return sides.where(F.col("in_first") != F.col("in_second"))

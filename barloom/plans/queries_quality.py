@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions import normalize as N
-from barloom.operators import panel as P, quality as Q, snapshots as Snap
+from barloom.operators import panel as P, quality as Q, review as R, snapshots as Snap
 from barloom.plans import driver_views as V
 from barloom.plans.catalogue import query, round_columns, rounded
 from barloom.plans.oracle_views import r, statement
-from barloom.sources import tables
+from barloom.sources import ingest, tables
 
 
 # ---- scalar functions over whole tables ---------------------------------------------------------
@@ -307,11 +307,11 @@ def conflicting_duplicates(spark, root):
 def unparsable_rows(spark, root):
     price = F.when(F.col("event_id") % 7 == 0, "bad").otherwise(F.col("value").cast("string"))
     rows = V.table(spark, root, "events").select(
-        "user_id", F.lit("A").alias("symbol"), F.col("ts").cast("date").alias("trade_date"),
+        "user_id", F.lit("000001.SZ").alias("symbol"), F.col("ts").alias("bar_time"),
         *[N.to_number(price).alias(c) for c in ("open", "high", "low", "close")],
         F.lit(1.0).alias("volume"))
     return rows.groupBy("user_id").agg(
-        F.count_if(Q.bad_required()).alias("bad_rows"), F.count(F.lit(1)).alias("rows")
+        F.count_if(ingest.unparsable(check_symbol=True)).alias("bad_rows"), F.count(F.lit(1)).alias("rows")
     ).where(F.col("bad_rows") > 0)
 
 
@@ -337,8 +337,9 @@ def symbol_mismatch(spark, root):
     inside = N.minute_symbol((F.col("l_partkey") % 50).cast("string"))
     claimed = N.symbol_from_file_name(F.concat(
         F.lit("/x/"), (F.col("l_suppkey") % 50).cast("string"), F.lit(".csv")))
-    return V.table(spark, root, "lineitem").groupBy("l_suppkey").agg(
-        F.count_if(~inside.eqNullSafe(claimed)).alias("mismatched"))
+    rows = V.table(spark, root, "lineitem").select(
+        "l_suppkey", inside.alias("symbol"), claimed.alias("file_symbol"))
+    return rows.groupBy("l_suppkey").agg(F.count_if(ingest.other_symbol()).alias("mismatched"))
 
 
 @query("v11_basic_validation", statement(
@@ -446,13 +447,8 @@ def symbol_differences(spark, root):
     bars = V.bars(spark, root)
     ends = bars.agg(F.struct(F.min("trade_date").alias("a"), F.max("trade_date").alias("b"))
                     .alias("ends")).scalar()
-    first = bars.where(F.col("trade_date") == ends["a"]).select("symbol").distinct()
-    last = bars.where(F.col("trade_date") == ends["b"]).select("symbol").distinct()
-    only_first = first.exceptAll(last).select(
-        "symbol", F.lit(True).alias("in_first"), F.lit(False).alias("in_second"))
-    only_last = last.exceptAll(first).select(
-        "symbol", F.lit(False).alias("in_first"), F.lit(True).alias("in_second"))
-    return only_first.union(only_last)
+    return Snap.symbol_differences(bars.where(F.col("trade_date") == ends["a"]),
+                                   bars.where(F.col("trade_date") == ends["b"]))
 
 
 @query("u4_distinct_groups", statement(
@@ -488,10 +484,7 @@ def underlying_subset(spark, root):
     f"""SELECT symbol || '.SZ' AS symbol, {r('weight / (SELECT sum(weight) FROM holdings)')}
           AS weight FROM holdings"""))
 def rescaled_weights(spark, root):
-    held = V.holdings(spark, root)
-    total = held.agg(F.sum("weight")).scalar()
-    return held.select(N.stock_symbol(F.col("symbol")).alias("symbol"),
-                       rounded(F.col("weight") / total).alias("weight"))
+    return R.scaled_weights(V.holdings(spark, root)).select("symbol", rounded("weight").alias("weight"))
 
 
 @query("k9_examples", statement(

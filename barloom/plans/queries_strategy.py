@@ -132,19 +132,9 @@ for _mode in _MODES:
 def closest_to_target_rps(spark, root):
     bars = stock_caps(spark, root)
     axis = P.with_period_start(P.date_axis(bars), "week")
-    w = P.series()
-    rows = P.with_date_idx(bars, axis).withColumns({
-        "previous_mv": P.lag_by("total_mv", 1, w), "base": P.lag_by("close", 60, w)})
-    pool = P.top_k(
-        rows.where(F.col("is_start") & F.col("previous_mv").isNotNull()
-                   & ~F.col("symbol").rlike("^(688|8|4)")),
-        ["trade_date"], [F.col("previous_mv"), F.col("symbol")], 8, "pool_rank")
-    ranked = pool.where(F.col("date_idx") >= 60).withColumn(
-        "momentum", F.col("close") / F.col("base") - 1
-    ).withColumn("rps", P.percent_rank("momentum", ["trade_date"]) * 100)
-    best = P.top_k(ranked, ["trade_date"],
-                   [F.abs(F.col("rps") - 70).asc_nulls_last(), F.col("pool_rank")], 3, "pick")
-    return best.select("symbol", "trade_date", F.col("pick").cast("bigint").alias("pick"))
+    pool = S.smallest_pool(S.rebalance_caps(bars, axis, 60), ("688", "8", "4"), 8)
+    best = S.closest_to_rps(pool, 60, 70, 3)
+    return best.select("symbol", "trade_date", F.col("rank").cast("bigint").alias("pick"))
 
 
 @query("k5_smallest_of_pool", statement(
@@ -153,12 +143,7 @@ def closest_to_target_rps(spark, root):
 def smallest_of_pool(spark, root):
     bars = stock_caps(spark, root)
     axis = P.with_period_start(P.date_axis(bars), "month")
-    rows = P.with_date_idx(bars, axis).withColumn(
-        "previous_mv", P.lag_by("total_mv", 1, P.series()))
-    pool = P.top_k(
-        rows.where(F.col("is_start") & F.col("previous_mv").isNotNull()
-                   & ~F.col("symbol").rlike("^(688|8|4)")),
-        ["trade_date"], [F.col("previous_mv"), F.col("symbol")], 3, "pool_rank")
+    pool = S.smallest_pool(S.rebalance_caps(bars, axis, 1), ("688", "8", "4"), 3)
     return pool.select("symbol", "trade_date", F.col("pool_rank").cast("bigint").alias("pool_rank"))
 
 

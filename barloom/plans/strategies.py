@@ -123,43 +123,56 @@ def microcap(
         raise ValueError(f"unknown selection: {selection}")
     hold = pool_size if hold_count is None else hold_count
     axis = P.with_period_start(P.date_axis(bars), units[rebalance])
-    # Only rebalance dates and the dates they look back to enter the windows.
-    offsets = [0, 1] + ([rps_lookback_days] if selection == "rps" else [])
-    touched = axis.where("is_start").select(
-        F.explode(F.array(*[F.col("date_idx") - n for n in offsets])).alias("date_idx")
-    ).distinct()
-    w = P.series()
-    rows = P.with_date_idx(bars.select("symbol", "trade_date", "close", "total_mv"), axis)
-    rows = rows.join(F.broadcast(touched), "date_idx", "left_semi").withColumns({
-        "previous_mv": P.lag_by(P.require_unique(F.col("total_mv"), w), 1, w),
-        "base_close": P.lag_by("close", rps_lookback_days, w),
-    })
-    candidates = rows.where(
-        F.col("is_start") & F.col("close").isNotNull() & F.col("previous_mv").isNotNull()
-        & ~code_excluded(F.col("symbol"), exclude_prefixes)
-    )
-    pool = P.top_k(candidates, ["trade_date"], [F.col("previous_mv"), F.col("symbol")],
-                   pool_size, "pool_rank")
+    rows = rebalance_caps(bars, axis, rps_lookback_days if selection == "rps" else 1)
+    pool = smallest_pool(rows, exclude_prefixes, pool_size)
     if selection == "rank":
         first = max(1, rank_start)
         picked = pool.where(F.col("pool_rank").between(first, first + hold - 1))
     elif selection == "smallest":
         picked = pool.where(F.col("pool_rank") <= hold)
     elif selection == "rps":
-        ranked = (
-            pool.where(F.col("date_idx") >= rps_lookback_days)
-            .withColumn("momentum", F.col("close") / F.col("base_close") - 1)
-            .withColumn("rps", P.percent_rank("momentum", ["trade_date"]) * 100)
-        )
-        distance = F.abs(F.col("rps") - rps_target)
-        picked = P.top_k(ranked, ["trade_date"],
-                         [distance.asc_nulls_last(), F.col("pool_rank")], hold)
+        picked = closest_to_rps(pool, rps_lookback_days, rps_target, hold)
     else:
         picked = pool
     weights = equal_weight(picked.select("symbol", "epoch"), ["epoch"])
     return P.carry_to_dates(weights, axis).select("symbol", "trade_date", "weight")
 
 
+def rebalance_caps(bars: DataFrame, axis: DataFrame, lookback: int) -> DataFrame:
+    """Bars of the rebalance dates with the market cap of the date before and the close ``lookback`` dates before.
+
+    Only rebalance dates and the dates they look back to enter the windows.
+    """
+    offsets = sorted({0, 1, lookback})
+    touched = axis.where("is_start").select(
+        F.explode(F.array(*[F.col("date_idx") - n for n in offsets])).alias("date_idx")
+    ).distinct()
+    w = P.series()
+    rows = P.with_date_idx(bars.select("symbol", "trade_date", "close", "total_mv"), axis)
+    return rows.join(F.broadcast(touched), "date_idx", "left_semi").withColumns({
+        "previous_mv": P.lag_by(P.require_unique(F.col("total_mv"), w), 1, w),
+        "base_close": P.lag_by("close", lookback, w),
+    }).where("is_start")
+
+
+def smallest_pool(rows: DataFrame, exclude_prefixes: tuple[str, ...], size: int) -> DataFrame:
+    """The ``size`` smallest per date by the cap of the date before, with their ``pool_rank``."""
+    candidates = rows.where(F.col("close").isNotNull() & F.col("previous_mv").isNotNull()
+                            & ~code_excluded(F.col("symbol"), exclude_prefixes))
+    return P.top_k(candidates, ["trade_date"], [F.col("previous_mv"), F.col("symbol")], size, "pool_rank")
+
+
+def closest_to_rps(pool: DataFrame, lookback: int, target: float, hold: int) -> DataFrame:
+    """The ``hold`` rows per date whose percent rank of growth within the pool is nearest to ``target``, as ``rank``."""
+    ranked = (
+        pool.where(F.col("date_idx") >= lookback)
+        .withColumn("momentum", F.col("close") / F.col("base_close") - 1)
+        .withColumn("rps", P.percent_rank("momentum", ["trade_date"]) * 100)
+    )
+    distance = F.abs(F.col("rps") - target)
+    return P.top_k(ranked, ["trade_date"], [distance.asc_nulls_last(), F.col("pool_rank")], hold)
+
+
 # ---- registry ------------------------------------------------------------------------------------
 @dataclass(frozen=True)
 class Strategy:

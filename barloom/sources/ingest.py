@@ -124,7 +124,13 @@ def normalise(parsed: DataFrame, frequency: str, convention: str = "source") ->
     )
 
 
-def _unparsable(check_symbol: bool) -> Column:
+def other_symbol() -> Column:
+    """A row's symbol differs from the one its file claims; a file that claims none fits all."""
+    return ~F.col("symbol").eqNullSafe(F.col("file_symbol")) & F.col("file_symbol").isNotNull()
+
+
+def unparsable(check_symbol: bool) -> Column:
+    """A key or a needed value could not be read."""
     needed = [F.col(c).isNull() for c in ("symbol", "bar_time", *OHLC, "volume")]
     bad = needed[0]
     for test in needed[1:]:
@@ -176,13 +182,12 @@ def _judge(rows: DataFrame, collapse: bool) -> DataFrame:
 
 def _marked(rows: DataFrame, frequency: str, check_symbol: bool) -> DataFrame:
     """What the verdicts need of every row: its key, its tests and a digest of its values."""
-    bad, placeholder = _unparsable(check_symbol), Q.opening_placeholder()
+    bad, placeholder = unparsable(check_symbol), Q.opening_placeholder()
     sound = ~bad & ~placeholder
     return rows.select(
         "unit", "member", "block", "pos", "symbol", "bar_time", "expected_rows",
         bad.alias("unparsable"), sound.alias("usable"),
-        (~F.col("symbol").eqNullSafe(F.col("file_symbol")) & F.col("file_symbol").isNotNull())
-        .alias("symbol_mismatch"),
+        other_symbol().alias("symbol_mismatch"),
         (sound & Q.off_grid(frequency)).alias("off_grid"),
         (sound & (Q.bad_ohlc() | Q.bad_amounts(rows))).alias("illegal"),
         F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in BAR_VALUES]), 256)
@@ -238,7 +243,7 @@ def _assemble(parse, formats: DataFrame, units: DataFrame, frequency: str, sourc
     report = cut(report)
     accepted = report.where(F.col("status") == "success").select("unit")
     rows = parse(formats.join(accepted, "unit", "left_semi"))
-    rows = rows.where(~_unparsable(check_symbol) & ~Q.opening_placeholder())
+    rows = rows.where(~unparsable(check_symbol) & ~Q.opening_placeholder())
     if collapse:
         rows = keep_newest(rows, ["unit", "symbol", "bar_time"], ["block", "pos"])
     bars = rows.select(
