@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.constants import METRIC_LABELS, MISSING_CELL
 from barloom.functions.normalize import number_text, percent_text, period_end
-from barloom.operators.panel import islands
+from barloom.operators.panel import require_unique
 
 KEY = "portfolio_id"
 

@@ -17,7 +17,6 @@ from barloom.functions.normalize import (
     is_auction,
     whole_minute,
 )
-from barloom.operators.panel import keep_newest
 
 EXAMPLES = 3
 
