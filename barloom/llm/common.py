@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 # A batch handed to Python ends at whichever bound comes first; single longer rows still pass whole.
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,23 @@ def utf8(text: str | Column) -> Column:
     return F.coalesce(column.cast("binary"), F.lit(b"").cast("binary"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task, as workers are used again by later tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries do without
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def returning(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``work`` for a group, then ``give_back``."""
+    def run(table: pa.Table) -> pa.Table:
+        out = work(table)
+        give_back()
+        return out
+
+    return run
+
+
 def map_batches(
     frame: DataFrame,
     work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, object]]],
@@ -41,6 +60,7 @@ def map_batches(
             yield pa.RecordBatch.from_arrays(
                 [_array(columns[field.name], field.type) for field in arrow], schema=arrow
             )
+        give_back()
 
     return frame.mapInArrow(run, spark_schema)
 

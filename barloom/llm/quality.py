@@ -33,7 +33,7 @@ PARTS = 4
 LEAST_SHARE, TAIL = 0.5, 0.98  # thresholds between these shares of positives give the prior
 ACCEPT = 0.7
 FOLDS, HELD_OUT = 4, 2
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 # Classes of bytes: lower, upper, digit, space, line break, sentence marks, bar, other marks, other bytes.
 _CLASSES = 9

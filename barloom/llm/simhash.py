@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from barloom.llm.common import bytes_of, map_batches, utf8
+from barloom.llm.common import bytes_of, map_batches, returning, utf8
 from barloom.llm.components import roots
 from barloom.session import cut
 
@@ -157,7 +157,7 @@ def links(distinct: DataFrame, count: int) -> DataFrame:
     buckets = max(least, int(count * per_print / BUCKET_VARIANTS) + 1)
     return (
         _variants(distinct, buckets).repartition(buckets, "bucket").groupBy("bucket")
-        .applyInArrow(_linked, "a long, b long").distinct()
+        .applyInArrow(returning(_linked), "a long, b long").distinct()
     )
 
 

@@ -25,12 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm import suffixsort
-from barloom.llm.common import bytes_of, map_batches, utf8
+from barloom.llm.common import bytes_of, map_batches, returning, utf8
 
 LENGTH = 100
 GRAM = 32
 PIECE = 1 << 20  # bytes of text searched for anchors at once
-SHARD_BYTES = 32 << 20  # of input text for every shard
+PART_BYTES = 32 << 20  # of input text for every partition
+SHARDS = 4  # for every partition, sorted one after another
 NO_ID = (1 << 63) - 1  # rows without an id come last
 
 _RANDOM = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) << np.uint64(1) | np.uint64(1)
@@ -378,14 +379,14 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = _keyed(docs, id_col, text_col, keep)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, -(-size // SHARD_BYTES))
+    parts = max(least, -(-size // PART_BYTES))
     verdicts = (
         _packed_runs(keyed, parts).repartition(parts, "bucket").groupBy("bucket")
-        .applyInArrow(_verdicts, "_id long, _tie int, text long, verdict tinyint")
+        .applyInArrow(returning(_verdicts), "_id long, _tie int, text long, verdict tinyint")
         .groupBy("_id", "_tie").agg(F.collect_list(F.struct("text", "verdict")).alias("verdicts"))
     )
     # The same columns of the same side in both joins, so that Spark shuffles the texts once.
-    dealt = _segments(keyed.join(verdicts, ["_id", "_tie"]), parts)
+    dealt = _segments(keyed.join(verdicts, ["_id", "_tie"]), SHARDS * parts)
     spans = (
         _shard_repeats(dealt.repartition(parts, "shard").sortWithinPartitions("shard"))
         .groupBy("_id", "_tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
