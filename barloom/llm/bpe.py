@@ -1,15 +1,17 @@
 """Byte-level BPE by a hierarchical-bitmap rank queue.
 
-Every merge rank has a bucket of positions of a linked list over the bytes of a pre-token. A bitmap
-over the ranks, with a bitmap over its words and so on, tells by find-first-set which bucket is next.
-A merge changes two neighbouring pairs; their new ranks are entered and the old entries stay where they
-are, to be skipped when they come up and no longer describe their position. The work of a pre-token
-of n bytes is therefore O(n) queue steps, whatever its length.
+Every merge rank has a bucket of positions of a linked list over bytes. A bitmap over the ranks, with a bitmap over its
+words, tells by find-first-set which bucket is next. A merge changes two neighbouring pairs; their new ranks are
+entered and the old entries stay where they are, to be skipped when they come up and no longer describe their position. The
+work is O(n) queue steps for n bytes, so very long pre-tokens are no special case; for the same reason all new pre-tokens of
+a batch share one list, with borders that no merge crosses, and one queue.
 """
 
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm.common import bytes_of, decoded, map_batches, utf8
 
-CACHE = 1_000_000  # pre-tokens kept by a worker; a full cache starts anew
+CHUNKS, TOKENS = 100_000, 250_000  # kept by a worker in each of two generations
+LISTED = 1 << 20  # bytes; longer lists are packed to save memory
 
 
 @lru_cache(maxsize=2)
@@ -31,45 +34,73 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
+class Kept(dict):
+    """A cache of two generations: what is used again when a generation is full moves on to the next one."""
+
+    def __init__(self, bound) -> None:
+        super().__init__()
+        self.bound, self.older = bound, {}
+
+    def turn(self) -> None:
+        if len(self) >= self.bound():
+            self.older = dict(self)
+            self.clear()
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys that neither generation has; those of the older one are taken over."""
+        fresh = [key for key in keys if key not in self]
+        found = {key: self.older[key] for key in fresh if key in self.older}
+        self.update(found)
+        return [key for key in fresh if key not in found]
+
+
 class Encoder:
-    """Encodes texts with the ranks of a file; keeps the ids of frequent pre-tokens."""
+    """Encodes texts with the ranks of a file; keeps the packed ids of frequent chunks and pre-tokens."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
         # Python's integers may be as wide as the root of the number of ranks, so two levels are enough.
         self.shift = max(1, max(self.ranks.values(), default=1).bit_length() + 1 >> 1)
-        self.mask = (1 << self.shift) - 1
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.single = np.array([self.ranks.get(bytes([k]), -1) for k in range(256)], np.int32)
+        self.double = np.full(1 << 16, -1, np.int32)
+        for piece, rank in self.ranks.items():
+            if len(piece) == 2:
+                self.double[piece[0] << 8 | piece[1]] = rank
+        self.tokens, self.chunks = Kept(lambda: TOKENS), Kept(lambda: CHUNKS)
+        self.glued = re.compile(r"\A |\s \S| \s|\s | \Z").search  # white space beside a space, or a space at an end
 
-    def merge(self, data: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token.
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after another, and the number of ids of each. Pieces must not be empty."""
+        data = b"".join(pieces)
+        size = len(data)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts = np.cumsum(sizes) - sizes
+        raw = np.frombuffer(data, np.uint8)
+        border = np.zeros(size + 1, bool)  # a piece starts, or the data end
+        border[starts] = border[size] = True
+        first = self.double[raw[:-1].astype(np.int32) << 8 | raw[1:]]
+        first[border[1:-1]] = -1
 
-        The queue is two levels of bitmaps over ``buckets``: ``words`` by the high part of a rank, ``top`` over
-        the words. Its code stands in line because a call for each step would double the time.
-        """
-        rank_of = self.ranks.get
-        whole = rank_of(data)
-        if whole is not None:
-            return (whole,)
-        size, shift, mask = len(data), self.shift, self.mask
-        after = list(range(1, size + 1))  # start of the next part; `size` ends the list
-        before = list(range(-1, size - 1))
-        pair = [-1] * size  # rank of the part with the next one, -1: none or merged away
+        listed = (lambda a: a.tolist()) if size <= LISTED else (lambda a: array("q", a.astype(np.int64).tobytes()))
+        end = listed(np.arange(1, size + 1))  # of the part that starts here
+        before = listed(np.where(border[:-1], -1, np.arange(-1, size - 1)))  # start of the part before
+        pair = listed(np.append(first, -1))  # rank of the part with the next one; -1: none, or merged away
+        ident = listed(self.single[raw])  # id of the part that starts here
+        border = border.tobytes()
+
+        rank_of, shift, mask = self.ranks.get, self.shift, (1 << self.shift) - 1
         buckets: dict[int, list[int]] = {}
         words: dict[int, int] = {}
         top = 0
-        for at in range(size - 1):
-            rank = rank_of(data[at:at + 2])
-            if rank is not None:
-                pair[at] = rank
-                if rank in buckets:
-                    buckets[rank].append(at)
-                else:
-                    buckets[rank] = [at]
-                    word = rank >> shift
-                    words[word] = words.get(word, 0) | 1 << (rank & mask)
-                    top |= 1 << word
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0):]
+        names, begins = np.unique(first[order], return_index=True)
+        for rank, a, b in zip(names.tolist(), begins.tolist(), [*begins[1:].tolist(), len(order)]):
+            buckets[rank] = order[a:b].tolist()
+            words[rank >> shift] = words.get(rank >> shift, 0) | 1 << (rank & mask)
+            top |= 1 << (rank >> shift)
+
         while top:
             high = top & -top
             word = high.bit_length() - 1
@@ -80,22 +111,21 @@ class Encoder:
             if bits == low:
                 top ^= high
             bucket = buckets.pop(rank)
-            if len(bucket) > 1:
-                bucket.sort()  # leftmost first
+            bucket.sort()  # leftmost first
+            lower = False
             for turn, at in enumerate(bucket, 1):
                 if pair[at] != rank:
                     continue  # stale
-                gone = after[at]
-                end = after[gone]
-                after[at] = end
+                gone = end[at]
+                stop = end[gone]
+                end[at], ident[at], ident[gone] = stop, rank, -1
                 pair[gone] = pair[at] = -1
-                lower = False
-                if end < size:
-                    before[end] = at
-                    fresh = rank_of(data[at:after[end]])
+                left = before[at]
+                if not border[stop]:
+                    before[stop] = at
+                    fresh = rank_of(data[at:end[stop]])
                     if fresh is not None:
                         pair[at] = fresh
-                        lower = fresh < rank
                         if fresh in buckets:
                             buckets[fresh].append(at)
                         else:
@@ -103,14 +133,13 @@ class Encoder:
                             word = fresh >> shift
                             words[word] = words.get(word, 0) | 1 << (fresh & mask)
                             top |= 1 << word
-                left = before[at]
+                            lower = fresh < rank
                 if left >= 0:
-                    fresh = rank_of(data[left:end])
+                    fresh = rank_of(data[left:stop])
                     if fresh is None:
                         pair[left] = -1
                     else:
                         pair[left] = fresh
-                        lower = lower or fresh < rank
                         if fresh in buckets:
                             buckets[fresh].append(left)
                         else:
@@ -118,28 +147,66 @@ class Encoder:
                             word = fresh >> shift
                             words[word] = words.get(word, 0) | 1 << (fresh & mask)
                             top |= 1 << word
-                if lower and turn < len(bucket):  # a smaller rank goes first; the rest waits
-                    buckets[rank] = bucket[turn:]
-                    word = rank >> shift
-                    words[word] = words.get(word, 0) | 1 << (rank & mask)
-                    top |= 1 << word
+                            lower = lower or fresh < rank
+                if lower:  # a smaller rank goes first; the rest waits
+                    if turn < len(bucket):
+                        buckets[rank] = bucket[turn:]
+                        word = rank >> shift
+                        words[word] = words.get(word, 0) | 1 << (rank & mask)
+                        top |= 1 << word
                     break
-        ids, at, ranks = [], 0, self.ranks
-        while at < size:
-            ids.append(ranks[data[at:after[at]]])
-            at = after[at]
-        return tuple(ids)
-
-    def encode(self, text: str) -> list[int]:
-        known, ids = self.known, []
-        for token in self.split(text):
-            got = known.get(token)
-            if got is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                got = known[token] = self.merge(token.encode("utf-8"))
-            ids.extend(got)
-        return ids
+        ids = np.array(ident, np.int64)
+        alive = ids >= 0
+        return ids[alive].astype(np.int32), np.add.reduceat(alive, starts) if size else np.zeros(0, np.int64)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Work out the ids of new chunks."""
+        split = [self.split(chunk) for chunk in chunks]
+        known, rank_of = self.tokens, self.ranks.get
+        known.turn()
+        new, pieces = [], []
+        for token in known.missing({token for tokens in split for token in tokens}):
+            piece = token.encode("utf-8")
+            whole = rank_of(piece)
+            if whole is None:
+                new.append(token)
+                pieces.append(piece)
+            else:
+                known[token] = whole.to_bytes(4, "little")
+        if pieces:
+            ids, counts = self.merge(pieces)
+            packed, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+            for token, a, b in zip(new, [0, *ends], ends):
+                known[token] = packed[a:b]
+        for chunk, tokens in zip(chunks, split):
+            self.chunks[chunk] = b"".join(map(known.__getitem__, tokens))
+
+    def cut(self, text: str) -> list[str]:
+        """Chunks whose ends are also ends of pre-tokens.
+
+        Where a single space stands between two characters that are not white space, the pattern always begins a
+        new pre-token with the space, so texts are cut there.
+        """
+        chunks = text.split(" ")
+        chunks[1:] = [" " + chunk for chunk in chunks[1:]]
+        if not self.glued(text):
+            return chunks
+        whole = chunks[:1]
+        for chunk in chunks[1:]:
+            if len(chunk) == 1 or chunk[1].isspace() or not whole[-1] or whole[-1][-1].isspace():
+                whole[-1] += chunk
+            else:
+                whole.append(chunk)
+        return whole
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed 32-bit ids of whole texts."""
+        self.chunks.turn()
+        cut = [self.cut(text) for text in texts]
+        new = self.chunks.missing({chunk for chunks in cut for chunk in chunks})
+        if new:
+            self.learn(new)
+        return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in cut]
 
 
 @lru_cache(maxsize=2)
@@ -148,8 +215,24 @@ def _encoder(path: str, pattern: str) -> Encoder:
 
 
 @lru_cache(maxsize=2)
-def _pieces(path: str) -> dict[int, bytes]:
-    return {rank: piece for piece, rank in load_ranks(path).items()}
+def _pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces one after another, and the start and length of each rank's piece."""
+    ranks = load_ranks(path)
+    lengths = np.zeros(max(ranks.values(), default=0) + 1, np.int32)
+    ordered = sorted(ranks.items(), key=lambda item: item[1])
+    for piece, rank in ordered:
+        lengths[rank] = len(piece)
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int32)
+    return np.frombuffer(b"".join(piece for piece, _ in ordered), np.uint8), starts, lengths
+
+
+def decode_ids(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all ids one after another, and where each id's bytes end."""
+    letters, starts, lengths = _pieces(path)
+    size = lengths[ids]
+    ends = np.cumsum(size, dtype=np.int64)
+    places = np.repeat(starts[ids] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return letters[places], ends
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
@@ -165,9 +248,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
         encoder = _encoder(path, pattern)
         for batch in batches:
-            lists = [encoder.encode(decoded(data)) for data in bytes_of(batch, "_text")]
-            ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-            values = np.fromiter((i for ids in lists for i in ids), np.int32, int(ends[-1]))
+            lists = encoder.encode([decoded(data) for data in bytes_of(batch, "_text")])
+            ends = np.cumsum([0, *(len(packed) // 4 for packed in lists)], dtype=np.int32)
+            values = np.frombuffer(b"".join(lists), np.int32)
             yield {id_col: batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(values))}
 
     return map_batches(docs.select(id_col, utf8(text_col).alias("_text")), work,
@@ -180,11 +263,13 @@ def decode(coded: DataFrame, path: str | None = None, id_col: str = "doc_id") ->
     kind = coded.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
-        piece = _pieces(path).__getitem__
         for batch in batches:
-            ids = batch.column(1)
-            data = [b"".join(map(piece, row or ())) for row in ids.to_pylist()]
-            yield {id_col: batch.column(0), "ids": ids, "data": data}
+            ids = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
+            data, ends = decode_ids(ids.flatten().to_numpy(zero_copy_only=False), path)
+            rows = np.cumsum([0, *ids.value_lengths().to_pylist()])
+            cuts = np.concatenate([[0], ends])[rows].tolist()
+            whole = data.tobytes()
+            yield {id_col: batch.column(0), "ids": ids, "data": [whole[a:b] for a, b in zip(cuts, cuts[1:])]}
 
     return map_batches(coded.select(id_col, "ids"), work,
                        f"`{id_col}` {kind}, ids array<int>, data binary")

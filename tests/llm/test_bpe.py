@@ -13,7 +13,7 @@ REFERENCE = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeabl
 
 
 def ids(encoder, text):
-    return np.frombuffer(encoder.encode(text), np.int32).tolist()
+    return np.frombuffer(encoder.encode([text])[0], np.int32).tolist()
 
 
 def test_equals_the_reference_library():
@@ -24,7 +24,20 @@ def test_equals_the_reference_library():
         assert ids(encoder, text) == REFERENCE.encode_ordinary(text), repr(text)
 
 
-def test_very_long_pre_token():
+def test_many_texts_share_a_queue(monkeypatch):
+    own = random.Random(9)
+    texts = ["".join(own.choice("thearon ") for _ in range(own.randrange(80))) for _ in range(500)]
+    encoder = bpe.Encoder(PATH, public_tokenizers.PATTERN)
+    want = [REFERENCE.encode_ordinary(text) for text in texts]
+    assert [np.frombuffer(x, np.int32).tolist() for x in encoder.encode(texts)] == want
+    monkeypatch.setattr(bpe, "CHUNKS", 3)
+    monkeypatch.setattr(bpe, "TOKENS", 3)
+    assert [ids(encoder, text) for text in texts] == want
+    assert encoder.encode([]) == [] and encoder.encode([""]) == [b""]
+
+
+def test_very_long_pre_token(monkeypatch):
+    monkeypatch.setattr(bpe, "LISTED", 1000)
     encoder = bpe.Encoder(PATH, public_tokenizers.PATTERN)
     text = "".join(random.Random(5).choice("abcdefg") for _ in range(60_000))
     assert ids(encoder, text) == REFERENCE.encode_ordinary(text)
