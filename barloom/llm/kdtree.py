@@ -24,7 +24,7 @@ from barloom.llm.common import map_batches
 from barloom.session import cut
 
 SHARD_ROWS = 16_384
-LEAF = 64
+LEAF = 256
 K = 20
 EXACT = 1 << 53  # doubles hold whole numbers up to here
 
@@ -171,7 +171,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: float = 64.
     """``query_id, rank, vec_id, score``: the ``k`` best rows of ``vectors`` other than the query, for every query.
 
     Components become ``floor(scale * x)``. Defined cases: rows with a null id, a null vector, or null or non-finite
-    components take no part, neither do vectors of another length than the first query's; rows that repeat an id and a vector
+    components take no part, neither do vectors shorter than the longest; rows that repeat an id and a vector
     are one row; fewer rows give fewer ranks; no queries give an empty result; other columns are ignored.
     """
     def whole(frame: DataFrame) -> DataFrame:
