@@ -82,9 +82,8 @@ def entries_of(at: np.ndarray, lcp: np.ndarray) -> np.ndarray:
 
 def run_lengths(text: np.ndarray) -> np.ndarray:
     """How often the symbol at each place is repeated from there on."""
-    size = len(text)
     ends = np.flatnonzero(np.concatenate([text[1:] != text[:-1], [True]]))
-    return ends[np.searchsorted(ends, np.arange(size))] - np.arange(size) + 1
+    return np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(text)) + 1
 
 
 def smaller_types(text: np.ndarray, runs: np.ndarray) -> np.ndarray:
@@ -130,9 +129,9 @@ class _Carry:
                 np.minimum(self.since, whole, out=self.since)
             return
         at = batch["at"][places] - 1
-        symbol = text[at].astype(np.int64)
-        order = np.argsort(symbol, kind="stable")
-        symbol, places, at = symbol[order], places[order], at[order]
+        symbol = text[at]
+        order = np.argsort(symbol, kind="stable")  # of short integers by counting
+        symbol, places, at = symbol[order].astype(np.int64), places[order], at[order]
         if not self.cap:
             begins = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
             for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(symbol)]):
@@ -176,7 +175,7 @@ def _star_order(text: np.ndarray, small: np.ndarray, stars: np.ndarray, memory:
             inside = step < length[pending]
             symbol = kinds[np.minimum(stars[pending] + step, len(text) - 1)] + 1
             key = key << bits | np.where(inside, symbol, 0)
-        by = np.lexsort((key, rank[pending]))
+        by = np.lexsort((key, rank[pending])) if depth else np.argsort(key, kind="stable")
         pending, key = pending[by], key[by]
         group = rank[pending]
         change = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
@@ -198,22 +197,32 @@ def _star_order(text: np.ndarray, small: np.ndarray, stars: np.ndarray, memory:
 
 
 def _doubled(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string in memory, by doubling the compared length."""
+    """Order of the suffixes of a string in memory, by doubling the compared length of those not yet told apart.
+
+    A rank is the number of suffixes before the first of its group, so the ranks of finished suffixes stay.
+    """
     size, step = len(names), 1
-    rank = names.astype(np.int64)
-    while True:
-        after = np.full(size, -1, np.int64)
-        after[:-step] = rank[step:]
-        key = rank * (size + 1) + after + 1 if size < (1 << 31) else None
-        order = np.argsort(key, kind="stable") if key is not None else np.lexsort((after, rank))
-        a, b = rank[order], after[order]
-        change = np.concatenate([[0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        fresh = np.cumsum(change)
-        rank = np.empty(size, np.int64)
-        rank[order] = fresh
+    order = np.argsort(names, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], names[order[1:]] != names[order[:-1]]]))
+    sizes = np.diff(np.append(heads, size))
+    rank = np.empty(size, np.int64)
+    rank[order] = np.repeat(heads, sizes)
+    pending = order[np.repeat(sizes > 1, sizes)]
+    while len(pending):
+        after = np.where(pending + step < size, rank[np.minimum(pending + step, size - 1)], -1)
+        group = rank[pending]
+        by = np.lexsort((after, group))
+        pending, after, group = pending[by], after[by], group[by]
+        head = np.concatenate([[True], group[1:] != group[:-1]])
+        change = head | np.concatenate([[True], after[1:] != after[:-1]])
+        place = np.arange(len(pending))
+        rank[pending] = group + place[np.maximum.accumulate(np.where(change, place, 0))] \
+            - place[np.maximum.accumulate(np.where(head, place, 0))]
+        sizes = np.diff(np.append(np.flatnonzero(change), len(pending)))
+        pending = pending[np.repeat(sizes > 1, sizes)]
         step *= 2
-        if fresh[-1] == size - 1 or step >= size:
-            return order
+    order[rank] = np.arange(size)
+    return order
 
 
 def _shared(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
