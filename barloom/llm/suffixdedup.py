@@ -8,8 +8,12 @@ the same document. Shards are cut by content, so that equal strings always meet:
    of anchors and of run texts are shuffled, packed by batch. A run whose anchor occurs once cannot repeat. Of runs with equal
    texts (anchor and text hash, 128 bits) only the first is looked at further; the windows of the others are repeats.
 2. First runs whose anchor also has other texts are dealt to shards by the anchor's hash.
-3. A shard's texts are joined and sorted by external induced sorting with common-prefix values (`suffixsort`). Neighbours that
+3. A shard's texts are joined and sorted by induced sorting with common-prefix values (`suffixsort`). Neighbours that
    share LENGTH symbols are equal windows; all but the earliest are repeats.
+   Hot anchors (HOT_RUNS runs or more) take neither step 2 nor the verdicts of step 1, as all their runs would meet in one task:
+   their windows are dealt one by one, by the window's own 128-bit hash, the earliest of each batch only. A first pass counts
+   anchors, by batch those with COUNTED runs or more. So an anchor that is not hot has fewer than
+   HOT_RUNS + COUNTED * batches runs.
 4. Repeats go back to their documents, where overlapping ones are united and the rest of the text is kept.
 
 The texts are shuffled once, by document; both visits to the documents read that shuffle.
@@ -32,6 +36,10 @@ GRAM = 32
 PIECE = 1 << 20  # bytes of text searched for anchors at once
 PART_BYTES = 32 << 20  # of input text for every partition
 SHARDS = 4  # for every partition, sorted one after another
+HOT_RUNS = 1 << 10  # an anchor with so many counted runs is hot
+COUNTED = 8  # runs of an anchor in one batch from which on they are counted
+BATCH_WINDOWS = 1 << 18  # hot windows remembered at once
+DIGEST = 16  # bytes of the hash of a hot window; texts of runs are longer
 NO_ID = (1 << 63) - 1  # rows without an id come last
 
 _RANDOM = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) << np.uint64(1) | np.uint64(1)
@@ -116,14 +124,52 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: bool) -> DataFrame
         *([F.struct(F.col(text_col).isNull().alias("_null"), *others).alias("row")] if keep else []))
 
 
-def _packed_runs(keyed: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, docs, runs``: a batch's documents (id, tie, number of runs) and their runs for one bucket, in order."""
+def _hot_anchors(keyed: DataFrame) -> np.ndarray:
+    """Sorted hashes of the hot anchors; there is at most one for every HOT_RUNS runs of the table."""
+    counted = COUNTED
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
+        for batch in batches:
+            parts = [np.unique(value, return_counts=True) for *_, value in _document_runs(bytes_of(batch, "_text"))]
+            if not parts:
+                continue
+            anchors, own = np.unique(np.concatenate([part[0] for part in parts]), return_inverse=True)
+            runs = np.bincount(own, np.concatenate([part[1] for part in parts])).astype(np.int64)
+            often = runs >= counted
+            if often.any():
+                yield {"anchor": anchors[often].view(np.int64), "runs": runs[often]}
+
+    found = (
+        map_batches(keyed.select("_text"), work, "anchor long, runs long")
+        .groupBy("anchor").agg(F.sum("runs").alias("runs")).where(F.col("runs") >= HOT_RUNS).select("anchor").collect()
+    )
+    return np.sort(np.array([row[0] for row in found], np.int64).view(np.uint64))
+
+
+def _among(value: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(value), bool)
+    return hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value
+
+
+def _packed_runs(keyed: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """``bucket, docs, runs``: a batch's documents (id, tie, number of runs) and their runs for one bucket, in order.
+
+    Runs of hot anchors are left out; documents that have some also come with no runs.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
         for batch in batches:
             ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = bytes_of(batch, "_text")
             for number, start, count, value in _document_runs(texts):
+                warm = _among(value, hot)
+                if warm.any():
+                    used = np.unique(number[warm])
+                    docs = np.zeros(len(used), DOC)
+                    docs["id"], docs["tie"] = ids[used], ties[used]
+                    yield {"bucket": [int(value[0] % np.uint64(buckets))], "docs": [docs.tobytes()], "runs": [b""]}
+                    number, start, count, value = number[~warm], start[~warm], count[~warm], value[~warm]
                 runs = np.empty(len(number), RUN)
                 runs["anchor"] = value
                 runs["text"] = _text_hashes(texts, number, start, count)
@@ -142,7 +188,7 @@ def _packed_runs(keyed: DataFrame, buckets: int) -> DataFrame:
 
 RUN = np.dtype([("anchor", np.uint64), ("text", np.uint64)])
 DOC = np.dtype([("id", np.int64), ("tie", np.int32), ("runs", np.uint32)])
-FIRST_ALONE, FIRST, GONE = 0, 1, 2
+FIRST_ALONE, FIRST, GONE, HOT = 0, 1, 2, 3
 
 
 def _text_hashes(texts: list[bytes], number: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -155,11 +201,15 @@ def _verdicts(table: pa.Table) -> pa.Table:
     """Runs of one bucket whose anchor occurs more than once: by document and text, what is known of them.
 
     GONE: the text occurs in an earlier document. FIRST: the document's first run of that text is the first of all, and
-    the anchor has other texts too. FIRST_ALONE: it is the first, and there are no others.
+    the anchor has other texts too. FIRST_ALONE: it is the first, and there are no others. HOT, with text 0: the document
+    has runs of hot anchors.
     """
-    runs, ids, ties = [], [], []
+    runs, ids, ties, marks = [np.empty(0, RUN)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, DOC)]
     for docs, own in zip(table.column("docs").to_pylist(), table.column("runs").to_pylist()):
         docs = np.frombuffer(docs, DOC)
+        if not own:
+            marks.append(docs)
+            continue
         runs.append(np.frombuffer(own, RUN))
         ids.append(np.repeat(docs["id"], docs["runs"]))
         ties.append(np.repeat(docs["tie"], docs["runs"]))
@@ -180,24 +230,31 @@ def _verdicts(table: pa.Table) -> pa.Table:
     other[1:] |= (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])
     several = np.bincount(group[fresh], minlength=1)[group] > 1 if len(order) else fresh
     verdict = np.where(fresh, np.where(several, FIRST, FIRST_ALONE), GONE)[other]
-    return pa.table({"_id": ids[other], "_tie": ties[other], "text": text[other].view(np.int64),
-                     "verdict": verdict.astype(np.int8)})
+    mark = np.unique(np.concatenate(marks))
+    return pa.table({"_id": np.append(ids[other], mark["id"]), "_tie": np.append(ties[other], mark["tie"]),
+                     "text": np.append(text[other].view(np.int64), np.zeros(len(mark), np.int64)),
+                     "verdict": np.append(verdict, np.full(len(mark), HOT)).astype(np.int8)})
 
 
 PLACE = np.dtype([("id", np.int64), ("tie", np.int32), ("start", np.int64), ("count", np.int64)])
 
 
-def _segments(texts: DataFrame, shards: int) -> DataFrame:
-    """``shard, texts, sizes, places``: first run texts for one shard with their places, and spans known to be repeats as
-    places of size 0."""
+def _segments(texts: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
+    """``shard, texts, sizes, places``: first run texts for one shard with their places, hashes of windows of hot anchors as
+    texts of DIGEST bytes, and spans known to be repeats as places of size 0."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
         for batch in batches:
             ids, ties = batch.column("_id").to_pylist(), batch.column("_tie").to_pylist()
-            data = bytes_of(batch, "_text")
-            known = [dict(zip((v["text"] for v in row), (v["verdict"] for v in row)))
-                     for row in batch.column("verdicts").to_pylist()]
+            # in order of the documents, so that the first window of its kind is the earliest of the batch
+            order = sorted(range(len(ids)), key=lambda k: (ids[k], ties[k]))
+            ids, ties = [ids[k] for k in order], [ties[k] for k in order]
+            data, verdicts = bytes_of(batch, "_text"), batch.column("verdicts").to_pylist()
+            data = [data[k] for k in order]
+            known = [{v["text"]: v["verdict"] for v in verdicts[k] if v["verdict"] != HOT} for k in order]
             out: dict[int, tuple[list, list, list]] = {}
+            windows: dict[bytes, tuple] = {}  # of hot anchors: first place
+            whole: dict[tuple, tuple] = {}  # runs of hot anchors: first place
             span = None  # repeats of one document that touch are sent as one
 
             def send(shard: int, text: bytes, place: tuple) -> None:
@@ -210,27 +267,55 @@ def _segments(texts: DataFrame, shards: int) -> DataFrame:
                 if span is not None:
                     send(span[0] % shards, b"", (span[0], span[1], span[2], span[3] - span[2] - LENGTH + 1))
 
+            def packed() -> Iterator[dict[str, object]]:
+                for shard, (own, sizes, places) in out.items():
+                    yield {"shard": [shard], "texts": [b"".join(own)], "sizes": [np.array(sizes, np.uint8).tobytes()],
+                           "places": [np.array(places, PLACE).tobytes()]}
+                out.clear()
+
+            def gone(k: int, a: int, c: int) -> None:
+                nonlocal span
+                if span is not None and span[:2] == (ids[k], ties[k]) and span[2] <= a <= span[3]:
+                    span = (*span[:3], max(span[3], a + c + LENGTH - 1))
+                else:
+                    flush()
+                    span = (ids[k], ties[k], a, a + c + LENGTH - 1)
+
             for number, start, count, value in _document_runs(data):
+                warm = _among(value, hot).tolist()
                 hashes = _text_hashes(data, number, start, count).view(np.int64).tolist()
                 anchors = ((value >> np.uint64(20)) % np.uint64(shards)).tolist()
-                for k, a, c, text, shard in zip(number.tolist(), start.tolist(), count.tolist(), hashes, anchors):
+                for k, a, c, text, shard, own, heat in zip(number.tolist(), start.tolist(), count.tolist(), hashes, anchors,
+                                                           value.tolist(), warm):
+                    if heat:
+                        place = (ids[k], ties[k], a)
+                        first = whole.setdefault((own, text), place)
+                        if first != place:
+                            gone(k, a, c)
+                            continue
+                        for at in range(a, a + c):
+                            digest, place = xxhash.xxh3_128_digest(data[k][at:at + LENGTH]), (ids[k], ties[k], at)
+                            first = windows.setdefault(digest, place)
+                            if first != place:
+                                gone(k, at, 1)
+                            else:
+                                send(int.from_bytes(digest[:8]) % shards, digest, (*place, 1))
+                        if len(windows) >= BATCH_WINDOWS:
+                            windows.clear()
+                            whole.clear()
+                            yield from packed()
+                        continue
                     verdict = known[k].get(text)
                     if verdict is None:
                         continue
                     if verdict == GONE:
-                        if span is not None and span[:2] == (ids[k], ties[k]) and span[2] <= a <= span[3]:
-                            span = (*span[:3], max(span[3], a + c + LENGTH - 1))
-                        else:
-                            flush()
-                            span = (ids[k], ties[k], a, a + c + LENGTH - 1)
+                        gone(k, a, c)
                         continue
                     known[k][text] = GONE  # from here on
                     if verdict == FIRST:
                         send(shard, data[k][a:a + c + LENGTH - 1], (ids[k], ties[k], a, c))
             flush()
-            for shard, (own, sizes, places) in out.items():
-                yield {"shard": [shard], "texts": [b"".join(own)], "sizes": [np.array(sizes, np.uint8).tobytes()],
-                       "places": [np.array(places, PLACE).tobytes()]}
+            yield from packed()
 
     return map_batches(texts, work, "shard int, texts binary, sizes binary, places binary")
 
@@ -293,9 +378,10 @@ def _shard_repeats(sorted_: DataFrame) -> DataFrame:
     """``_id, _tie, start, stop``: spans to remove, from rows that come shard by shard."""
 
     def finish(known: dict[bytes, tuple], gone: list[tuple]) -> Iterator[dict[str, object]]:
-        if known:
-            places = np.array(list(known.values()), PLACE)
-            number, offset = repeats_of(list(known), places)
+        texts = [text for text in known if len(text) > DIGEST]  # distinct hashes are distinct windows
+        if texts:
+            places = np.array([known[text] for text in texts], PLACE)
+            number, offset = repeats_of(texts, places)
             if len(number):
                 text, first, stop = _spans(number, offset)
                 own = places[text]
@@ -380,13 +466,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(least, -(-size // PART_BYTES))
-    verdicts = (
-        _packed_runs(keyed, parts).repartition(parts, "bucket").groupBy("bucket")
-        .applyInArrow(returning(_verdicts), "_id long, _tie int, text long, verdict tinyint")
-        .groupBy("_id", "_tie").agg(F.collect_list(F.struct("text", "verdict")).alias("verdicts"))
-    )
-    # The same columns of the same side in both joins, so that Spark shuffles the texts once.
-    dealt = _segments(keyed.join(verdicts, ["_id", "_tie"]), SHARDS * parts)
+    dealt = _dealt(keyed, parts)
     spans = (
         _shard_repeats(dealt.repartition(parts, "shard").sortWithinPartitions("shard"))
         .groupBy("_id", "_tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
@@ -394,6 +474,18 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _without(keyed.join(spans, ["_id", "_tie"], "left"), keep)
 
 
+def _dealt(keyed: DataFrame, parts: int) -> DataFrame:
+    """What the shards get, see ``_segments``."""
+    hot = _hot_anchors(keyed)
+    verdicts = (
+        _packed_runs(keyed, parts, hot).repartition(parts, "bucket").groupBy("bucket")
+        .applyInArrow(returning(_verdicts), "_id long, _tie int, text long, verdict tinyint")
+        .groupBy("_id", "_tie").agg(F.collect_list(F.struct("text", "verdict")).alias("verdicts"))
+    )
+    # The same columns of the same side in both joins, so that Spark shuffles the texts once.
+    return _segments(keyed.join(verdicts, ["_id", "_tie"]), SHARDS * parts, hot)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Figures and hash of what is left of every document."""
     return cut_repeats(docs, id_col, text_col).select(

@@ -109,3 +109,24 @@ def test_equal_windows_have_equal_anchors(monkeypatch):
     parts = [np.concatenate(x) for x in zip(*suffixdedup._document_runs(texts))]
     assert whole[2].sum() == parts[2].sum()
     assert (np.repeat(whole[3], whole[2]) == np.repeat(parts[3], parts[2])).all()
+
+
+def test_hot_anchors_are_split_by_window(spark, monkeypatch):
+    """A passage in every document, with other surroundings each time, and stretches in which every window has one anchor."""
+    monkeypatch.setattr(suffixdedup, "HOT_RUNS", 30)
+    monkeypatch.setattr(suffixdedup, "COUNTED", 1)
+    own = random.Random(12)
+    passage = "".join(own.choice("abcdefgh ") for _ in range(160))
+    noise = ["".join(own.choice("abcdefgh ") for _ in range(200)) for _ in range(120)]
+    rows = [(k * 7 % 127, noise[k][:90] + passage + noise[k // 2][90:], "en", "a", 1) for k in range(120)]
+    rows += [(300, "a" * 700, "en", "a", 1), (301, "ba" * 300, "en", "a", 1), (302, "x" + "a" * 300, "en", "a", 1),
+             *awkward_rows()]
+    frame = docs(spark, rows)
+    assert sorted(map(tuple, suffixdedup.digests(frame).collect()), key=str) == brute(rows)
+    keyed = suffixdedup._keyed(frame, "doc_id", "text", False)
+    assert len(suffixdedup._hot_anchors(keyed)) >= 2
+    shards = {}
+    for row in suffixdedup._dealt(keyed, 4).collect():
+        sizes = np.frombuffer(row["sizes"], np.uint8)
+        shards[row["shard"]] = shards.get(row["shard"], 0) + int((sizes >= 100).sum())
+    assert max(shards.values()) < 30  # all runs of the passage's edges met in one shard before
