@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from barloom.llm import suffixdedup, suffixsort
-from tests.llm.fixtures import awkward_rows, docs, empty
+from tests.llm.fixtures import awkward_rows, docs, empty, prose
 
 
 def naive(text, cap):
@@ -130,3 +130,16 @@ def test_hot_anchors_are_split_by_window(spark, monkeypatch):
         sizes = np.frombuffer(row["sizes"], np.uint8)
         shards[row["shard"]] = shards.get(row["shard"], 0) + int((sizes >= 100).sum())
     assert max(shards.values()) < 30  # all runs of the passage's edges met in one shard before
+
+
+def test_no_group_holds_all_runs_of_an_anchor(spark, monkeypatch):
+    """Every window of a stretch of one byte is a run of its own with the same anchor."""
+    monkeypatch.setattr(suffixdedup, "HOT_RUNS", 50)
+    rows = [(k, "a" * 2000, "en", "a", 1) for k in range(6)] + [(9, prose(4, 300), "en", "a", 1)]
+    frame = docs(spark, rows)
+    keyed = suffixdedup._keyed(frame, "doc_id", "text", False)
+    hot = suffixdedup._hot_anchors(keyed)
+    runs = [np.frombuffer(row["runs"], suffixdedup.RUN)["anchor"] for row in suffixdedup._packed_runs(keyed, 4, hot).collect()
+            if row["runs"]]
+    assert np.unique(np.concatenate(runs), return_counts=True)[1].max() < 50  # 11,406 without the split
+    assert sorted(map(tuple, suffixdedup.digests(frame).collect()), key=str) == brute(rows)
