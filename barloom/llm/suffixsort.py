@@ -1,6 +1,6 @@
 """Induced suffix sorting with common-prefix values and a queue that spills.
 
-The text of a shard, its types and the order of its S* suffixes lie in memory, about 30 bytes for every byte of text; only the
+The text of a shard, its types and the order of its S* suffixes lie in memory, an estimated 30 bytes for every byte of text; only the
 queue is bounded and spills. So callers keep texts small: see `suffixdedup` for the bound of a shard. Suffixes are induced as in SA-IS: the suffixes at local minima (S*) are
 sorted first, by naming the substrings between them and sorting the string of names, which recurses; then one
 rising pass induces all L-type suffixes and one falling pass all S-type suffixes.
