@@ -25,6 +25,16 @@ def utf8(text: str | Column) -> Column:
     return F.coalesce(column.cast("binary"), F.lit(b"").cast("binary"))
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots, spaces and backticks, as Spark reads it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(frame: DataFrame, name: str = "row") -> Column:
+    """All columns of a frame as one struct, whatever their names are."""
+    return F.struct(*[F.col(quoted(column)) for column in frame.columns]).alias(name)
+
+
 def give_back() -> None:
     """Return freed memory to the system at the end of a task, as workers are used again by later tasks."""
     pa.default_memory_pool().release_unused()
@@ -45,13 +55,13 @@ def returning(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.T
 def map_batches(
     frame: DataFrame,
     work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, object]]],
-    schema: str,
+    schema: str | StructType,
 ) -> DataFrame:
     """``mapInArrow`` with bounded batches; ``work`` yields dictionaries of columns."""
     spark = frame.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark_schema = _parse_datatype_string(schema)
+    spark_schema = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     assert isinstance(spark_schema, StructType)
     arrow = to_arrow_schema(spark_schema)
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barloom.llm.common import whole_row
 from barloom.session import cut
 
 BUCKETS = 4096  # ranges of the random key within a source: three hexadecimal digits
@@ -73,7 +74,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"),
         F.md5(F.concat(F.lit(seed + ":"), ident).cast("binary")).alias("_key"),
         F.md5(text.cast("binary")).alias("_tie"),
-        *([F.struct(*docs.columns).alias("_row")] if keep_rows else []),
+        *([whole_row(docs, "_row")] if keep_rows else []),
     ).withColumn("_range", F.substring("_key", 1, 3)))
 
     ranges = keyed.groupBy(*_SOURCE, "_range").agg(F.sum("_size").alias("range_size"))

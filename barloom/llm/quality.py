@@ -5,17 +5,21 @@ labels are not looked at. A linear model minimises the non-negative unbiased ris
 ``prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))`` under logistic loss, so that its output is a
 probability; where the second part is negative the step goes against it.
 
-The class prior is estimated from scores of a first model that tells positives from unlabelled text: above any threshold
-the share of unlabelled text is at least the prior times the share of positives, and where no negatives score high it is
-equal, so the smallest ratio over thresholds is taken.
+The class prior is estimated from scores of first models that tell positives from unlabelled text, each judged on ids it
+has not seen: above any threshold the share of unlabelled text is at least the prior times the share of positives, and where
+no negatives score high it is equal. The threshold is the one with the smallest upper confidence bound of that ratio (best
+bin estimation), so that no single noisy point decides. Whatever the prior says, the intercept is then raised as far as
+needed for `RECALL` of the trusted positives, judged by models that have not seen them, to reach `ACCEPT`: an
+underestimated prior cannot reject the bulk of good text.
 
 Features describe form, not words: shares of trigrams of character classes, which serve all languages. Labels,
-language, source and id are no inputs. The model is fitted on bounded samples, `POSITIVES` and `UNLABELLED` rows with
-the smallest hashes; every document is scored over its whole text.
+language, source and id are no inputs. The model is fitted on bounded samples, `POSITIVES` and `UNLABELLED` ids with
+the smallest hashes under two seeds, one text of each id; every document is scored over its whole text.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 from operator import eq
@@ -23,15 +27,16 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from barloom.llm.common import bytes_of, map_batches, utf8
+from barloom.llm.common import bytes_of, map_batches, utf8, whole_row
 
 POSITIVES, UNLABELLED = 4_000, 4_000
 STEPS, RATE, MOMENTUM, RIDGE = 200, 0.4, 0.9, 1e-4
 SCALE = 4.0  # of the features, so that the intercept does not dominate
 PARTS = 4
-LEAST_SHARE, TAIL = 0.5, 0.98  # thresholds between these shares of positives give the prior
-ACCEPT = 0.7
+LEAST_SHARE, TAIL, RISK = 0.5, 0.98, 0.05  # the prior: thresholds between these shares of positives, chance that a bound fails
+ACCEPT, RECALL = 0.7, 0.98
 FOLDS, HELD_OUT = 4, 2
 CHUNK = 1 << 20
 
@@ -83,35 +88,34 @@ def _fit(gradient, size: int) -> np.ndarray:
     return weights
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives in ``unlabelled`` from models of positive against unlabelled, each judged on rows it
-    has not seen."""
-    ours, theirs = [], []
+def _folds(parts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for part in range(PARTS):
-        (p, p_out), (u, u_out) = ((np.delete(own, np.s_[part::PARTS], 0), own[part::PARTS]) for own in (positive, unlabelled))
+        yield parts != part, parts == part
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, ours_part: np.ndarray, theirs_part: np.ndarray) -> float:
+    """Share of positives in ``unlabelled`` from models of positive against unlabelled, each judged on the parts it has
+    not seen. An id is in the same part on both sides."""
+    ours, theirs = [], []
+    for (p_in, p_out), (u_in, u_out) in zip(_folds(ours_part), _folds(theirs_part), strict=True):
+        p, u = positive[p_in], unlabelled[u_in]
 
         def gradient(w: np.ndarray) -> np.ndarray:
             return (p.T @ (_sigmoid(p @ w) - 1) / max(1, len(p)) + u.T @ _sigmoid(u @ w) / max(1, len(u))) / 2
 
         weights = _fit(gradient, positive.shape[1])
-        ours.append(p_out @ weights)
-        theirs.append(u_out @ weights)
+        ours.append(positive[p_out] @ weights)
+        theirs.append(unlabelled[u_out] @ weights)
     ours, theirs = np.concatenate(ours), np.sort(np.concatenate(theirs))
     shares = np.linspace(LEAST_SHARE, TAIL, 40)
     above = 1 - np.searchsorted(theirs, np.quantile(ours, 1 - shares), side="left") / len(theirs)
-    return float(np.clip((above / shares).min(), 0.05, 0.98))
+    slack = sum(np.sqrt(np.log(4 / RISK) / (2 * len(side))) for side in (ours, theirs))
+    best = np.argmin((above + slack) / shares)
+    return float(np.clip(above[best] / shares[best], 0.05, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights (intercept last) and the prior. Without positives or unlabelled text every score is one half."""
-    size = (positive if len(positive) else unlabelled).shape[1] + 1 if len(positive) or len(unlabelled) else SIZE + 1
-    if not len(positive) or not len(unlabelled):
-        return np.zeros(size), 0.5
-    used = np.append(positive.any(0) | unlabelled.any(0), True)  # trigrams that occur, and the intercept
-    positive, unlabelled = (np.hstack([own * SCALE, np.ones((len(own), 1))])[:, used].astype(np.float32)
-                            for own in (positive, unlabelled))
-    prior = class_prior(positive, unlabelled)
-
+def _non_negative(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
+    """Weights that minimise the non-negative unbiased risk."""
     def gradient(w: np.ndarray) -> np.ndarray:
         p, u = positive @ w, unlabelled @ w
         push = prior * positive.T @ (_sigmoid(p) - 1) / len(p)
@@ -119,8 +123,31 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, float
         risk = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
         return push + negative if risk >= 0 else -negative
 
+    return _fit(gradient, positive.shape[1])
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, ours_part: np.ndarray | None = None,
+        theirs_part: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights (intercept last) and the prior. ``ours_part`` and ``theirs_part`` deal the rows to parts for judging (by
+    place if none are given). Without positives or unlabelled text every score is one half, with a warning."""
+    size = (positive if len(positive) else unlabelled).shape[1] + 1 if len(positive) or len(unlabelled) else SIZE + 1
+    if not len(positive) or not len(unlabelled):
+        warnings.warn(f"no fit: {len(positive)} trusted positives, {len(unlabelled)} unlabelled documents", stacklevel=2)
+        return np.zeros(size), 0.5
+    ours_part, theirs_part = (np.arange(len(side)) % PARTS if part is None else part
+                              for side, part in ((positive, ours_part), (unlabelled, theirs_part)))
+    used = np.append(positive.any(0) | unlabelled.any(0), True)  # trigrams that occur, and the intercept
+    positive, unlabelled = (np.hstack([own * SCALE, np.ones((len(own), 1))])[:, used].astype(np.float32)
+                            for own in (positive, unlabelled))
+    prior = class_prior(positive, unlabelled, ours_part, theirs_part)
+    margins = []
+    for (p_in, p_out), (u_in, _) in zip(_folds(ours_part), _folds(theirs_part), strict=True):
+        if p_in.any() and p_out.any() and u_in.any():
+            margins.append(positive[p_out] @ _non_negative(positive[p_in], unlabelled[u_in], prior))
     weights = np.zeros(size)
-    weights[used] = _fit(gradient, int(used.sum()))
+    weights[used] = _non_negative(positive, unlabelled, prior)
+    unseen = np.concatenate(margins) if margins else positive @ weights[used]
+    weights[-1] += max(0.0, np.log(ACCEPT / (1 - ACCEPT)) - float(np.quantile(unseen, 1 - RECALL)))
     weights[:-1] *= SCALE
     return weights, prior
 
@@ -130,25 +157,27 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def _sampled(ids: DataFrame, rows: int) -> DataFrame:
+def _sampled(ids: DataFrame, rows: int, seed: str) -> DataFrame:
     """At most ``rows`` distinct ids, those with the smallest hashes."""
-    return ids.where("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id", F.lit("sample")), "_id").limit(rows)
+    return ids.where("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(rows)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> np.ndarray:
     """Weights from labelled positives outside the test fold and from unlabelled documents.
 
-    What reaches the driver is bounded by the two sample sizes.
+    What reaches the driver is one vector for each sampled id; of an id that repeats, the text with the smallest hash
+    stands for it.
     """
     trusted = labels.where(~held_out(id_col) & (F.col("quality") == 1)).select(F.col(id_col).alias("_id"))
     wanted = (
-        _sampled(trusted, positives).withColumn("kind", F.lit(1))
-        .union(_sampled(docs.select(F.col(id_col).alias("_id")), unlabelled).withColumn("kind", F.lit(0)))
+        _sampled(trusted, positives, "positive").withColumn("kind", F.lit(1))
+        .union(_sampled(docs.select(F.col(id_col).alias("_id")), unlabelled, "unlabelled").withColumn("kind", F.lit(0)))
     )
     texts = (
         docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("_text"))
         .join(F.broadcast(wanted), "_id")  # at most positives + unlabelled rows of two numbers
+        .groupBy("_id", "kind").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), F.length("_text"))).alias("_text"))
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
@@ -156,28 +185,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield {"kind": batch.column("kind"), "id": batch.column("_id").cast(pa.string()),
                    "vector": [features(data).astype(np.float32).tobytes() for data in bytes_of(batch, "_text")]}
 
-    rows = map_batches(texts, work, "kind int, id string, vector binary").limit(2 * (positives + unlabelled)).collect()
-    rows.sort(key=lambda row: (row.kind, row.id, bytes(row.vector)))
+    rows = map_batches(texts, work, "kind int, id string, vector binary").collect()
+    rows.sort(key=lambda row: (row.kind, zlib.crc32(row.id.encode()), row.id))
     sides = [np.array([np.frombuffer(row.vector, np.float32) for row in rows if row.kind == kind], np.float32)
              .reshape(-1, SIZE) for kind in (1, 0)]
-    order = np.random.default_rng(7)
-    return fit(*(side[order.permutation(len(side))] for side in sides))[0]
+    parts = [np.array([zlib.adler32(row.id.encode()) % PARTS for row in rows if row.kind == kind], int) for kind in (1, 0)]
+    return fit(*sides, *parts)[0]
 
 
 def _scored(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str, keep: bool) -> DataFrame:
-    columns = {"_id": docs.schema[id_col].dataType.simpleString()}
+    columns = {"_id": docs.schema[id_col].dataType}
     rows = [F.col(id_col).alias("_id"), utf8(text_col).alias("_text")]
     if keep:
-        rows.append(F.struct(*docs.columns).alias("row"))
-        columns["row"] = docs.select(rows[-1]).schema["row"].dataType.simpleString()
+        rows.append(whole_row(docs))
+        columns["row"] = docs.schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
         for batch in batches:
             margins = np.array([features(data) @ weights[:-1] + weights[-1] for data in bytes_of(batch, "_text")])
             yield {**{name: batch.column(name) for name in columns}, "score": _sigmoid(margins)}
 
-    return map_batches(docs.select(*rows), work,
-                       ", ".join(f"{name} {kind}" for name, kind in columns.items()) + ", score double")
+    schema = StructType([StructField(name, kind) for name, kind in columns.items()]).add("score", DoubleType())
+    return map_batches(docs.select(*rows), work, schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,6 +223,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts."""
+    """The rows of ``docs`` that the classifier accepts; all of them, with a warning, where there is nothing to learn from."""
     weights = train(docs, labels, id_col, text_col)
+    if not weights.any():
+        return docs
     return _scored(docs, weights, id_col, text_col, keep=True).where(F.col("score") >= ACCEPT).select("row.*")

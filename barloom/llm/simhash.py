@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from barloom.llm.common import bytes_of, map_batches, returning, utf8
+from barloom.llm.common import bytes_of, map_batches, returning, utf8, whole_row
 from barloom.llm.components import roots
 from barloom.session import cut
 
@@ -60,19 +61,19 @@ def fingerprint(data: bytes) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """``<id_col>, fp`` (the fingerprint as a signed long); with ``keep`` the whole row as ``row`` too."""
-    columns = {"_id": docs.schema[id_col].dataType.simpleString()}
+    columns = {"_id": docs.schema[id_col].dataType}
     rows = [F.col(id_col).alias("_id"), utf8(text_col).alias("_text")]
     if keep:
-        rows.append(F.struct(*docs.columns).alias("row"))
-        columns["row"] = docs.select(rows[-1]).schema["row"].dataType.simpleString()
+        rows.append(whole_row(docs))
+        columns["row"] = docs.schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
         for batch in batches:
             prints = np.array([fingerprint(data) for data in bytes_of(batch, "_text")], np.uint64)
             yield {**{name: batch.column(name) for name in columns}, "fp": pa.array(prints.view(np.int64))}
 
-    out = map_batches(docs.select(*rows), work,
-                      ", ".join(f"{name} {kind}" for name, kind in columns.items()) + ", fp long")
+    schema = StructType([StructField(name, kind) for name, kind in columns.items()]).add("fp", LongType())
+    out = map_batches(docs.select(*rows), work, schema)
     return out.withColumnRenamed("_id", id_col)
 
 

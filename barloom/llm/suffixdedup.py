@@ -27,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, LongType, StructType
 
 from barloom.llm import suffixsort
-from barloom.llm.common import bytes_of, map_batches, returning, utf8
+from barloom.llm.common import bytes_of, map_batches, quoted, returning, utf8
 
 LENGTH = 100
 GRAM = 32
@@ -117,7 +118,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: bool) -> DataFrame
 
     Rows with equal ids and texts are one document; other rows with equal ids go by a hash of their text.
     """
-    others = [F.col(f"`{name}`") for name in docs.columns if name != text_col]
+    others = [F.col(quoted(name)) for name in docs.columns if name != text_col]
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.hash(utf8(text_col)).alias("_tie"),
         F.col(id_col).alias("_own"), utf8(text_col).alias("_text"),
@@ -423,7 +424,9 @@ def _without(texts: DataFrame, keep: bool) -> DataFrame:
     With ``keep`` the bytes before stay too, and what is left of parted characters goes.
     """
     names = [name for name in texts.columns if name not in ("_id", "_tie", "spans") and (keep or name != "_text")]
-    kinds = ", ".join(f"{name} {texts.schema[name].dataType.simpleString()}" for name in names)
+    schema = StructType([texts.schema[name] for name in names])
+    for name, kind in (("n_bytes", LongType()), ("n_removed", LongType()), ("n_spans", LongType()), ("kept", BinaryType())):
+        schema = schema.add(name, kind)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
         for batch in batches:
@@ -451,7 +454,7 @@ def _without(texts: DataFrame, keep: bool) -> DataFrame:
             yield {**{name: batch.column(name) for name in names}, "n_bytes": total, "n_removed": removed,
                    "n_spans": runs, "kept": kept}
 
-    return map_batches(texts, work, kinds + ", n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_batches(texts, work, schema)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -505,6 +508,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = {text_col: text.alias(text_col)}
     if size_col in docs.columns:
         own[size_col] = F.when(changed, F.length(text).cast(docs.schema[size_col].dataType)).otherwise(
-            F.col(f"row.`{size_col}`")).alias(size_col)
+            F.col("row")[size_col]).alias(size_col)
     return cut_.where(~changed | (F.length("kept") > 0)).select(
-        *[own[name] if name in own else F.col(f"row.`{name}`").alias(name) for name in docs.columns])
+        *[own[name] if name in own else F.col("row")[name].alias(name) for name in docs.columns])

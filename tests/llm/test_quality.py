@@ -2,8 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from barloom.llm import quality
+from barloom.llm import mixing, quality, simhash, suffixdedup
 from tests.llm.fixtures import awkward_rows, docs, empty, prose
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -13,13 +15,14 @@ def corpus(n=400):
     own = random.Random(3)
     junk = (lambda t: t.upper().replace(" ", "!! "), lambda t: t.replace(" ", " | "), lambda t: t.replace(" ", "### "),
             lambda t: (t.split()[0] + " ") * 40)
-    rows, labels = [], []
+    rows, labels, sound = [], [], {}
     for i in range(n):
         text, bad = " ".join(prose(i * 10 + k, 12) for k in range(own.randrange(2, 8))), own.random() < 0.2
         rows.append((i, own.choice(junk)(text) if bad else text, "en", "a", 1))
+        sound[i] = not bad
         if i % 2:
             labels.append((i, int(not bad), 0))
-    return rows, labels, {r[0]: not bad for r, bad in zip(rows, (r[1] for r in rows))}
+    return rows, labels, sound
 
 
 def test_held_out_accuracy(spark):
@@ -63,8 +66,9 @@ def test_awkward_rows_and_empty_tables(spark):
     none = spark.createDataFrame([], LABELS)
     assert {r["score"] for r in quality.score(docs(spark), none).collect()} == {0.5}
     assert quality.score(empty(spark), labels).count() == 0
-    kept = quality.accepted(docs(spark, clashing=True), none)
-    assert kept.count() == 0 and kept.columns == docs(spark, clashing=True).columns
+    with pytest.warns(UserWarning, match="0 trusted positives"):
+        kept = quality.accepted(docs(spark, clashing=True), none)
+    assert kept.count() == len(awkward_rows()) and kept.columns == docs(spark, clashing=True).columns
 
 
 def test_chunks_change_nothing(monkeypatch):
@@ -73,3 +77,29 @@ def test_chunks_change_nothing(monkeypatch):
     monkeypatch.setattr(quality, "CHUNK", 100)
     assert np.allclose(quality.features(text)[:quality.TRIGRAMS], whole[:quality.TRIGRAMS])
     assert abs(quality.features(text)[-1] - whole[-1]) < 0.05
+
+
+def test_a_wrong_prior_does_not_reject_good_text(spark, monkeypatch):
+    rows, labels, good = corpus()
+    monkeypatch.setattr(quality, "class_prior", lambda *sides: 0.3)
+    kept = {r["doc_id"] for r in quality.accepted(docs(spark, rows), spark.createDataFrame(labels, LABELS)).collect()}
+    sound, bad = ({i for i, own in good.items() if own is kind} for kind in (True, False))
+    assert len(kept & sound) >= 0.95 * len(sound) and len(kept & bad) <= 0.1 * len(bad)
+
+
+def test_an_id_on_very_many_rows_takes_one_place_of_the_sample(spark):
+    rows, labels, good = corpus()
+    many = spark.range(40_000).selectExpr("1L doc_id", "concat('again ', id) text", "'en' lang", "'a' source", "1L n_chars")
+    frame = docs(spark, rows).where("doc_id <> 1").union(many)
+    kept = {r["doc_id"] for r in quality.accepted(frame, spark.createDataFrame(labels, LABELS)).collect()} - {1}
+    sound = {i for i, own in good.items() if own} - {1}
+    assert len(kept & sound) >= 0.95 * len(sound) and len(kept - sound) <= 5
+
+
+def test_names_with_dots_and_spaces_are_carried(spark):
+    rows, labels, _ = corpus(120)
+    frame = docs(spark, rows).withColumn("a.b", F.lit(1)).withColumn("my col", F.lit("x")).withColumn("x:y`z", F.lit(2.0))
+    own = spark.createDataFrame(labels, LABELS)
+    for stage in (lambda f: quality.accepted(f, own), simhash.deduplicated, suffixdedup.without_repeats, mixing.mixed_rows):
+        after = stage(frame)
+        assert after.columns == frame.columns and after.first()["my col"] == "x" and after.first()["x:y`z"] == 2.0
