@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, htmltext, kdtree, mixing, ogg, quality, simhash, suffixdedup, tokencount, urlfilter
+from barloom.llm import (
+    bpe, htmltext, kdtree, merkle, mixing, ogg, quality, simhash, sourceaudit, stableprojection, suffixdedup,
+    tokencount, urlfilter,
+)
 from barloom.llm.common import table
 
 QUERIES = {}
@@ -70,3 +73,19 @@ def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_suffix_dedup")
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op11_merkle_manifest", merkle.ORACLE)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_source_audit", sourceaudit.ORACLE)
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sourceaudit.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_stable_projection")
+def op12_stable_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return stableprojection.nearest(vectors, vectors.where("vec_id % 50 = 0"))
