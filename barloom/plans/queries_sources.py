@@ -10,7 +10,7 @@ from barloom.operators import minute as M, quality as Q
 from barloom.plans import driver_views as V, staging as G
 from barloom.plans.catalogue import query, round_columns
 from barloom.plans.oracle_views import r, statement
-from barloom.session import scratch_path
+from barloom.session import cut, scratch_path
 from barloom.sources import ingest, lines as L, store, tables
 from barloom.streaming import inbox
 
@@ -158,7 +158,7 @@ def encodings(spark, root):
          count(*) * CASE WHEN symbol IN ('000005.SZ', '000006.SZ') THEN 2 ELSE 1 END AS closes
        FROM cm GROUP BY symbol""", cm=_CM))
 def delimiters_and_headers(spark, root):
-    parsed = L.parse_rows(L.file_formats(L.csv_files(spark, G.minute_directory(spark, root))))
+    parsed = L.parse_rows(cut(L.file_formats(L.csv_files(spark, G.minute_directory(spark, root)))))
     return parsed.groupBy(F.element_at(F.split("member", "/"), -1).alias("file")).agg(
         F.count(F.lit(1)).alias("rows"), F.count(N.to_number(F.col("close"))).alias("closes"))
 

@@ -23,13 +23,13 @@ MEMBER_RULES = (
 )
 
 
-def archive_entries(archive: zipfile.ZipFile) -> tuple[list[str], str]:
-    """Names of the CSV members in order, and the first reason to refuse the archive."""
+def archive_entries(archive: zipfile.ZipFile) -> tuple[list[tuple[str, int]], str]:
+    """Names and sizes of the CSV members in order, and the first reason to refuse the archive."""
     members = [(PurePosixPath(i.filename), i.compress_size, i.file_size) for i in archive.infolist()]
     reasons = {reason for reason, broken in MEMBER_RULES if any(broken(*member) for member in members)}
-    names = sorted(i.filename for i in archive.infolist()
+    names = sorted((i.filename, i.file_size) for i in archive.infolist()
                    if i.filename.lower().endswith(".csv") and not i.is_dir())
-    if len(set(names)) < len(names):
+    if len({name for name, _ in names}) < len(names):
         reasons.add("duplicate members")
     elif not names:
         reasons.add("no CSV member")
@@ -39,7 +39,7 @@ def archive_entries(archive: zipfile.ZipFile) -> tuple[list[str], str]:
 
 
 def expanded(archives: DataFrame) -> DataFrame:
-    """(unit, member, entry, error): CSV members of every archive; a bad archive is one error row."""
+    """(unit, member, entry, error, size): CSV members of every archive; a bad archive is one error row."""
 
     def inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -53,12 +53,12 @@ def expanded(archives: DataFrame) -> DataFrame:
                 except (OSError, ValueError, zipfile.BadZipFile) as exc:
                     names, error = [], f"unreadable archive: {type(exc).__name__}"
                 if error:
-                    names = [""]
-                yield pd.DataFrame({"unit": unit, "member": [f"{unit}!/{name}" for name in names],
-                                    "entry": names, "error": error})
+                    names = [("", 0)]
+                yield pd.DataFrame({"unit": unit, "member": [f"{unit}!/{name}" for name, _ in names],
+                                    "entry": [name for name, _ in names], "error": error, "size": [size for _, size in names]})
 
     return archives.select("unit").repartition("unit").mapInPandas(
-        inspect, "unit string, member string, entry string, error string")
+        inspect, "unit string, member string, entry string, error string, size bigint")
 
 
 def zip_members(spark: SparkSession, root: str) -> DataFrame:

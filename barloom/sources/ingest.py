@@ -172,16 +172,20 @@ def _judge(rows: DataFrame, collapse: bool) -> DataFrame:
         F.max("expected_rows").alias("expected_rows"),
     )
     keys = ["unit", "symbol", "bar_time"]
-    usable = rows.where("usable").select(*keys, "digest")
-    repeats = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("least"),
-                                        F.max("digest").alias("most"))
-    conflicts = repeats.where("least <> most" if collapse else "n > 1")
+    usable = rows.where("usable").select(*keys, "values.*")
+    # Extremes of every value combine before the shuffle without sorting; a null beside a value differs too.
+    differs = F.lit(False)
+    for name in BAR_VALUES:
+        some = F.count(name)
+        differs = differs | ((some > 0) & ((some < F.count(F.lit(1))) | (F.min(name) != F.max(name))))
+    repeats = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), differs.alias("differs"))
+    conflicts = repeats.where("differs" if collapse else "n > 1")
     conflicting = conflicts.groupBy("unit").agg(F.count(F.lit(1)).alias("conflicts"))
     return facts.join(conflicting, "unit", "left").na.fill(0, ["conflicts"])
 
 
 def _marked(rows: DataFrame, frequency: str, check_symbol: bool) -> DataFrame:
-    """What the verdicts need of every row: its key, its tests and a digest of its values."""
+    """What the verdicts need of every row: its key, its tests and its values."""
     bad, placeholder = unparsable(check_symbol), Q.opening_placeholder()
     sound = ~bad & ~placeholder
     return rows.select(
@@ -190,19 +194,19 @@ def _marked(rows: DataFrame, frequency: str, check_symbol: bool) -> DataFrame:
         other_symbol().alias("symbol_mismatch"),
         (sound & Q.off_grid(frequency)).alias("off_grid"),
         (sound & (Q.bad_ohlc() | Q.bad_amounts(rows))).alias("illegal"),
-        F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in BAR_VALUES]), 256)
-        .alias("digest"),
+        F.struct(*BAR_VALUES).alias("values"),
     )
 
 
 def _assemble(parse, formats: DataFrame, units: DataFrame, frequency: str, source: str,
               check_symbol: bool, collapse: bool, with_units: bool = False) -> Ingest:
-    """Judge all units on a narrow table of their rows, then read the accepted ones again.
+    """Judge all units on the table of their typed rows, and take the accepted rows from it.
 
-    ``parse`` turns formats into typed rows. Rows are not stored: the table holds keys, tests and digests only.
+    ``parse`` turns formats into typed rows. They are parsed and stored once; a row is about as large as a digest of it.
     """
-    marked = cut(_marked(parse(formats), frequency, check_symbol))
-    usable = marked.where("usable").drop("digest")
+    rows = cut(parse(formats))
+    marked = _marked(rows, frequency, check_symbol)
+    usable = marked.where("usable").drop("values")
     single = keep_newest(usable, ["unit", "symbol", "bar_time"], ["block", "pos"]) if collapse \
         else usable
     written = single.groupBy("unit").agg(
@@ -242,8 +246,7 @@ def _assemble(parse, formats: DataFrame, units: DataFrame, frequency: str, sourc
     )
     report = cut(report)
     accepted = report.where(F.col("status") == "success").select("unit")
-    rows = parse(formats.join(accepted, "unit", "left_semi"))
-    rows = rows.where(~unparsable(check_symbol) & ~Q.opening_placeholder())
+    rows = rows.join(accepted, "unit", "left_semi").where(~unparsable(check_symbol) & ~Q.opening_placeholder())
     if collapse:
         rows = keep_newest(rows, ["unit", "symbol", "bar_time"], ["block", "pos"])
     bars = rows.select(
@@ -257,10 +260,11 @@ def _assemble(parse, formats: DataFrame, units: DataFrame, frequency: str, sourc
 
 
 def import_directory(spark: SparkSession, root: str, frequency: str = "5min",
-                     convention: str = "source", use_manifest: bool = False) -> Ingest:
+                     convention: str = "source", use_manifest: bool = False,
+                     split_bytes: int = L.SPLIT_BYTES) -> Ingest:
     """Per-symbol CSV files: identical duplicates collapse, conflicting ones reject the file."""
     files = L.csv_files(spark, root).where(~F.col("member").endswith("/manifest.csv"))
-    formats = cut(L.file_formats(files))
+    formats = cut(L.file_formats(files, split_bytes=split_bytes))
     listed = manifest(spark, root) if use_manifest else None
     sources = cut(directory_sources(formats, root, listed))
     headers = L.has_columns(formats, REQUIRED)

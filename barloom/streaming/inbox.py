@@ -15,20 +15,20 @@ from barloom.sources.lines import decoded_path
 
 
 def _arrivals(spark: SparkSession, inbox: str) -> DataFrame:
-    """Stream of the names of new files."""
+    """Stream of the names and sizes of new files."""
     return (
         spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.{csv,zip,CSV,ZIP}")
         .schema("path string, modificationTime timestamp, length bigint, content binary").load(inbox)
-        .select(decoded_path(F.col("path")).alias("unit"))
+        .select(decoded_path(F.col("path")).alias("unit"), F.col("length").alias("size"))
     )
 
 
 def members_of(units: DataFrame) -> DataFrame:
-    """(unit, member, entry, error): CSV files as they are, archives by their members."""
+    """(unit, member, entry, error, size): CSV files as they are, archives by their members."""
     zipped = F.lower("unit").endswith(".zip")
     plain = units.where(~zipped).select("unit", F.col("unit").alias("member"), F.lit("").alias("entry"),
-                                        F.lit("").alias("error"))
+                                        F.lit("").alias("error"), "size")
     return plain.unionByName(archive.expanded(units.where(zipped)))
 
 
