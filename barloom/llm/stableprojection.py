@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,12 @@ from barloom.llm.common import map_batches
 from barloom.session import cut
 
 K = 5
-DIMS = 12
-SURE = 0.92
-LEAF = 128
-STEP = 64  # points verified between two tests
+DIMS = 16
+SURE = 0.9
+LEAF = 256
+OPENED = 8  # leaves opened at a time
+FIRST, STEP = 32, 256  # points verified before the first test and between two others
+SPARE = 3  # candidates beyond k that are held in single precision until the scores are computed in double
 SHARD_ROWS = 16_384
 SAMPLE, MAX_CELLS = 20_000, 1_024
 FAR = 4.0 + 1e-9  # squared distance of opposite unit vectors, and no more
@@ -57,6 +60,7 @@ def _reach() -> float:
 REACH = _reach()
 
 
+@cache
 def directions(size: int) -> np.ndarray:
     """Normal directions of a vector length, the same everywhere."""
     return np.random.default_rng(size).standard_normal((size, DIMS))
@@ -123,7 +127,7 @@ class Tree:
     def __init__(self, vectors: np.ndarray, ids: list[list[int]], k: int) -> None:
         self.vectors, self.ids, self.k = vectors, ids, k
         self.points = projected(vectors)
-        self.units = _unit(vectors)
+        self.units = _unit(vectors).astype(np.float32)
         low, high, self.leaves = [], [], []
         waiting = [np.arange(len(vectors))]
         while waiting:
@@ -142,52 +146,56 @@ class Tree:
 
     def search(self, query: np.ndarray, own_id: int, reach: float) -> list[tuple[float, int]]:
         """Nearest (cosine, id) pairs; ``reach``: squared distance of the k-th best known from elsewhere."""
-        unit, place = _unit(query[None])[0], projected(query[None])[0]
+        unit, place = _unit(query[None])[0].astype(np.float32), projected(query[None])[0]
+        held = self.k + SPARE
         gaps = np.maximum(0, np.maximum(self.low - place, place - self.high))
         bounds = (gaps * gaps).sum(1)
         found: list[tuple[float, int, int]] = []  # heap of (nearness, -id, row); the worst is first
         waiting_at, waiting_row = np.zeros(0), np.zeros(0, np.int64)
         order = np.argsort(bounds)
-        for step, leaf in enumerate(order):
-            if bounds[leaf] > REACH * reach:
+        for step in range(0, len(order), OPENED):
+            if bounds[order[step]] > REACH * reach:
                 break
-            members = self.leaves[leaf]
+            members = np.concatenate([self.leaves[leaf] for leaf in order[step:step + OPENED]])
             off = self.points[members] - place
             waiting_at = np.concatenate([waiting_at, (off * off).sum(1)])
             waiting_row = np.concatenate([waiting_row, members])
-            # Points up to the next leaf's bound are next in order of projected distance.
-            bound = bounds[order[step + 1]] if step + 1 < len(order) else np.inf
-            ready = np.flatnonzero(waiting_at <= bound)
+            # Points up to the bound of the next leaf are next in order of projected distance, of those the test lets in.
+            bound = bounds[order[step + OPENED]] if step + OPENED < len(order) else np.inf
+            ready = np.flatnonzero(waiting_at <= min(bound, REACH * reach))
             if not len(ready):
                 continue
-            ready = ready[np.argsort(waiting_at[ready], kind="stable")]
-            for a in range(0, len(ready), STEP):
-                if waiting_at[ready[a]] > REACH * reach:
-                    break
-                rows = waiting_row[ready[a:a + STEP]]
+            ready = ready[np.argsort(waiting_at[ready])]
+            a = 0
+            while a < len(ready) and waiting_at[ready[a]] <= REACH * reach:
+                size = STEP if len(found) >= self.k else FIRST
+                rows = waiting_row[ready[a:a + size]]
+                a += size
                 self.verified += len(rows)
-                near = self.units[rows] @ unit
-                least = found[0][0] if len(found) == self.k else -2.0
+                near = self.units.take(rows, axis=0) @ unit
+                least = found[0][0] if len(found) == held else -2.0
                 for at in np.flatnonzero(near >= least):
                     row = int(rows[at])
                     for ident in self.ids[row]:
                         if ident == own_id:
                             continue
                         entry = (float(near[at]), -ident, row)
-                        if len(found) < self.k:
+                        if len(found) < held:
                             heapq.heappush(found, entry)
                         elif entry > found[0]:
                             heapq.heapreplace(found, entry)
                         else:
                             break
-                if len(found) == self.k:
-                    reach = min(reach, max(0.0, 2 - 2 * found[0][0]) + 1e-12)
+                if len(found) >= self.k:
+                    kth = heapq.nlargest(self.k, found)[-1][0]
+                    reach = min(reach, max(0.0, 2 - 2 * kth) + 1e-6)
             keep = waiting_at > bound
             waiting_at, waiting_row = waiting_at[keep], waiting_row[keep]
         if not found:
             return []
         scores = cosines(self.vectors[[row for *_, row in found]], query)
-        return [(float(score), -ident) for score, (_, ident, _) in zip(scores, found)]
+        return [(score, -ident) for score, ident in heapq.nlargest(
+            self.k, [(float(score), ident) for score, (_, ident, _) in zip(scores, found)])]
 
 
 def _searched(rows: DataFrame, k: int) -> DataFrame:
