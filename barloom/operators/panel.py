@@ -9,8 +9,7 @@ no window partition can grow with the data.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
 from barloom.functions.normalize import period_key
@@ -70,27 +69,84 @@ def bias(value: str, span: int, window: WindowSpec) -> Column:
     return F.col(value) / moving_average(value, span, window) - 1
 
 
+# Weights below exp(-REACH) of the newest one, far less than a double can hold beside it, may be left out.
+REACH = 150.0
+EMA_BLOCK = 8_192  # positions of the axis in a block
+
+
+def affine_scan(frame: DataFrame, keys: list[str], order: str, log_factor: str, term: str) -> DataFrame:
+    """Run ``level = factor * level + term`` along each series, from 0, as prefix sums.
+
+    Adds ``_log``, the logarithm of the product of the factors so far, and ``_level``. A sum of terms divided by that
+    product would overflow, so rows are cut into bins inside which the product falls by at most ``exp(-2 * REACH)``;
+    sums run inside a bin, and a bin takes over the level of the two before it. Factors must lie in (0, 1] and logarithms
+    must not be under -REACH.
+    """
+    along = Window.partitionBy(*keys).orderBy(order)
+    running = along.rowsBetween(Window.unboundedPreceding, 0)
+    # Bins rise with the order, so sorting by both serves the windows over bins and over series.
+    in_bin = Window.partitionBy(*keys, "_bin").orderBy(order)
+    by_bin = Window.partitionBy(*keys).orderBy("_bin", order)
+    so_far = by_bin.rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.col("_log") - F.col("_base")
+    return (
+        frame.withColumn("_log", F.sum(log_factor).over(running))
+        .withColumn("_bin", F.floor(-F.col("_log") / REACH))
+        .withColumns({"_base": F.first(F.col("_log") - F.col(log_factor)).over(in_bin),
+                      "_opens": F.row_number().over(in_bin) == 1})
+        .withColumn("_own", F.exp(inside) * F.sum(F.col(term) * F.exp(-inside)).over(
+            in_bin.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumns({"_before": F.coalesce(F.lag("_own").over(by_bin), F.lit(0.0)),
+                      "_kept": F.coalesce(F.lag(F.exp(inside)).over(by_bin), F.lit(0.0))})
+        .withColumn("_one", F.last(F.when(F.col("_opens"), F.col("_before")), ignorenulls=True).over(so_far))
+        .withColumn("_two", F.coalesce(F.lag("_one").over(by_bin), F.lit(0.0)))
+        .withColumn("_start", F.last(F.when(
+            F.col("_opens"), F.col("_before") + F.col("_kept") * F.col("_two")), ignorenulls=True).over(so_far))
+        .withColumn("_level", F.col("_own") + F.exp(inside) * F.col("_start"))
+        .drop("_bin", "_base", "_opens", "_own", "_before", "_kept", "_one", "_two", "_start")
+    )
+
+
 def with_ema(
-    frame: DataFrame, value: str, span: int, key: str = "symbol", out: str = "ema"
+    frame: DataFrame, value: str, span: int, key: str = "symbol", out: str = "ema", block: int = EMA_BLOCK
 ) -> DataFrame:
-    """Exponential average with gap decay (recursive form, weights decay over missed dates).
+    """Exponential average with gap decay (recursive form, weights decay over missed dates), as a parallel scan.
 
-    A recursion has no built-in Spark counterpart, so each series goes through pandas once.
-    A group is one series: at most one row per date of the axis.
+    With ``d = (1 - a) ** gap`` since the last observation, one makes the level ``(d * level + a * x) / (d + a)``: an affine
+    map. Maps compose, so a series is cut into blocks of the axis: rows are scanned inside a block, every block is one
+    map, these are scanned along the series, and what a block starts with is added to its rows. A task holds a block, or
+    one row for every block of a series, never a long series.
     """
-    schema = T.StructType([*frame.schema.fields, T.StructField(out, T.DoubleType())])
-
-    def smooth(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("date_idx")
-        if part["date_idx"].duplicated().any():
-            raise ValueError("duplicate date in a series")
-        observed = pd.Series(part[value].to_numpy(dtype="float64"), index=part["date_idx"])
-        full = observed.reindex(range(part["date_idx"].min(), part["date_idx"].max() + 1))
-        level = full.ewm(span=span, adjust=False).mean()
-        return part.assign(**{out: level.loc[part["date_idx"]].to_numpy()})
-
-    smoothed = frame.groupBy(key).applyInPandas(smooth, schema)
-    return smoothed.withColumn(out, F.nanvl(F.col(out), F.lit(None).cast("double")))
+    alpha, own = 2 / (span + 1), [key, "_block"]
+    x = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    rows = frame.withColumns({"_block": F.floor(F.col("date_idx") / block), "_x": x})
+    along = Window.partitionBy(key).orderBy("_block")
+    seen_at = F.when(F.col("_x").isNotNull(), F.col("date_idx"))
+
+    def joined(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+        right = right.select(F.col(key).alias("_series"), F.col("_block").alias("_at"), name)
+        return left.join(right, left[key].eqNullSafe(F.col("_series")) & (left["_block"] == F.col("_at"))).drop("_series", "_at")
+
+    # The border state: where the series was last observed before the block.
+    last_seen = rows.groupBy(*own).agg(F.max(seen_at).alias("_end")).withColumn(
+        "_seen", F.max("_end").over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    inside = Window.partitionBy(*own).orderBy("date_idx")
+    rows = joined(rows, last_seen, "_seen").withColumn("_seen", F.coalesce(
+        F.max(seen_at).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_seen")))
+    rows = rows.withColumn("_x", require_unique(F.col("_x"), inside))
+    decay = F.pow(F.lit(1 - alpha), F.col("date_idx") - F.col("_seen"))
+    missing, first = F.col("_x").isNull(), F.col("_seen").isNull()
+    rows = rows.withColumns({
+        "_factor": F.when(missing | first, 0.0).otherwise(F.greatest(F.lit(-REACH), F.log(decay / (decay + alpha)))),
+        "_term": F.when(missing, 0.0).when(first, F.col("_x")).otherwise(alpha * F.col("_x") / (decay + alpha)),
+    })
+    rows = affine_scan(rows, own, "date_idx", "_factor", "_term")
+    blocks = rows.groupBy(*own).agg(
+        F.greatest(F.lit(-REACH), F.sum("_factor")).alias("_factor"), F.max_by("_level", "date_idx").alias("_term"))
+    starts = affine_scan(blocks, [key], "_block", "_factor", "_term").withColumn("_from", F.lag("_level").over(along))
+    level = F.col("_level") + F.exp("_log") * F.coalesce("_from", F.lit(0.0))
+    rows = joined(rows, starts, "_from").withColumn(out, F.when(~(missing & first), level))
+    return rows.select(*frame.columns, out)
 
 
 def forward_fill(value: str | Column, window: WindowSpec) -> Column:

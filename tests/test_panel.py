@@ -48,6 +48,46 @@ def test_ema_decays_over_gaps(panel, gappy):
     _same(got, prices.ewm(span=10, adjust=False).mean().where(prices.notna()))
 
 
+@pytest.mark.parametrize("span,block", [(1, 7), (2, 50), (10, 64), (20, 1000), (400, 33), (100_000, 100)])
+def test_ema_is_the_same_in_any_blocks(spark, span, block):
+    own = np.random.default_rng(span)
+    days = np.sort(own.choice(6_000, 900, replace=False))
+    days = np.concatenate([days[:800], days[800:] + 20_000])  # a long gap
+    values = np.where(own.random(900) < 0.1, np.nan, own.lognormal(3, 1, 900))
+    values[:3] = np.nan
+    frame = pd.DataFrame({"symbol": "A", "date_idx": days, "close": values})
+    frame = pd.concat([frame, frame.assign(symbol="B", close=values[::-1] * 1e-9)])
+    given = spark.createDataFrame([(s, int(i), None if np.isnan(v) else float(v)) for s, i, v in frame.itertuples(index=False)],
+                                  "symbol string, date_idx int, close double").repartition(5)
+    got = P.with_ema(given, "close", span, block=block).toPandas().set_index(["symbol", "date_idx"])["ema"]
+    for name, part in frame.groupby("symbol"):
+        full = part.set_index("date_idx")["close"].reindex(range(days.max() + 1))
+        want = full.ewm(span=span, adjust=False).mean().loc[days]
+        np.testing.assert_allclose(got[name].loc[days].to_numpy(), want.to_numpy(), rtol=1e-11)
+
+
+def test_ema_needs_no_python_and_refuses_repeated_dates(spark, panel):
+    frame = panel.select("symbol", "trade_date", "date_idx", "close")
+    plan = P.with_ema(frame, "close", 10)._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan
+    with pytest.raises(Exception, match="duplicate date"):
+        P.with_ema(frame.union(frame.limit(1)), "close", 10).collect()
+
+
+def test_one_long_series_is_many_tasks(spark):
+    long = spark.range(0, 200_000, 1, 8).selectExpr("'A' symbol", "cast(id as int) date_idx", "cast(id % 97 + 1 as double) close")
+    got = P.with_ema(long, "close", 15, block=1_000)
+    x = pd.Series((np.arange(200_000) % 97 + 1).astype(float)).ewm(span=15, adjust=False).mean()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows go to one task
+    try:
+        held = got.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(held) > 1 and max(r["count"] for r in held) < 150_000
+    tail = {r["date_idx"]: r["ema"] for r in got.where("date_idx % 10007 = 0").collect()}
+    np.testing.assert_allclose([tail[i] for i in sorted(tail)], x.iloc[sorted(tail)].to_numpy(), rtol=1e-11)
+
+
 def test_duplicate_dates_in_a_series_fail(spark):
     rows = [("A", day("2024-01-02"), 1.0), ("A", day("2024-01-02"), 2.0)]
     frame = P.with_date_idx(spark.createDataFrame(rows, "symbol string, trade_date date, close double"))
