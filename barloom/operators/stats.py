@@ -4,81 +4,92 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.operators.panel import panel_return, series, with_date_idx
-
-QUANTILE_ACCURACY = 10_000
+from barloom.session import cut
+
+# Digits of an ordered key, the leading one first: at most so many buckets of each are counted.
+KEY_DIGITS = (20, 20, 24)
+
+
+def ordered_key(value: str) -> Column:
+    """A long that orders like the double and is equal for equal values: its IEEE magnitude with its sign."""
+    x = F.col(value).cast("double")
+    size = F.abs(x)
+    guess = F.floor(F.log2(size)).cast("int")
+    power = F.pow(F.lit(2.0), guess)
+    exponent = F.when(power > size, guess - 1).when(size >= 2 * power, guess + 1).otherwise(guess)
+    unit = F.lit(1 << 52)
+    normal = (exponent + 1023).cast("long") * unit + ((size / F.pow(F.lit(2.0), exponent) - 1) * unit).cast("long")
+    tiny = (size / F.lit(5e-324)).cast("long")
+    magnitude = (
+        F.when(size == 0, F.lit(0).cast("long")).when(size == float("inf"), F.lit(2047 << 52))
+        .when(size < F.lit(2.0 ** -1022), tiny).otherwise(normal)
+    )
+    return F.when(x < 0, -magnitude).otherwise(magnitude)
 
 
 def exact_median(frame: DataFrame, group: str, value: str) -> DataFrame:
-    """Interpolated median per group, exact, without gathering a group in one task.
+    """Interpolated median per group, exact, without ordering a group.
 
-    A sketch brackets the median to within a few ranks per ten thousand; rows below the bracket are
-    only counted, and just the values inside it are ordered. ``group`` takes values from a short
-    fixed list (the review periods), so the bracket table is broadcast.
+    Radix selection: equal values are counted, then the counts of the leading digit of their key tell which bucket holds the
+    middle rows, the next digit is counted inside that bucket only, and the last one gives the value. Whatever
+    the values are, a bucket list is at most 2^24 long. ``group`` takes values from a short fixed list (the review
+    periods), so what is looked for, two rows a group, is broadcast.
     """
-    rows = frame.select(group, value).where(F.col(value).isNotNull())
-    margin = 4 / QUANTILE_ACCURACY
-    sketch = F.percentile_approx(value, [0.5 - margin, 0.5 + margin], QUANTILE_ACCURACY)
-    bracket = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), sketch.alias("edge"))
-    inside = F.when(F.col(value) >= F.col("edge")[0], F.col(value))
     counted = (
-        rows.join(F.broadcast(bracket), group)
-        .where(F.col(value) <= F.col("edge")[1])
-        .groupBy(group, inside.alias("point"))
-        .agg(F.count(F.lit(1)).alias("weight"), F.any_value("n").alias("n"))
+        frame.select(group, value).where(F.col(value).isNotNull() & ~F.isnan(value))
+        .groupBy(group, value).agg(F.count(F.lit(1)).alias("weight")).withColumn("key", ordered_key(value))
     )
-    running = Window.partitionBy(group).orderBy(F.col("point").asc_nulls_first())
-    ranked = counted.withColumn(
-        "upto", F.sum("weight").over(running.rowsBetween(Window.unboundedPreceding, 0))
+    middle = F.col("n") + 1
+    wanted = (
+        counted.groupBy(group).agg(F.sum("weight").alias("n"))
+        .select(group, F.posexplode(F.array(F.floor(middle / 2), F.ceil(middle / 2))).alias("side", "rank"),
+                F.lit(0).cast("long").alias("prefix"))
     )
-    low, high = F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2)
-    # A bracket that missed the middle ranks would leave a null here; fail rather than mislead.
-    picked = ranked.groupBy(group).agg(
-        F.min(F.when(F.col("upto") >= low, F.coalesce("point", F.lit(float("-inf"))))).alias("lo"),
-        F.min(F.when(F.col("upto") >= high, F.coalesce("point", F.lit(float("-inf"))))).alias("hi"),
-    )
-    middle = (F.col("lo") + F.col("hi")) / 2
-    missed = middle.isNull() | (F.col("lo") == float("-inf"))
-    return picked.select(
-        group,
-        F.when(missed, F.raise_error(F.lit("median outside its bracket")).cast("double"))
-        .otherwise(middle)
-        .alias("median"),
+    below = sum(KEY_DIGITS)
+    for digit in KEY_DIGITS:
+        above, below = below, below - digit
+        hit = F.lit(True) if above == sum(KEY_DIGITS) else F.shiftright("key", above) == F.col("prefix")
+        found = (
+            counted.withColumnRenamed(group, "_group").join(F.broadcast(wanted), F.col("_group").eqNullSafe(F.col(group)) & hit)
+            .groupBy(group, "side", "rank", F.shiftright("key", below).alias("bucket")).agg(F.sum("weight").alias("inside"))
+        )
+        order = Window.partitionBy(group, "side").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        found = found.withColumn("upto", F.sum("inside").over(order)).where(F.col("upto") >= F.col("rank"))
+        wanted = found.groupBy(group, "side").agg(
+            F.min_by(F.struct((F.col("rank") - F.col("upto") + F.col("inside")).alias("rank"), F.col("bucket").alias("prefix")), "bucket")
+            .alias("own")).select(group, "own.*", "side")
+    values = counted.select(F.col(group).alias("_group"), "key", F.col(value).cast("double").alias("point"))
+    return (
+        values.join(F.broadcast(wanted), F.col("_group").eqNullSafe(F.col(group)) & (F.col("key") == F.col("prefix")))
+        .groupBy(group).agg((F.min("point") / 2 + F.max("point") / 2).alias("half"), F.min("point").alias("least"), F.max("point").alias("most"))
+        .select(group, F.when(F.abs("least") + F.abs("most") < float("inf"), (F.col("least") + F.col("most")) / 2)
+                .otherwise(F.col("half")).alias("median"))
     )
 
 
-def with_percent_rank(frame: DataFrame, by: str, value: str, out: str = "percent_rank",
-                      buckets: int = 64) -> DataFrame:
+def with_percent_rank(frame: DataFrame, by: str, value: str, out: str = "percent_rank") -> DataFrame:
     """Average-rank percentile of ``value`` within each group, for groups of any size.
 
-    Equal values are counted before they are ordered, a sketch cuts each group into ``buckets``
-    value ranges, and a running count over the range totals places every range. No task orders
-    more than one range of distinct values, however many rows a group (or one value) holds.
-    ``panel.percent_rank`` is the shorter form for groups of known small size.
+    Equal values are counted before they are ordered. The counts are dealt to ranges of (group, value), as many as there are
+    shuffle partitions; the totals of a group's ranges place them, and a window orders one range of one group. Where the
+    borders fall changes no result. ``panel.percent_rank`` is the shorter form for groups of known small size.
     """
-    if buckets < 2:
-        raise ValueError("buckets must be at least 2")
-    counts = frame.where(F.col(value).isNotNull()).groupBy(by, value).agg(
-        F.count(F.lit(1)).alias("ties"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    edges = counts.groupBy(by).agg(F.percentile_approx(value, cuts, 1000).alias("edges"))
-    placed = counts.join(edges, by).withColumn(
-        "bucket", F.size(F.filter("edges", lambda edge: edge < F.col(value)))
-    ).select(by, value, "ties", "bucket")
-    totals = placed.groupBy(by, "bucket").agg(F.sum("ties").alias("inside"))
+    counts = frame.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("ties"))
+    ranges = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Stored, as the borders of ranges are drawn anew whenever they are computed.
+    placed = cut(counts.repartitionByRange(ranges, by, value).withColumn("range", F.spark_partition_id()))
+    totals = placed.groupBy(by, "range").agg(F.sum("ties").alias("inside"))
     whole = Window.partitionBy(by)
-    before = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        by, "bucket", F.coalesce(F.sum("inside").over(before), F.lit(0)).alias("offset"),
+        by, "range", F.coalesce(F.sum("inside").over(before), F.lit(0)).alias("offset"),
         F.sum("inside").over(whole).alias("total"),
     )
-    local = Window.partitionBy(by, "bucket").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, -1)
-    ranked = placed.withColumn(
-        "below", F.coalesce(F.sum("ties").over(local), F.lit(0))
-    ).join(offsets, [by, "bucket"])
+    local = Window.partitionBy(by, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("below", F.coalesce(F.sum("ties").over(local), F.lit(0))).join(offsets, [by, "range"])
     average = F.col("offset") + F.col("below") + (F.col("ties") + 1) / 2
     shares = ranked.select(by, value, (average / F.col("total")).alias(out))
     return frame.join(shares, [by, value], "left").select(*frame.columns, out)

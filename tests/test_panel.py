@@ -107,15 +107,20 @@ def test_percent_rank_averages_ties(spark):
         assert got[i] == (None if pd.isna(value) else pytest.approx(value))
 
 
-@pytest.mark.parametrize("buckets", [2, 7, 64])
-def test_distributed_percent_rank_matches_pandas(spark, buckets):
+@pytest.mark.parametrize("ranges", ["1", "7", "64"])
+def test_distributed_percent_rank_matches_pandas(spark, ranges):
     rng = np.random.default_rng(7)
     table = pd.DataFrame({"i": range(600), "g": rng.choice(["a", "b", "c"], 600, p=[.8, .1, .1]),
                           "x": np.round(rng.normal(size=600), 1)})
     table.loc[::3, "x"] = 0.5  # one value holds a third of the rows
     table.loc[::50, "x"] = np.nan
     frame = spark.createDataFrame(table).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
-    got = stats.with_percent_rank(frame, "g", "x", "p", buckets).toPandas().set_index("i")["p"]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        got = stats.with_percent_rank(frame, "g", "x", "p").toPandas().set_index("i")["p"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     want = table.groupby("g")["x"].rank(pct=True)
     np.testing.assert_allclose(got.sort_index().to_numpy(float), want.to_numpy(float), rtol=1e-12)
 
@@ -156,6 +161,34 @@ def test_exact_median_with_heavy_ties(spark):
     assert stats.exact_median(frame, "period", "ret").first()["median"] == want
 
 
+def _awkward(own, n):
+    """Ties, subnormals, neighbours in the last bit, both zeros, a spread over all exponents, whole infinities apart."""
+    base = np.concatenate([
+        own.lognormal(0, 200, n), -own.lognormal(0, 200, n), own.integers(0, 50, n) * 5e-324, np.full(n, 1.0),
+        np.nextafter(1.0, 2.0) * np.ones(n // 2), np.nextafter(1.0, 0.0) * np.ones(n // 2), [0.0, -0.0, 2.0 ** -1022, 1.7e308],
+        1e9 + own.integers(0, 9, n) * 1e-7, 2.0 ** own.integers(-1074, 1023, n)])
+    return base[np.isfinite(base)]
+
+
+def test_ordered_key_orders_like_the_double(spark):
+    values = _awkward(np.random.default_rng(5), 300)
+    values = np.concatenate([values, -values, [np.inf, -np.inf]])
+    frame = spark.createDataFrame([(float(v),) for v in values], "x double")
+    got = frame.select("x", stats.ordered_key("x").alias("key")).toPandas()
+    bits = np.abs(got["x"].to_numpy()).view(np.int64)
+    assert (got["key"].to_numpy() == np.where(got["x"] < 0, -bits, bits)).all()
+
+
+@pytest.mark.parametrize("seed,n", [(1, 40), (2, 41), (3, 500)])
+def test_exact_median_of_awkward_values(spark, seed, n):
+    own = np.random.default_rng(seed)
+    values = own.permutation(_awkward(own, n))
+    close = 1 + own.integers(0, 1 << 20, 997) * 2.0 ** -52  # all in one bucket of the first two digits
+    rows = [("all", float(v)) for v in values] + [("close", float(v)) for v in close] + [("none", None), ("top", 2.0 ** 1023), ("top", 1.5 * 2.0 ** 1023)]
+    got = {r["period"]: r["median"] for r in stats.exact_median(spark.createDataFrame(rows, "period string, ret double"), "period", "ret").collect()}
+    assert got == {"all": float(np.median(values)), "close": float(np.median(close)), "top": 1.25 * 2.0 ** 1023}
+
+
 @pytest.mark.parametrize("block,stretch", [(256, 2048), (3, 50)])
 def test_correlation_is_pairwise_complete(spark, gappy, block, stretch):
     got = stats.return_correlation(spark.createDataFrame(gappy), sorted(set(gappy["symbol"])), block=block,
