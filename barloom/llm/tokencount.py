@@ -2,8 +2,10 @@
 
 A pre-token is a word with the mark of a word start before it. Under a unigram model its best
 segmentation maximises the sum of piece scores; of equally good ones the one with fewer pieces
-counts. The best score of a prefix does not depend on what follows, so pre-tokens are walked down a trie
-and a node is scored once, from the scores of its ancestors, for all pre-tokens that share it.
+counts. The best score of a prefix does not depend on what follows, so the distinct new pre-tokens of a batch form a trie
+whose nodes are scored once, from the scores of their ancestors, for all pre-tokens below. The trie is walked depth
+first, which is the sorted order of the pre-tokens: only the path to the current node is held, whatever the size of the trie.
+Counts at terminal nodes are kept for later batches.
 
 The public vocabulary is an ordered list of pieces without probabilities. Scores follow Zipf's law,
 ``-ln(place + SHIFT)``; both are parameters.
@@ -17,7 +19,6 @@ from functools import lru_cache
 
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame
 
 from barloom.llm.common import bytes_of, decoded, map_batches, utf8
@@ -25,9 +26,9 @@ from barloom.llm.common import bytes_of, decoded, map_batches, utf8
 START = "▁"
 SHIFT = 10
 UNKNOWN_PENALTY = 10.0  # below the rarest piece, for every byte of a character without a piece
-NODES = 1_000_000  # nodes kept by a worker; a larger trie starts anew
-LONG = 10_000  # longer pre-tokens share no prefix worth keeping and leave no nodes
-WORDS = regex.compile(r"[^\x20\x09-\x0D]+").findall
+KEPT = 400_000  # words whose counts a worker keeps, in each of two generations
+LONG = 1_000_000  # longer pre-tokens, mere blobs, are scored without holding their whole path
+NO_ENDING = object()
 
 
 @lru_cache(maxsize=2)
@@ -44,75 +45,94 @@ def load_scores(path: str, shift: int = SHIFT) -> dict[str, float]:
 
 
 class Trie:
-    """Nodes of all prefixes seen so far with their best score and its number of tokens."""
+    """Best scores of the nodes of tries of pre-tokens, with their numbers of tokens."""
 
     def __init__(self, scores: dict[str, float]) -> None:
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
+        # Every ending of a piece, with the score of those that are pieces: a walk back from a place ends at the first
+        # text that no piece ends with.
+        self.endings: dict[str, float | None] = dict.fromkeys(
+            (piece[at:] for piece in scores for at in range(len(piece)))) | scores
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
-        self.clear()
-
-    def clear(self) -> None:
-        self.root: dict[str, tuple] = {}
-        self.nodes = 0
-        self.terminal: dict[str, int] = {}
-
-    def count(self, token: str) -> int:
-        """Tokens of a pre-token; stored at its terminal node."""
-        found = self.terminal.get(token)
-        if found is None:
-            if len(token) > LONG:
-                return self._roll(token)
-            if self.nodes >= NODES:
-                self.clear()
-            found = self.terminal[token] = self._walk(token)
-        return found
-
-    def _best(self, token: str, end: int, path: list, shift: int) -> tuple[float, int]:
-        """Best (score, -tokens) of the prefix of length ``end``; ``path[i - shift]`` is that of length i."""
-        best = None
-        for start in range(max(0, end - self.longest), end):
-            gain = self.scores.get(token[start:end])
+        self.nodes = 0  # scored so far
+
+    def _best(self, token: str, end: int, scores: list[float], tokens: list[int], shift: int) -> tuple[float, int]:
+        """Best score of the prefix of length ``end`` and its tokens; ``scores[i - shift]`` is that of length i."""
+        best, fewest, endings = -math.inf, 0, self.endings
+        for start in range(end - 1, -1, -1):
+            gain = endings.get(token[start:end], NO_ENDING)
+            if gain is NO_ENDING:
+                break
             if gain is not None:
-                score, tokens = path[start - shift]
-                here = (score + gain, tokens - 1)
-                if best is None or here > best:
-                    best = here
+                score, count = scores[start - shift] + gain, tokens[start - shift] + 1
+                if score > best or score == best and count < fewest:
+                    best, fewest = score, count
         char = token[end - 1]
         if char not in self.scores:
             size = len(char.encode("utf-8"))
-            score, tokens = path[end - 1 - shift]
-            here = (score + self.unknown * size, tokens - size)
-            if best is None or here > best:
-                best = here
-        return best
-
-    def _walk(self, token: str) -> int:
-        children = self.root
-        path = [(0.0, 0)]
-        for end, char in enumerate(token, 1):
-            node = children.get(char)
-            if node is None:
-                node = children[char] = ({}, self._best(token, end, path, 0))
-                self.nodes += 1
-            children = node[0]
-            path.append(node[1])
-        return -path[-1][1]
+            score, count = scores[end - 1 - shift] + self.unknown * size, tokens[end - 1 - shift] + size
+            if score > best or score == best and count < fewest:
+                best, fewest = score, count
+        return best, fewest
+
+    def walk(self, tokens: list[str]) -> Iterator[int]:
+        """Tokens of sorted pre-tokens, in their order."""
+        before, scores, counts = "", [0.0], [0]
+        for token in tokens:
+            if len(token) > LONG:
+                yield self._roll(token)
+                continue
+            shared, least = 0, min(len(before), len(token))
+            while shared < least and before[shared] == token[shared]:
+                shared += 1
+            del scores[shared + 1:], counts[shared + 1:]
+            for end in range(shared + 1, len(token) + 1):
+                best, fewest = self._best(token, end, scores, counts, 0)
+                scores.append(best)
+                counts.append(fewest)
+            self.nodes += len(token) - shared
+            before = token
+            yield counts[-1]
 
     def _roll(self, token: str) -> int:
-        path, shift = [(0.0, 0)], 0
+        scores, counts, shift = [0.0], [0], 0
         for end in range(1, len(token) + 1):
-            path.append(self._best(token, end, path, shift))
-            if len(path) > 4 * self.longest:
-                cut = len(path) - self.longest
-                del path[:cut]
+            best, fewest = self._best(token, end, scores, counts, shift)
+            scores.append(best)
+            counts.append(fewest)
+            if len(scores) > 4 * self.longest:
+                cut = len(scores) - self.longest
+                del scores[:cut], counts[:cut]
                 shift += cut
-        return -path[-1][1]
+        return counts[-1]
+
+
+class Counts:
+    """Tokens of words, with the counts of recent ones: what is used again when a generation is full moves on to the next."""
+
+    def __init__(self, trie: Trie) -> None:
+        self.trie, self.young, self.old = trie, {}, {}
+
+    def totals(self, texts: list[list[bytes]]) -> list[int]:
+        """Tokens of texts given by their words."""
+        if len(self.young) >= KEPT:
+            self.old, self.young = self.young, {}
+        fresh = []
+        for word in set().union(*texts).difference(self.young):
+            known = self.old.get(word)
+            if known is None:
+                fresh.append(word)
+            else:
+                self.young[word] = known
+        fresh.sort()
+        self.young.update(zip(fresh, self.trie.walk([START + decoded(word) for word in fresh])))
+        return [sum(map(self.young.__getitem__, words)) for words in texts]
 
 
 @lru_cache(maxsize=2)
-def _trie(path: str) -> Trie:
-    return Trie(load_scores(path))
+def _counts(path: str) -> Counts:
+    return Counts(Trie(load_scores(path)))
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
@@ -126,14 +146,10 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
-        trie = _trie(path)
+        counts = _counts(path)
         for batch in batches:
-            words, tokens = [], []
-            for data in bytes_of(batch, "_text"):
-                own = decoded(data)
-                own = WORDS(own)
-                words.append(len(own))
-                tokens.append(sum(trie.count(START + word) for word in own))
+            texts = [data.split() for data in bytes_of(batch, "_text")]  # on bytes: at space and 9-13 only
+            words, tokens = list(map(len, texts)), counts.totals(texts)
             yield {id_col: batch.column(0), "n_words": words, "n_tokens": tokens}
 
     return map_batches(docs.select(id_col, utf8(text_col).alias("_text")), work,

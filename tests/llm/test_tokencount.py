@@ -10,19 +10,23 @@ SCORES = tokencount.load_scores(public_tokenizers.path("piece_bpe_32k.model"))
 def test_equals_a_unigram_library():
     other = Tokenizer(models.Unigram([("<unk>", -1e9), *SCORES.items()], unk_id=0))
     trie = tokencount.Trie(SCORES)
-    for word in set((prose(8, 3000) + " Größe naïve don't x.y/z 12345 " + "ab" * 90).split()):
-        token = tokencount.START + word
-        assert trie.count(token) == len(other.encode(token).tokens), word
+    words = sorted(set((prose(8, 3000) + " Größe naïve don't x.y/z 12345 " + "ab" * 90).split()))
+    tokens = [tokencount.START + word for word in words]
+    assert list(trie.walk(tokens)) == [len(other.encode(token).tokens) for token in tokens]
+    assert trie.nodes < sum(map(len, tokens))
 
 
-def test_long_tokens_and_a_small_trie_change_nothing(monkeypatch):
+def test_order_long_tokens_and_small_generations_change_nothing(monkeypatch):
     trie, token = tokencount.Trie(SCORES), tokencount.START + "theotheronable" * 40
-    assert trie._roll(token) == trie._walk(token)
-    words = [tokencount.START + w for w in prose(9, 500).split()]
-    want = [trie.count(w) for w in words]
-    monkeypatch.setattr(tokencount, "NODES", 5)
-    small = tokencount.Trie(SCORES)
-    assert [small.count(w) for w in words] == want
+    assert [trie._roll(token)] == list(trie.walk([token]))
+    texts = [prose(seed, 200).encode().split() for seed in range(30)]
+    whole = tokencount.Counts(trie).totals(texts)
+    assert whole == [sum(next(trie.walk([tokencount.START + w.decode()])) for w in words) for words in texts]
+    monkeypatch.setattr(tokencount, "KEPT", 5)
+    monkeypatch.setattr(tokencount, "LONG", 6)
+    small = tokencount.Counts(trie)
+    assert [small.totals([words])[0] for words in texts + texts] == whole + whole
+    assert len(small.young) <= 200
 
 
 def test_brute_force_over_all_segmentations():
@@ -36,8 +40,8 @@ def test_brute_force_over_all_segmentations():
                    for s, n in [best(text[k:])])
 
     for text in ("a", "ab", "aba", "abab", "bababa", "aabbaab"):
-        assert trie.count(text) == -best(text)[1]
-    assert trie.count("é") == 2  # bytes of a character without a piece
+        assert list(trie.walk([text])) == [-best(text)[1]]
+    assert list(trie.walk(["é"])) == [2]  # bytes of a character without a piece
 
 
 def test_rows(spark):
