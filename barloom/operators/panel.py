@@ -9,6 +9,8 @@ no window partition can grow with the data.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -149,6 +151,47 @@ def with_ema(
     return rows.select(*frame.columns, out)
 
 
+BLOCK = 65_536  # positions in a block of a long series
+
+
+def in_blocks(frame: DataFrame, columns: dict[str, Callable[[WindowSpec], Column]], span: int, key: str = "symbol",
+              order: str = "date_idx", block: int = BLOCK) -> DataFrame:
+    """Add columns of RANGE windows that look at most ``span`` positions back, for series of any length.
+
+    A series is cut into blocks of positions and a block also gets the rows up to ``span`` before it, its halo; windows run
+    inside a block, and only its own rows are kept. The result is that of the same windows over whole series, but no task
+    needs a whole series. Only the halo is sent twice.
+    """
+    block = max(block, span, 1)
+    own = F.floor(F.col(order) / block)
+    near_end = F.col(order) - own * block >= block - span
+    spread = frame.withColumns({
+        "_own": own, "_block": F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own)))})
+    window = Window.partitionBy(key, "_block").orderBy(order)
+    return (
+        spread.withColumns({name: build(window) for name, build in columns.items()})
+        .where("_own = _block").select(*frame.columns, *columns)
+    )
+
+
+def fill_in_blocks(frame: DataFrame, value: str, out: str, key: str = "symbol", order: str = "date_idx",
+                   block: int = BLOCK) -> DataFrame:
+    """Forward fill for series of any length: rows are filled inside a block, and what a block starts with is carried to it
+    from the blocks before, of which one row each is looked at."""
+    rows = frame.withColumn("_block", F.floor(F.col(order) / block))
+    seen = F.when(F.col(value).isNotNull(), F.col(order))
+    along = Window.partitionBy("_series").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        rows.groupBy(F.col(key).alias("_series"), F.col("_block").alias("_at")).agg(F.max_by(value, seen).alias("_last"))
+        .withColumn("_carried", F.last("_last", ignorenulls=True).over(along)).drop("_last")
+    )
+    inside = Window.partitionBy(key, "_block").orderBy(order)
+    return (
+        rows.join(carried, rows[key].eqNullSafe(carried["_series"]) & (rows["_block"] == carried["_at"]))
+        .withColumn(out, F.coalesce(forward_fill(value, inside), "_carried")).select(*frame.columns, out)
+    )
+
+
 def forward_fill(value: str | Column, window: WindowSpec) -> Column:
     return F.last(value, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
 

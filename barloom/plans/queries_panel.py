@@ -166,6 +166,43 @@ def moving_average(spark, root):
         "symbol", "trade_date", rounded(P.moving_average("close", 5, P.series()), 6).alias("sma"))
 
 
+# Minute series are long; positions are whole minutes since 1970. Small blocks, so that the series span many.
+_MINUTE_BLOCK = 2_000
+
+
+def _minute_panel(spark, root):
+    bars = V.minute_bars(spark, root).select("symbol", "bar_time", "close", "volume")
+    minute = (F.unix_date(F.col("bar_time").cast("date")).cast("bigint") * 1440
+              + F.hour("bar_time") * 60 + F.minute("bar_time"))
+    return bars.withColumn("minute", minute)
+
+
+_MINUTE_POSITION = "CAST(epoch(bar_time) / 60 AS BIGINT)"
+
+
+@query("f3_minute_average", statement(
+    f"""SELECT symbol, bar_time, {r('avg(close) OVER w', 6)} AS mean_30,
+          {r('close / max(close) OVER b - 1')} AS ret_5
+        FROM (SELECT *, {_MINUTE_POSITION} AS pos FROM minute_bars)
+        WINDOW w AS (PARTITION BY symbol ORDER BY pos RANGE BETWEEN 29 PRECEDING AND CURRENT ROW),
+          b AS (PARTITION BY symbol ORDER BY pos RANGE BETWEEN 5 PRECEDING AND 5 PRECEDING)"""))
+def minute_average(spark, root):
+    rated = P.in_blocks(_minute_panel(spark, root), {
+        "mean_30": lambda w: F.avg("close").over(w.rangeBetween(-29, 0)),
+        "ret_5": lambda w: P.panel_return("close", 5, w),
+    }, span=29, order="minute", block=_MINUTE_BLOCK)
+    return rated.select("symbol", "bar_time", rounded("mean_30", 6).alias("mean_30"), rounded("ret_5").alias("ret_5"))
+
+
+@query("f10_minute_mark", statement(
+    f"""SELECT symbol, bar_time, last_value(CASE WHEN volume > 1 THEN close END IGNORE NULLS) OVER
+          (PARTITION BY symbol ORDER BY bar_time) AS mark FROM minute_bars"""))
+def minute_mark(spark, root):
+    busy = _minute_panel(spark, root).withColumn("busy_close", F.when(F.col("volume") > 1, F.col("close")))
+    marked = P.fill_in_blocks(busy, "busy_close", "mark", order="minute", block=_MINUTE_BLOCK)
+    return marked.select("symbol", "bar_time", "mark")
+
+
 @query("f4_price_bias", statement(
     f"""SELECT symbol, trade_date, {r('close / sma - 1')} AS bias FROM
         (SELECT *, {_SMA_SQL.format(n=5)} AS sma FROM panel {_SMA_WINDOW.format(m=4)})

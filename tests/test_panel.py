@@ -88,6 +88,34 @@ def test_one_long_series_is_many_tasks(spark):
     np.testing.assert_allclose([tail[i] for i in sorted(tail)], x.iloc[sorted(tail)].to_numpy(), rtol=1e-11)
 
 
+@pytest.mark.parametrize("block", [1, 13, 64, 5_000])
+def test_blocks_with_halo_equal_whole_windows(spark, block):
+    own = np.random.default_rng(block)
+    at = np.sort(own.choice(3_000, 1_200, replace=False)) - 500  # positions below zero too
+    rows = [(name, int(i), None if own.random() < 0.2 else float(own.integers(1, 99))) for name in ("A", "B", None) for i in at]
+    frame = spark.createDataFrame(rows, "symbol string, date_idx int, close double").repartition(6)
+    columns = {"mean": lambda w: F.avg("close").over(w.rangeBetween(-20, 0)), "sma": lambda w: P.moving_average("close", 3, w),
+               "lag": lambda w: P.lag_by("close", 20, w)}
+    got = P.in_blocks(frame, columns, span=20, block=block)
+    want = frame.withColumns({name: build(P.series()) for name, build in columns.items()})
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    filled = P.fill_in_blocks(frame, "close", "mark", block=block)
+    whole = frame.withColumn("mark", P.forward_fill("close", P.series()))
+    assert filled.exceptAll(whole).count() == 0 and whole.exceptAll(filled).count() == 0
+
+
+def test_one_symbol_is_dealt_to_many_tasks(spark):
+    long = spark.range(0, 100_000, 1, 4).selectExpr("'A' symbol", "cast(id as int) date_idx", "cast(id as double) close")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = P.in_blocks(long, {"mean": lambda w: F.avg("close").over(w.rangeBetween(-9, 0))}, span=9, block=2_000)
+        held = got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("mean").alias("total")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(held) == 4 and sum(r["n"] for r in held) == 100_000
+    assert sum(r["total"] for r in held) == pytest.approx(pd.Series(np.arange(100_000.0)).rolling(10, min_periods=1).mean().sum())
+
+
 def test_duplicate_dates_in_a_series_fail(spark):
     rows = [("A", day("2024-01-02"), 1.0), ("A", day("2024-01-02"), 2.0)]
     frame = P.with_date_idx(spark.createDataFrame(rows, "symbol string, trade_date date, close double"))
