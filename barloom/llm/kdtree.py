@@ -1,6 +1,6 @@
 """Exact top-k by integer inner product with KD-trees per shard.
 
-Rows are dealt to shards by the hash of their id. A shard's distinct vectors are split at medians into a tree
+Rows are dealt to shards by their length and the hash of their id. A shard's distinct vectors are split at medians into a tree
 whose nodes keep tight bounding boxes. A query walks the tree best-first: the bound of a box is the largest inner
 product that any point inside could have, and a box whose bound is below the k-th score so far is
 never opened. The k-th score travels: a query first visits one shard, and what it finds there is the
@@ -171,8 +171,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: float = 64.
     """``query_id, rank, vec_id, score``: the ``k`` best rows of ``vectors`` other than the query, for every query.
 
     Components become ``floor(scale * x)``. Defined cases: rows with a null id, a null vector, or null or non-finite
-    components take no part, neither do vectors shorter than the longest; rows that repeat an id and a vector
-    are one row; fewer rows give fewer ranks; no queries give an empty result; other columns are ignored.
+    components take no part; a query meets vectors of its own length; rows that repeat an id and a vector are one row; fewer rows give fewer ranks; no queries give an empty result; other columns are ignored.
     """
     def whole(frame: DataFrame) -> DataFrame:
         usable = F.forall(F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -183,14 +182,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: float = 64.
         )
 
     points = whole(vectors)
-    count, size = points.agg(F.count("*"), F.max(F.size("vector"))).first()
+    count = points.count()
     if not count:
         return points.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"),
                              F.col("id").alias("score")).limit(0)
     shards = max(1, -(-count // shard_rows))
-    points = points.where(F.size("vector") == size)
-    asked = whole(queries).where(F.size("vector") == size).distinct()
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    asked = whole(queries).distinct()
+    # Vectors of each length have shards of their own.
+    first = F.size("vector").cast("long") * shards
+    shard = first + F.pmod(F.xxhash64("id"), F.lit(shards))
     stored = points.select(shard.alias("shard"), F.lit(False).alias("query"), "id", "vector",
                            F.lit(LOWEST).alias("floor"))
 
@@ -205,8 +205,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: float = 64.
         others = (
             asked.join(kth, F.col("id") == F.col("query_id"), "left")
             .select(shard.alias("home"), "id", "vector", F.coalesce("floor", F.lit(LOWEST)).alias("floor"))
-            .select("home", "id", "vector", "floor",
-                    F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+            .select("home", "id", "vector", "floor", F.explode(F.sequence(first, first + shards - 1)).alias("shard"))
             .where("shard <> home").select("shard", F.lit(True).alias("query"), "id", "vector", "floor")
         )
         home = home.unionByName(visit(others))

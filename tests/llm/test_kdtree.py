@@ -42,6 +42,16 @@ def test_fewer_rows_than_k_and_empty_tables(spark):
     assert kdtree.top_k(clash, clash).columns == ["query_id", "rank", "vec_id", "score"]
 
 
+@pytest.mark.parametrize("shard_rows", [10_000, 20])
+def test_a_query_meets_vectors_of_its_length(spark, shard_rows):
+    own = random.Random(4)
+    rows = [(i, [own.gauss(0, 1) for _ in range(4)]) for i in range(100)]
+    longer = [(200, [1.0] * 5), (220, [0.5] * 5), (221, [0.25] * 5)]
+    frame = spark.createDataFrame(rows + longer, SCHEMA)
+    got = {tuple(r) for r in kdtree.top_k(frame, frame.where("vec_id % 20 = 0"), k=5, shard_rows=shard_rows).collect()}
+    assert got == brute(rows, lambda i: i % 20 == 0, 5) | brute(longer, lambda i: i % 20 == 0, 5)
+
+
 def test_boxes_are_tight_and_subtrees_are_skipped():
     points = np.random.default_rng(1).integers(-20, 20, (5000, 3))
     tree = kdtree.Tree(np.arange(5000), points, 20)
