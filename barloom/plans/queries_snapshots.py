@@ -318,6 +318,34 @@ def completeness(spark, root):
     return decided.select("asset_type", "trade_date", "symbol_count", "expected_symbols", "status")
 
 
+# Bars without some symbols every eighth day, so that listed market caps have no bar.
+_THIN = "NOT (day(trade_date) % 8 = 0 AND substr(symbol, 6, 1) IN ('3', '9'))"
+
+
+@query("c13_missing_basic", statement(
+    f"""SELECT c.trade_date, n AS symbol_count, basic_count, coalesce(missing, 0) AS missing_basic,
+          CAST({_FLOOR.format('basic_count')} AS BIGINT) AS expected_symbols,
+          CASE WHEN n >= {_FLOOR.format('basic_count')} AND coalesce(missing, 0) = 0 THEN 'complete' ELSE 'incomplete' END AS status
+        FROM (SELECT trade_date, count(DISTINCT symbol) AS n FROM thin GROUP BY 1) c
+        JOIN (SELECT trade_date, count(*) AS basic_count FROM basic GROUP BY 1) b USING (trade_date)
+        LEFT JOIN (SELECT trade_date, count(DISTINCT symbol) AS missing FROM basic ANTI JOIN thin USING (symbol, trade_date)
+                   WHERE symbol NOT LIKE '200%.SZ' AND symbol NOT LIKE '900%.SH' GROUP BY 1) m USING (trade_date)""",
+    thin=f"SELECT * FROM bars WHERE asset_type = 'stock' AND {_THIN}"))
+def missing_basic_in_completeness(spark, root):
+    """The floor that market caps set, with the listed symbols that have no bar counted from the tables."""
+    thin = V.bars(spark, root).where(F.expr(f"asset_type = 'stock' AND {_THIN}"))
+    basic = V.basic(spark, root)
+    missing = Snap.missing_basic_symbols(basic, thin).groupBy("trade_date").agg(F.count(F.lit(1)).alias("missing_basic"))
+    facts = (
+        thin.groupBy("asset_type", "trade_date").agg(F.count_distinct("symbol").alias("symbol_count"))
+        .join(basic.groupBy("trade_date").agg(F.count(F.lit(1)).alias("basic_count")), "trade_date")
+        .join(missing, "trade_date", "left").fillna(0, ["missing_basic"])
+        .withColumns({"basic_verified": F.lit(True), "provider_expected": F.lit(0), "prior_count": F.lit(0),
+                      "response_complete": F.lit(None).cast("boolean"), "response_limit": F.lit(6000)}))
+    decided = Snap.completeness(facts, {"stock": 10}, 0.9, 1)
+    return decided.select("trade_date", "symbol_count", "basic_count", "missing_basic", "expected_symbols", "status")
+
+
 @query("a17_completeness_totals", statement(
     f"""SELECT asset_type, count(*) FILTER (answered AND verified AND n >= basic_count) AS verified_ok
         FROM facts GROUP BY asset_type""", facts=_FACTS))
