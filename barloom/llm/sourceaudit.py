@@ -29,7 +29,7 @@ UNIT = 1_000_000_000
 TOP = 50
 PIECE = 12 << 20  # bytes of text that a task holds at once
 BLOCK = 64  # sources
-BUCKET_TERMS = 4096
+BUCKET_TERMS = 256
 
 LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
