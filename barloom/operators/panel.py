@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
 from barloom.functions.normalize import period_key
+from barloom.session import cut
 
 
 def date_axis(frame: DataFrame, date: str = "trade_date") -> DataFrame:
@@ -73,7 +74,7 @@ def bias(value: str, span: int, window: WindowSpec) -> Column:
 
 # Weights below exp(-REACH) of the newest one, far less than a double can hold beside it, may be left out.
 REACH = 150.0
-EMA_BLOCK = 8_192  # positions of the axis in a block
+EMA_BLOCK = 64  # positions of the axis in a block
 
 
 def affine_scan(frame: DataFrame, keys: list[str], order: str, log_factor: str, term: str) -> DataFrame:
@@ -115,40 +116,63 @@ def with_ema(
     """Exponential average with gap decay (recursive form, weights decay over missed dates), as a parallel scan.
 
     With ``d = (1 - a) ** gap`` since the last observation, one makes the level ``(d * level + a * x) / (d + a)``: an affine
-    map. Maps compose, so a series is cut into blocks of the axis: rows are scanned inside a block, every block is one
-    map, these are scanned along the series, and what a block starts with is added to its rows. A task holds a block, or
-    one row for every block of a series, never a long series.
+    map. Maps compose, so a series is cut into blocks of the axis. A block is folded as if its first observation began the
+    series; what the level before would have added to that observation reaches every later row times the product of the
+    factors in between, which is kept as a logarithm. Blocks are then single maps, and ``affine_scan`` over these, one row
+    for every block of a series, gives the level that each begins with. Only built-in functions are used; blocks are
+    short, as the state of a fold is copied at every step.
     """
-    alpha, own = 2 / (span + 1), [key, "_block"]
+    alpha = 2 / (span + 1)
+    rest = [name for name in frame.columns if name not in (key, "date_idx")]
     x = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    rows = frame.withColumns({"_block": F.floor(F.col("date_idx") / block), "_x": x})
-    along = Window.partitionBy(key).orderBy("_block")
-    seen_at = F.when(F.col("_x").isNotNull(), F.col("date_idx"))
-
-    def joined(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
-        right = right.select(F.col(key).alias("_series"), F.col("_block").alias("_at"), name)
-        return left.join(right, left[key].eqNullSafe(F.col("_series")) & (left["_block"] == F.col("_at"))).drop("_series", "_at")
-
-    # The border state: where the series was last observed before the block.
-    last_seen = rows.groupBy(*own).agg(F.max(seen_at).alias("_end")).withColumn(
-        "_seen", F.max("_end").over(along.rowsBetween(Window.unboundedPreceding, -1)))
-    inside = Window.partitionBy(*own).orderBy("date_idx")
-    rows = joined(rows, last_seen, "_seen").withColumn("_seen", F.coalesce(
-        F.max(seen_at).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_seen")))
-    rows = rows.withColumn("_x", require_unique(F.col("_x"), inside))
-    decay = F.pow(F.lit(1 - alpha), F.col("date_idx") - F.col("_seen"))
-    missing, first = F.col("_x").isNull(), F.col("_seen").isNull()
-    rows = rows.withColumns({
-        "_factor": F.when(missing | first, 0.0).otherwise(F.greatest(F.lit(-REACH), F.log(decay / (decay + alpha)))),
-        "_term": F.when(missing, 0.0).when(first, F.col("_x")).otherwise(alpha * F.col("_x") / (decay + alpha)),
-    })
-    rows = affine_scan(rows, own, "date_idx", "_factor", "_term")
-    blocks = rows.groupBy(*own).agg(
-        F.greatest(F.lit(-REACH), F.sum("_factor")).alias("_factor"), F.max_by("_level", "date_idx").alias("_term"))
-    starts = affine_scan(blocks, [key], "_block", "_factor", "_term").withColumn("_from", F.lag("_level").over(along))
-    level = F.col("_level") + F.exp("_log") * F.coalesce("_from", F.lit(0.0))
-    rows = joined(rows, starts, "_from").withColumn(out, F.when(~(missing & first), level))
-    return rows.select(*frame.columns, out)
+    rows = F.sort_array(F.collect_list(F.struct("date_idx", x.alias("x"), F.struct(*rest).alias("rest"))))
+    blocks = frame.groupBy(key, F.floor(F.col("date_idx") / block).alias("_block")).agg(rows.alias("_rows"))
+    repeated = F.size(F.array_distinct(F.transform("_rows", lambda row: row["date_idx"]))) < F.size("_rows")
+    blocks = blocks.withColumn("_rows", F.when(
+        repeated, F.raise_error(F.lit("duplicate date in a series")).cast(blocks.schema["_rows"].dataType)).otherwise(F.col("_rows")))
+
+    def decay(at: Column, seen: Column) -> Column:
+        return F.pow(F.lit(1 - alpha), at - seen)
+
+    def fold(state: Column, row: Column) -> Column:
+        d, fresh, missing = decay(row["date_idx"], state["seen"]), state["level"].isNull(), row["x"].isNull()
+        level = F.when(missing, state["level"]).when(fresh, row["x"]).otherwise(
+            (d * state["level"] + alpha * row["x"]) / (d + alpha))
+        # The logarithm of a vanished factor is null; far below any weight that a double holds beside the newest is enough.
+        factor = F.when(missing | fresh, state["factor"]).otherwise(
+            state["factor"] + F.coalesce(F.log(d / (d + alpha)), F.lit(-1e3)))
+        return F.struct(
+            level.alias("level"), factor.alias("factor"), F.when(missing, state["seen"]).otherwise(row["date_idx"]).alias("seen"),
+            F.concat(state["done"], F.array(F.struct(level.alias("level"), factor.alias("factor")))).alias("done"))
+
+    number, place = F.lit(None).cast("double"), F.lit(None).cast(frame.schema["date_idx"].dataType)
+    none = F.array().cast("array<struct<level:double,factor:double>>")
+    first = F.get(F.filter("_rows", lambda row: row["x"].isNotNull()), F.lit(0))
+    blocks = blocks.withColumn("_end", F.aggregate(
+        "_rows", F.struct(number.alias("level"), F.lit(0.0).alias("factor"), place.alias("seen"), none.alias("done")), fold))
+    blocks = cut(blocks)  # read twice, for the maps and for the rows
+    maps = blocks.select(F.col(key).alias("_series"), F.col("_block").alias("_at"), first.alias("_first"), "_end.level", "_end.factor", "_end.seen")
+    along = Window.partitionBy("_series").orderBy("_at")
+    maps = maps.withColumn("_seen", F.last("seen", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    d = decay(F.col("_first.date_idx"), F.col("_seen"))
+    kept = F.coalesce(F.log(d / (d + alpha)), F.lit(-REACH))
+    factor = F.when(F.col("_first").isNull() | F.col("_seen").isNull(), 0.0).otherwise(F.greatest(F.lit(-REACH), F.col("factor") + kept))
+    maps = maps.withColumn("_factor", factor).withColumn("_term", F.when(F.col("_first").isNull(), 0.0).when(
+        F.col("_seen").isNull(), F.col("level")).otherwise(F.col("level") - F.exp("_factor") * F.col("_first.x")))
+    scanned = affine_scan(maps.select("_series", "_at", "_seen", "_factor", "_term"), ["_series"], "_at", "_factor", "_term")
+    starts = scanned.select("_series", "_at", "_seen", F.when(F.col("_seen").isNotNull(), F.lag("_level").over(along)).alias("_before"))
+
+    def added(level: Column, seen: Column, at: Column, x: Column) -> Column:
+        """What a level before a first observation adds to it; nothing where there was none."""
+        weight = decay(at, seen)
+        return F.coalesce(weight / (weight + alpha) * (level - x), F.lit(0.0))
+
+    joined = blocks.join(starts, blocks[key].eqNullSafe(starts["_series"]) & (blocks["_block"] == starts["_at"]))
+    joined = joined.withColumn("_added", added(F.col("_before"), F.col("_seen"), first["date_idx"], first["x"]))
+    level = F.zip_with("_rows", "_end.done", lambda row, done: F.struct(
+        row["date_idx"].alias("date_idx"), row["rest"].alias("rest"),
+        F.coalesce(done["level"] + F.exp(done["factor"]) * F.col("_added"), F.col("_before")).alias(out)))
+    return joined.select(key, F.inline(level)).select(key, "date_idx", "rest.*", out).select(*frame.columns, out)
 
 
 BLOCK = 65_536  # positions in a block of a long series

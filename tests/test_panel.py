@@ -78,11 +78,14 @@ def test_one_long_series_is_many_tasks(spark):
     long = spark.range(0, 200_000, 1, 8).selectExpr("'A' symbol", "cast(id as int) date_idx", "cast(id % 97 + 1 as double) close")
     got = P.with_ema(long, "close", 15, block=1_000)
     x = pd.Series((np.arange(200_000) % 97 + 1).astype(float)).ewm(span=15, adjust=False).mean()
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows go to one task
+    # Else so few rows go to one task.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         held = got.groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(held) > 1 and max(r["count"] for r in held) < 150_000
     tail = {r["date_idx"]: r["ema"] for r in got.where("date_idx % 10007 = 0").collect()}
     np.testing.assert_allclose([tail[i] for i in sorted(tail)], x.iloc[sorted(tail)].to_numpy(), rtol=1e-11)
