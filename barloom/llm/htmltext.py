@@ -48,6 +48,12 @@ DROPPED_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising
                  "header", "masthead", "cookie", "cookies", "consent", "notice", "notices", "newsletter", "subscribe",
                  "popup", "modal", "comment", "comments", "reply", "replies", "disqus", "share", "sharing", "social",
                  "related", "recommended", "widget", "toolbar", "pagination", "pager", "login", "signup", "alert"}
+# Words after which the word before names the part: "ad-box" is an ad, "ad-free-content" and "market-share-table" are not.
+FRAME_WORDS = {"area", "articles", "bar", "block", "body", "bottom", "box", "buttons", "center", "col", "column", "container",
+               "content", "desktop", "form", "group", "icons", "inner", "item", "items", "large", "left", "links", "list", "mobile",
+               "outer", "overlay", "panel", "posts", "right", "row", "section", "slot", "small", "stories", "text", "thread",
+               "tools", "top", "unit", "wrap", "wrapper", "zone"}
+COMMENT_WORDS = {"comment", "comments", "reply", "replies", "disqus"}
 DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form"}
 SPACE = re.compile(r"[\s\x00]+")
 
@@ -59,24 +65,42 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
+COMPLETE = re.compile(r"\A<!--.*-->\Z|\A<!\[CDATA\[.*\]\]>\Z|\A<(?!!--|!\[CDATA\[)[!?][^>]*>\Z"
+                      r"|\A<(\w+)(?:(?:[^>]*[\s\"'])?/>|.*</\1\s*>)\Z", re.S | re.I)
+
+
+def _part(name: str) -> str:
+    """The word of a class or id that says what it is: the last that is neither a frame word nor the denied one of ``has-x``."""
+    words = re.split(r"[^a-z]+", re.sub(r"(?:has|with|no|without)[-_][a-z]+", "", name))
+    words = [word for word in words if len(word) > 1]
+    free = "free" in words
+    while len(words) > 1 and words[-1] in FRAME_WORDS and not free:
+        words.pop()
+    return words[-1] if words else ""
+
+
 def _unwanted(tag: str, attrs: str, marked: bool = False) -> bool:
-    """Whether tag, role, ``hidden`` or class and id words drop an element; ``marked``: it lies in a marked article."""
-    if tag in DROPPED:
+    """Whether tag, role, ``hidden`` or class and id words drop an element; ``marked``: it lies in a marked article.
+
+    The header of a marked article is its own title. Elements that mark an article go only as readers' comments.
+    """
+    if tag in DROPPED and not (marked and tag == "header"):
         return True
-    if not attrs or tag in MAIN and "comment" not in attrs.lower() or tag in ("body", "html"):
+    if not attrs or tag in ("body", "html"):
         return False
+    words = COMMENT_WORDS if tag in MAIN else DROPPED_WORDS
     for name, *values in ATTRIBUTE.findall(attrs):
         value, name = "".join(values).lower(), name.lower()
-        if name == "role":
+        if name in ("class", "id"):
+            if not (marked and tag not in CONTAINERS) and any(_part(own) in words for own in value.split()):
+                return True
+        elif tag in MAIN:
+            continue
+        elif name == "role":
             if value in DROPPED_ROLES:
                 return True
-        elif name == "hidden" or name == "aria-hidden" and value == "true":
+        elif name == "hidden" or value == "true":
             return True
-        elif name in ("class", "id") and not (marked and tag not in CONTAINERS):
-            for own in value.split():
-                words = re.split(r"[^a-z]+", re.sub(r"(?:has|with|no|without)[-_][a-z]+", "", own))
-                if not DROPPED_WORDS.isdisjoint(words):
-                    return True
     return False
 
 
@@ -88,12 +112,18 @@ def _ends(tokens: list[re.Match]) -> dict[int, tuple[int, bool]]:
     """
     ends: dict[int, tuple[int, bool]] = {}
     stack: list[tuple[str, int]] = []
-    count: dict[str, int] = {}
+    levels: dict[str, list[int]] = {}  # levels of the open elements of each name
+    open_blocks: list[int] = []
+    barriers: list[int] = [-1]  # levels of blocks that end tags of inline elements do not end
 
     def pop(level: int, at: int) -> None:
         while len(stack) > level:
             tag, begin = stack.pop()
-            count[tag] -= 1
+            levels[tag].pop()
+            if tag in BLOCKS:
+                open_blocks.pop()
+                if tag not in ENDED_BY:
+                    barriers.pop()
             ends[begin] = at, False
 
     for at, token in enumerate(tokens):
@@ -101,29 +131,40 @@ def _ends(tokens: list[re.Match]) -> dict[int, tuple[int, bool]]:
             continue
         tag = token["tag"].lower()
         if token["close"]:
-            level = len(stack) - 1 if count.get(tag) else -1
-            while level >= 0 and stack[level][0] != tag:
-                level = -1 if tag not in BLOCKS and stack[level][0] in BLOCKS.difference(ENDED_BY) else level - 1
-            if level >= 0:
+            if levels.get(tag) and (tag in BLOCKS or levels[tag][-1] > barriers[-1]):
+                level = levels[tag][-1]
                 begin = stack[level][1]
                 pop(level, at)
                 ends[begin] = at, True
             continue
         if tag in BLOCKS:
-            level = len(stack) - 1
-            while level >= 0:
-                if tag in ENDED_BY.get(stack[level][0], ()):
-                    pop(level, at)
-                elif stack[level][0] in BLOCKS:
-                    break
-                level -= 1
+            while open_blocks and tag in ENDED_BY.get(stack[open_blocks[-1]][0], ()):
+                pop(open_blocks[-1], at)
         if tag not in VOID and not (token["attrs"] or "").rstrip().endswith("/"):
+            if tag in BLOCKS:
+                open_blocks.append(len(stack))
+                if tag not in ENDED_BY:
+                    barriers.append(len(stack))
+            levels.setdefault(tag, []).append(len(stack))
             stack.append((tag, at))
-            count[tag] = count.get(tag, 0) + 1
     pop(0, len(tokens))
     return ends
 
 
+def _tokens(page: str) -> tuple[list[re.Match], int]:
+    """The tags, comments and raw elements of a page, and where its text ends.
+
+    Behind the last ``>`` no tag ends, so none is sought there and broken markup costs no second scan; an unfinished
+    comment, section or raw element takes the rest of the page with it.
+    """
+    stop = page.rfind(">") + 1
+    tokens = list(TOKEN.finditer(page, 0, stop))
+    if tokens and tokens[-1].end() == stop and tokens[-1]["tag"] is None and not COMPLETE.search(tokens[-1].group()):
+        return tokens, tokens[-1].end()
+    broken = [at for at in (page.find(start, stop) for start in ("<!--", "<![CDATA[")) if at >= 0]
+    return tokens, min(broken, default=len(page))
+
+
 def blocks(page: str) -> tuple[list[str], list[bool]]:
     """Text blocks outside unwanted elements, and whether each lies in an element that marks the article.
 
@@ -134,7 +175,7 @@ def blocks(page: str) -> tuple[list[str], list[bool]]:
     parts: list[str] = []
     main, at = 0, 0
     until, whole = -1, False  # the token that ends an unwanted element, and whether it is the element's own
-    tokens = list(TOKEN.finditer(page))
+    tokens, stop = _tokens(page)
     ends: dict[int, tuple[int, bool]] | None = None
 
     def close() -> None:
@@ -172,8 +213,8 @@ def blocks(page: str) -> tuple[list[str], list[bool]]:
                 until, whole = ends[place]
         elif tag in MAIN:
             main += 1
-    if until < len(tokens) and at < len(page):
-        parts.append(page[at:])
+    if until < len(tokens) and at < stop:
+        parts.append(page[at:stop])
     close()
     return texts, marked
 

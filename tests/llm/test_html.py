@@ -104,3 +104,35 @@ def test_marked_pages_are_neighbours_of_unmarked_ones(spark):
             (2, "http://a.org/x/2", "<p>Site title</p><p>Own 2</p><p>All rights</p>")]
     got = [r["text"] for r in htmltext.main_text(spark.createDataFrame(rows, PAGES)).orderBy("page_id").collect()]
     assert got == ["Own 1", "Own 2"]
+
+
+def test_class_words_say_what_a_part_is():
+    for kept in ("main-menu-page", "ad-free-content", "social-science", "market-share-table", "has-sidebar"):
+        assert text(f'<div class="{kept}"><p>Story</p></div>') == ["Story"], kept
+    for gone in ("ad", "ad-box", "cookie-notice", "sidebar-left", "related-posts", "comment-list", "x share_buttons", "ad-300x250"):
+        assert text(f'<div class="{gone}"><p>no</p></div><p>Story') == ["Story"], gone
+
+
+def test_titles_of_articles_stay_and_comments_marked_as_articles_go():
+    page = ('<header>no</header><article><header><h1>Title</h1></header><p>One</p></article>'
+            '<article class="reply"><p>no</p></article><article id="comment-7"><p>no</p></article>')
+    assert text(page) == ["Title", "One"]
+    assert text('<article class="post social"><p>One</p></article>') == ["One"]
+
+
+def test_broken_markup():
+    assert text("<p>a</p><!-- b") == ["a"] and text("<p>a</p><!-- b <p>c") == ["a"] and text("<p>a</p>b <c") == ["a", "b <c"]
+    assert text("<p>a<![CDATA[ x <p>") == ["a"] and text("<p>a<script>x</p> y") == ["a"] and text("<p>a<!-- x --> b") == ["a b"]
+    assert text("<p>a<script>x</script> b") == ["a b"] and text("<!doctype html>a") == ["a"] and text("<p>a<svg/> b") == ["a b"]
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    big = 200_000
+    pages = ["<a " * big, "<!" * big, "<a '\"" * big, "<script " * big, "<!--" * big, "<p>" + "<a <b " * big + ">", "<" * big, "<svg " * big + ">",
+             "<nav>" + "<b>" * big + "<p>" * big, "<nav><i><div>" + "<b>" * big + "</i>" * big, '<div class="' * big, "<aside>" * big]
+    for page in pages:
+        started = time.perf_counter()
+        htmltext.blocks(page)
+        assert time.perf_counter() - started < 15, page[:20]
