@@ -51,8 +51,13 @@ def lag_by(value: str | Column, steps: int, window: WindowSpec) -> Column:
     return F.max(value).over(window.rangeBetween(-steps, -steps))
 
 
+def ratio(value: Column, base: Column) -> Column:
+    """Division of doubles as IEEE defines it: over zero an infinity with the sign of ``value``, or NaN, never an error."""
+    return F.when(base == 0, value * F.lit(float("inf"))).otherwise(F.try_divide(value, base))
+
+
 def panel_return(value: str, steps: int, window: WindowSpec) -> Column:
-    return F.col(value) / lag_by(value, steps, window) - 1
+    return ratio(F.col(value), lag_by(value, steps, window)) - 1
 
 
 def mean_return(value: str, spans: list[int], window: WindowSpec) -> Column:
@@ -69,7 +74,7 @@ def moving_average(value: str, span: int, window: WindowSpec) -> Column:
 
 
 def bias(value: str, span: int, window: WindowSpec) -> Column:
-    return F.col(value) / moving_average(value, span, window) - 1
+    return ratio(F.col(value), moving_average(value, span, window)) - 1
 
 
 # Weights below exp(-REACH) of the newest one, far less than a double can hold beside it, may be left out.
@@ -233,7 +238,7 @@ def next_valid(value: str | Column, key: str | list[str], order: str = "date_idx
 
 def drawdown(value: str, window: WindowSpec) -> Column:
     peak = F.max(value).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    return F.col(value) / peak - 1
+    return ratio(F.col(value), peak) - 1
 
 
 def grid(frame: DataFrame, axis: DataFrame, key: str = "symbol") -> DataFrame:

@@ -235,3 +235,16 @@ def test_islands_collapse_runs(spark):
     frame = spark.createDataFrame(rows, "cal_date date, pos int")
     got = sorted(tuple(r) for r in P.islands(frame, "pos").collect())
     assert got == [(day("2024-01-01"), day("2024-01-02"), 2), (day("2024-01-05"), day("2024-01-05"), 1)]
+
+
+def test_returns_over_zero_prices_are_infinite_not_errors(spark):
+    closes = [0.0, 2.0, 0.0, 0.0, None, 4.0]
+    rows = [("a", k, close) for k, close in enumerate(closes)]
+    frame = spark.createDataFrame(rows, "symbol string, date_idx int, close double")
+    steps = {"whole": frame.withColumn("ret", P.panel_return("close", 1, P.series())),
+             "blocks": P.in_blocks(frame, {"ret": lambda w: P.panel_return("close", 1, w)}, span=1, block=2)}
+    for got in steps.values():
+        rets = [r["ret"] for r in got.orderBy("date_idx").collect()]
+        assert rets[0] is None and rets[1:3] == [float("inf"), -1.0] and np.isnan(rets[3]) and rets[4:] == [None, None]
+    peak = [r[0] for r in frame.limit(2).select(P.drawdown("close", P.series())).collect()]
+    assert np.isnan(peak[0]) and peak[1] == 0.0
