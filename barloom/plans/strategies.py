@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.constants import CASH_SUMMARY, SUMMARY_SEPARATOR
-from barloom.functions.normalize import code_excluded, log_bias
+from barloom.functions.normalize import code_excluded, fixed_text, log_bias
 from barloom.operators import panel as P
 
 
@@ -239,8 +239,8 @@ def signal_dates(bars: DataFrame) -> DataFrame:
 def latest_signal(bars: DataFrame, weights: DataFrame) -> DataFrame:
     """One row: as_of, number of holdings and the summary text of the last panel date."""
     as_of = bars.agg(F.max("trade_date").alias("as_of")).scalar()
-    entry = F.struct("symbol", F.format_string("%s %.1f%%", "symbol", F.col("weight") * 100)
-                     .alias("text"))
+    share = F.concat("symbol", F.lit(" "), fixed_text(F.col("weight") * 100, 1), F.lit("%"))
+    entry = F.struct("symbol", share.alias("text"))
     held = weights.where(F.col("trade_date") == as_of).agg(
         F.count(F.lit(1)).alias("holdings"),
         F.array_sort(F.collect_list(entry)).alias("entries"),

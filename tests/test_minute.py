@@ -96,3 +96,16 @@ def test_b_shares_and_asset_types(spark):
         [("399001.SZ",), ("000300.SH",), ("000001.SZ",), ("510300.SH",), ("159915.SZ",)], "x string")
     assert [r[0] for r in codes.select(N.infer_asset_type(F.col("x"))).collect()] == [
         "index", "index", "stock", "etf", "etf"]
+
+
+def test_display_text_rounds_the_binary_value(spark):
+    values = [2.675, 0.125, 0.375, 1.005, 1.015, -0.001, 0.0, 26222164.285, 1234567890.125, 2.0 ** 45 + 0.375, -3.145, 5e-324]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    got = frame.select("v", N.number_text(F.col("v")).alias("num"), N.percent_text(F.col("v")).alias("pct"),
+                       N.fixed_text(F.col("v"), 1).alias("one"), N.fixed_text(F.col("v"), 0).alias("none")).collect()
+    for row in got:
+        v = row["v"]
+        assert tuple(row)[1:] == (f"{v:.2f}", f"{v * 100:.2f}%", f"{v:.1f}", f"{v:.0f}")
+    odd = spark.createDataFrame([(None,), (float("inf"),)], "v double")
+    assert [tuple(r) for r in odd.select(N.number_text(F.col("v")), N.percent_text(F.col("v"))).collect()] == [
+        ("—", ""), ("Infinity", "Infinity%")]
