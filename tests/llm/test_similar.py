@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from barloom.llm import similar
 from tests.llm.fixtures import docs, empty, prose
@@ -61,6 +62,28 @@ def test_crowded_band_of_near_copies_and_of_unlike_texts(spark):
     assert kept == {0, *range(1000, 1100)}
 
 
+@pytest.mark.parametrize("tile", [similar.TILE, 2000])
+def test_links_of_a_crowded_band_whose_ends_are_never_hubs(spark, monkeypatch, tile):
+    """One band holds unlike texts, pairs of copies and a large group; with the small tile that has tiles of its own."""
+    monkeypatch.setattr(similar, "TILE", tile)
+    own, group = random.Random(6), prose(77, 300)
+    rows = [(i, prose(4000 + i, 150), "en", "s", 1) for i in range(40)]
+    rows += [(100 + i, copy(prose(4000 + i, 150), 0.01, own), "en", "s", 1) for i in range(12)]
+    rows += [(200 + i, copy(group, 0.005, own), "en", "s", 1) for i in range(20)]
+    rows += [(300, copy(group, 0.02, own), "en", "s", 1), (301, "one two", "en", "s", 1), (302, None, "en", "s", 0)]
+    frame = docs(spark, rows)
+    nodes = similar.nodes(frame).withColumn("keys", similar.F.array(similar.F.lit(1)))
+    first = {r["node"]: r["_id"] for r in nodes.orderBy(similar.F.desc("_id")).collect()}
+    root = {r["node"]: r["root"] for r in similar.components(similar.cut(nodes), frame).collect()}
+    got = {}
+    for node, i in first.items():
+        got.setdefault(root.get(node, node), set()).add(i)
+    want = {}
+    for i, low in components(rows).items():
+        want.setdefault(low, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_awkward_rows_and_columns(spark):
     frame = docs(spark, clashing=True).withColumn("a.b", similar.F.lit(1)).withColumn("my col", similar.F.lit(2))
     got = similar.deduplicated(frame)
