@@ -21,10 +21,11 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from barloom.llm.common import bytes_of, decoded, map_batches, utf8
+from barloom.llm.common import decoded, map_batches, utf8
 
 CHUNKS, TOKENS = 100_000, 250_000  # kept by a worker in each of two generations
 LISTED = 1 << 20  # bytes; longer lists are packed to save memory
+PORTION = 1 << 20  # characters of texts that are split at once, and 16 times the ids decoded at once; a longer text passes whole
 
 
 @lru_cache(maxsize=2)
@@ -231,8 +232,39 @@ def decode_ids(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     letters, starts, lengths = _pieces(path)
     size = lengths[ids]
     ends = np.cumsum(size, dtype=np.int64)
-    places = np.repeat(starts[ids] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-    return letters[places], ends
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for a in range(0, len(ids), PORTION >> 4):  # the places take many times the bytes that they name
+        own, widths, stops = (values[a:a + (PORTION >> 4)] for values in (ids, size, ends))
+        first, last = int(stops[0] - widths[0]), int(stops[-1])
+        out[first:last] = letters[np.repeat(starts[own] - (stops - widths), widths) + np.arange(first, last)]
+    return out, ends
+
+
+def _portions(texts: Iterator[str]) -> Iterator[list[str]]:
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= PORTION:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _encoded(encoder: Encoder, batch: pa.RecordBatch) -> pa.ListArray:
+    texts = (decoded(data.as_py()) for data in batch.column("_text"))
+    lists = [packed for portion in _portions(texts) for packed in encoder.encode(portion)]
+    ends = np.cumsum([0, *(len(packed) // 4 for packed in lists)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(lists), np.int32)))
+
+
+def _decoded(ids: pa.ListArray, path: str) -> list[bytes]:
+    data, ends = decode_ids(ids.flatten().to_numpy(zero_copy_only=False), path)
+    rows = np.cumsum([0, *ids.value_lengths().to_pylist()])
+    cuts = np.concatenate([[0], ends])[rows].tolist()
+    whole = data.tobytes()
+    return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
@@ -248,10 +280,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
         encoder = _encoder(path, pattern)
         for batch in batches:
-            lists = encoder.encode([decoded(data) for data in bytes_of(batch, "_text")])
-            ends = np.cumsum([0, *(len(packed) // 4 for packed in lists)], dtype=np.int32)
-            values = np.frombuffer(b"".join(lists), np.int32)
-            yield {id_col: batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(values))}
+            yield {id_col: batch.column(0), "ids": _encoded(encoder, batch)}
 
     return map_batches(docs.select(id_col, utf8(text_col).alias("_text")), work,
                        f"`{id_col}` {kind}, ids array<int>")
@@ -265,19 +294,31 @@ def decode(coded: DataFrame, path: str | None = None, id_col: str = "doc_id") ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
         for batch in batches:
             ids = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
-            data, ends = decode_ids(ids.flatten().to_numpy(zero_copy_only=False), path)
-            rows = np.cumsum([0, *ids.value_lengths().to_pylist()])
-            cuts = np.concatenate([[0], ends])[rows].tolist()
-            whole = data.tobytes()
-            yield {id_col: batch.column(0), "ids": ids, "data": [whole[a:b] for a, b in zip(cuts, cuts[1:])]}
+            yield {id_col: batch.column(0), "ids": ids, "data": _decoded(ids, path)}
 
     return map_batches(coded.select(id_col, "ids"), work,
                        f"`{id_col}` {kind}, ids array<int>, data binary")
 
 
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
+               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``<id_col>, ids, data`` as ``decode(encode(docs))`` gives them, by one Python worker a task instead of two."""
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
+        encoder = _encoder(path, pattern)
+        for batch in batches:
+            ids = _encoded(encoder, batch)
+            yield {id_col: batch.column(0), "ids": ids, "data": _decoded(ids, path)}
+
+    return map_batches(docs.select(id_col, utf8(text_col).alias("_text")), work,
+                       f"`{id_col}` {kind}, ids array<int>, data binary")
+
+
 def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id") -> DataFrame:
     """Round trip of every text as counts and hashes."""
-    return decode(encode(docs, path, id_col=id_col), path, id_col).select(
+    return round_trip(docs, path, id_col=id_col).select(
         id_col, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("data", 256).alias("decoded_sha256"),

@@ -40,7 +40,7 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.decode(bpe.encode(docs)).select(
+    return bpe.round_trip(docs).select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
         F.col("data").cast("string").alias("text"))
 

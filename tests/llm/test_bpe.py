@@ -55,3 +55,21 @@ def test_empty_table_and_null_ids(spark):
     assert bpe.digests(empty(spark)).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, [464])], "doc_id long, ids array<int>")
     assert [bytes(r["data"]) for r in bpe.decode(nulls).orderBy("doc_id").collect()] == [b"", b"The"]
+
+
+def test_round_trip_takes_one_worker_and_small_portions(spark, monkeypatch):
+    frame = docs(spark, clashing=True)
+    whole = bpe.round_trip(frame)
+    assert whole._jdf.queryExecution().toString().count("MapInArrow") * 2 == bpe.decode(bpe.encode(frame))._jdf.queryExecution().toString().count("MapInArrow")
+    both = [sorted(map(str, got.collect())) for got in (whole, bpe.decode(bpe.encode(frame)))]
+    assert both[0] == both[1]
+    ids = np.random.default_rng(3).integers(0, 50_000, 5_000, np.int32)
+    want = bpe.decode_ids(ids, PATH)
+    monkeypatch.setattr(bpe, "PORTION", 16 * 7)
+    got = bpe.decode_ids(ids, PATH)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    texts = ["ab " * 50, "", "x" * 300, "é"]
+    assert [text for portion in bpe._portions(iter(texts)) for text in portion] == texts
+    encoder = bpe.Encoder(PATH, public_tokenizers.PATTERN)
+    table = bpe.pa.RecordBatch.from_pydict({"_text": [text.encode() for text in texts]})
+    assert bpe._encoded(encoder, table).to_pylist() == [REFERENCE.encode_ordinary(text) for text in texts]
