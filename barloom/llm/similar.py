@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.llm.common import bytes_of, map_batches, quoted, returning, utf8
 from barloom.llm.components import roots
-from barloom.session import cut
+from barloom.session import cut, discard
 
 WORDS = 5
 SIMILAR = 0.8
@@ -90,11 +90,13 @@ def _texts(wanted: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, tex
     """``node, _text`` for the distinct nodes of ``wanted``, one text a node."""
     refs = cut(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_id", "_tie")).alias("ref")))
     own = docs.select(F.col(id_col).alias("_id"), _tie(text_col).alias("_tie"), utf8(text_col).alias("_text"))
-    return cut(
+    texts = cut(
         own.join(refs.select("node", F.col("ref._id").alias("_own"), F.col("ref._tie").alias("_same")),
                  F.col("_id").eqNullSafe(F.col("_own")) & (F.col("_tie") == F.col("_same")))
         .select("node", "_text").dropDuplicates(["node"])
     )
+    discard(refs)
+    return texts
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -115,7 +117,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, t
             kept = batch.filter(pa.array(good, pa.bool_()))
             yield {"a": kept.column("a"), "b": kept.column("b")}
 
-    return map_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b"), work, "a long, b long")
+    good = cut(map_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b"), work, "a long, b long"))
+    discard(texts)
+    return good
 
 
 def _links(group: pa.Table) -> pa.Table:
@@ -177,32 +181,39 @@ def _rest(active: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text
         meet.where("one <> two").select("one", "two", F.col("two").alias("tile"), F.lit(1).alias("side")))
     texts = _texts(members.select("node").distinct(), rows, docs, id_col, text_col)
     dealt = members.select("tile", "node", "root").join(sides, "tile").join(texts, "node")
-    return dealt.select("one", "two", "side", "node", "root", "_text").groupBy("one", "two").applyInArrow(
-        returning(_links), "a long, b long").distinct()
+    links = cut(dealt.select("one", "two", "side", "node", "root", "_text").groupBy("one", "two").applyInArrow(
+        returning(_links), "a long, b long").distinct())
+    discard(members, meet, texts)
+    return links
 
 
 def components(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``node, root`` over the links between the nodes of ``rows``; roots do not appear as nodes."""
     active = rows.select("node", "n", F.explode("keys").alias("key")).withColumn("root", F.col("node"))
-    found = labels = None
+    found = labels = met = None
     for turn in range(ROUNDS):
         order = F.xxhash64("node", "key", F.lit(turn)) if turn else F.col("node")
         hubs = active.groupBy("key").agg(
             F.min(F.struct(order.alias("order"), "node", "n", "root")).alias("hub"),
             F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "hub")
-        met = cut(active.join(hubs, "key").where("node <> hub.node").select(
+        before, met = met, cut(active.join(hubs, "key").where("node <> hub.node").select(
             "key", "node", "n", F.when(F.col("root") != F.col("hub.root"), F.col("hub.node")).alias("to"),
             F.col("hub.n").alias("size")))
+        if before is not None:
+            discard(before)
         fits = F.col("to").isNotNull() & (F.least("n", "size") >= SIMILAR * F.greatest("n", "size"))
         pairs = cut(met.where(fits).select(F.least("to", "node").alias("a"), F.greatest("to", "node").alias("b")).distinct())
-        good = cut(_verified(pairs, rows, docs, id_col, text_col))
+        good = _verified(pairs, rows, docs, id_col, text_col)
+        discard(pairs)
         if found is None or not good.isEmpty():
             found = good if found is None else found.union(good)
             labels = roots(found)
         if met.isEmpty():
             return labels
         active = met.select("node", "n", "key").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = cut(_rest(cut(active.distinct()), rows, docs, id_col, text_col))
+    last = cut(active.distinct())
+    rest = _rest(last, rows, docs, id_col, text_col)
+    discard(last, met)
     return labels if rest.isEmpty() else roots(found.union(rest))
 
 

@@ -26,6 +26,8 @@ SETTINGS = {
     "spark.sql.legacy.javaCharsets": "true",
 }
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # Spark 4.1; older versions ignore it
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators rely on to an existing session."""
@@ -80,8 +82,13 @@ def clear_scratch(spark: SparkSession) -> None:
         _delete(spark, _MADE.pop())
 
 
-def discard(frame: DataFrame) -> None:
-    """Delete the files of a table made by ``cut``; nothing may read it afterwards."""
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of tables made by ``cut``; nothing may read them afterwards."""
+    for frame in frames:
+        _discard(frame)
+
+
+def _discard(frame: DataFrame) -> None:
     for folder in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
         if folder.rsplit("/", 1)[-1].startswith("barloom-table-"):
             _delete(frame.sparkSession, folder)
@@ -91,8 +98,15 @@ def cut(frame: DataFrame) -> DataFrame:
     """Materialise a frame that several branches read, as a table in the shared folder.
 
     Lost executors cannot lose it, it is computed once, and unlike a checkpointed RDD it has file
-    statistics, so later joins are planned on its real size.
+    statistics, so later joins are planned on its real size. The shuffle files of the write go with it, as no other plan reads
+    them: until the driver collects its garbage they would outlast many rounds.
     """
     path = scratch_path(frame.sparkSession, "table")
-    frame.write.parquet(path)
+    conf = frame.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, None)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        conf.unset(SHUFFLE_CLEANUP) if before is None else conf.set(SHUFFLE_CLEANUP, before)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -1,9 +1,13 @@
+import os
 import random
+import time
 
 import numpy as np
 import pytest
 
+from barloom import session
 from barloom.llm import similar
+from barloom.llm.components import roots
 from tests.llm.fixtures import docs, empty, prose
 
 
@@ -109,3 +113,33 @@ def test_bands_meet_as_often_as_their_formula_says():
         assert 0.8 <= share < 0.87
         met += bool(np.isin(similar.bands(a), similar.bands(b)).any())
     assert met >= 0.98 * trials
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {file for file in files.split("\n") if "/shuffle_" in file}
+
+
+def test_shuffles_and_tables_of_finished_rounds_leave_the_disk(spark):
+    own = random.Random(8)
+    frame = docs(spark, [(i, copy(prose(600 + i % 9, 200), 0.01, own), "en", "s", 1) for i in range(40)])
+    was, made = shuffle_files(spark), len(session._MADE)
+    rows = similar.cut(similar.nodes(frame))
+    root = similar.components(rows, frame)
+    deadline = time.time() + 20  # files are deleted in the background
+    while shuffle_files(spark) - was and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - was
+    left = [path for path in session._MADE[made:] if os.path.exists(path)]
+    assert len(session._MADE) - made > 2 * len(left)
+    assert root.count() == 40 - 9 and rows.count() == 40  # what is still read is there
+
+
+def test_roots_of_chains_loops_and_stars(spark):
+    edges = [(5, 6), (6, 7), (8, 7), (9, 8), (1, 1), (30, 20), (20, 30), (30, 31), (40, 50), (41, 50), (42, 41), (50, 42), (-3, 60)]
+    got = roots(spark.createDataFrame(edges, "a long, b long"))
+    want = {**dict.fromkeys((6, 7, 8, 9), 5), 30: 20, 31: 20, **dict.fromkeys((41, 42, 50), 40), 60: -3}
+    assert sorted(map(tuple, got.collect())) == sorted(want.items())
+    assert roots(spark.createDataFrame([], "a long, b long")).count() == 0
+    long = [(k, k + 1) for k in range(200)]
+    assert {tuple(r) for r in roots(spark.createDataFrame(long, "a long, b long")).collect()} == {(k + 1, 0) for k in range(200)}
