@@ -10,7 +10,8 @@ a batch share one list, with borders that no merge crosses, and one queue.
 from __future__ import annotations
 
 import base64
-import re
+import gc
+import sys
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -55,6 +56,21 @@ class Kept(dict):
         return [key for key in fresh if key not in found]
 
 
+BLANKS = [chr(code) for code in range(sys.maxunicode + 1) if chr(code).isspace()]
+ASCII_GLUED, GLUED = ([pair for blank in BLANKS if blank < end for pair in dict.fromkeys((blank + " ", " " + blank))]
+                      for end in ("\x80", "\U0010ffff"))
+
+
+def glued(text: str) -> bool:
+    """Whether white space stands beside a space, or a space at an end; a few searches for fixed strings beat one pattern."""
+    if text[:1] == " " or text[-1:] == " ":
+        return True
+    for pair in ASCII_GLUED if text.isascii() else GLUED:
+        if pair in text:
+            return True
+    return False
+
+
 class Encoder:
     """Encodes texts with the ranks of a file; keeps the packed ids of frequent chunks and pre-tokens."""
 
@@ -69,7 +85,6 @@ class Encoder:
             if len(piece) == 2:
                 self.double[piece[0] << 8 | piece[1]] = rank
         self.tokens, self.chunks = Kept(lambda: TOKENS), Kept(lambda: CHUNKS)
-        self.glued = re.compile(r"\A |\s \S| \s|\s | \Z").search  # white space beside a space, or a space at an end
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces one after another, and the number of ids of each. Pieces must not be empty."""
@@ -180,7 +195,7 @@ class Encoder:
             for token, a, b in zip(new, [0, *ends], ends):
                 known[token] = packed[a:b]
         for chunk, tokens in zip(chunks, split):
-            self.chunks[chunk] = b"".join(map(known.__getitem__, tokens))
+            self.chunks[chunk] = known[tokens[0]] if len(tokens) == 1 else b"".join(map(known.__getitem__, tokens))
 
     def cut(self, text: str) -> list[str]:
         """Chunks whose ends are also ends of pre-tokens.
@@ -190,7 +205,7 @@ class Encoder:
         """
         chunks = text.split(" ")
         chunks[1:] = [" " + chunk for chunk in chunks[1:]]
-        if not self.glued(text):
+        if not glued(text):
             return chunks
         whole = chunks[:1]
         for chunk in chunks[1:]:
@@ -206,7 +221,13 @@ class Encoder:
         cut = [self.cut(text) for text in texts]
         new = self.chunks.missing({chunk for chunks in cut for chunk in chunks})
         if new:
-            self.learn(new)
+            collects = gc.isenabled()
+            gc.disable()  # it makes very many lists, none of them in a cycle
+            try:
+                self.learn(new)
+            finally:
+                if collects:
+                    gc.enable()
         return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in cut]
 
 

@@ -73,3 +73,27 @@ def test_round_trip_takes_one_worker_and_small_portions(spark, monkeypatch):
     encoder = bpe.Encoder(PATH, public_tokenizers.PATTERN)
     table = bpe.pa.RecordBatch.from_pydict({"_text": [text.encode() for text in texts]})
     assert bpe._encoded(encoder, table).to_pylist() == [REFERENCE.encode_ordinary(text) for text in texts]
+
+
+def test_white_space_beside_spaces_is_found_without_a_pattern():
+    blanks = [chr(code) for code in range(0x110000) if chr(code).isspace()]
+    assert bpe.glued(" a") and bpe.glued("a ") and not bpe.glued("") and not bpe.glued("a b\nc d")
+    for blank in blanks:
+        for tail in ("", "é"):
+            assert bpe.glued(f"a{blank} b{tail}") and bpe.glued(f"a {blank}b{tail}"), repr(blank)
+    encoder = bpe.Encoder(PATH, public_tokenizers.PATTERN)
+    for text in [f"a{x}{y}b{tail}" for x in [" ", *blanks] for y in (" ", "\n", "") for tail in ("", " é", " c")]:
+        assert ids(encoder, text) == REFERENCE.encode_ordinary(text), repr(text)
+
+
+def test_learning_new_chunks_does_not_wake_the_garbage_collector():
+    encoder, own, runs = bpe.Encoder(PATH, public_tokenizers.PATTERN), random.Random(2), []
+    text = " ".join("".join(own.choice("thearonqxz") for _ in range(9)) for _ in range(20_000))
+    watch = lambda phase, info: runs.append(phase)
+    bpe.gc.collect()
+    bpe.gc.callbacks.append(watch)
+    try:
+        encoder.encode([text])
+    finally:
+        bpe.gc.callbacks.remove(watch)
+    assert bpe.gc.isenabled() and len(runs) <= 4
